@@ -1,6 +1,15 @@
-"""All registered queries and their SQL."""
+"""All registered queries of the library and their SQL."""
+
+from __future__ import annotations
+
+from scholarlake.plans import registry, retrieval, search, stores  # noqa: F401
+
 FLAGSHIP = "q1_boolean_search"
-def queries():
-    return {}
-def oracle_sql():
-    return {}
+
+
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(registry.SQL)
