@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholarlake.plans import registry, retrieval, search, stores  # noqa: F401
+from scholarlake.plans import recommend, registry, retrieval, search, stores  # noqa: F401
 
 FLAGSHIP = "q1_boolean_search"
 
