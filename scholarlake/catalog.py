@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholarlake.plans import evaluate, recommend, registry, retrieval, search, stores  # noqa: F401
+from scholarlake.plans import evaluate, greedy, recommend, registry, retrieval, search, stores, streams  # noqa: F401
 
 FLAGSHIP = "q1_boolean_search"
 

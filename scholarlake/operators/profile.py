@@ -8,8 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholarlake.functions.text import jaccard
-
 LONG_HALF_LIFE, RECENT_HALF_LIFE = 120.0, 14.0
 MIN_CONSISTENCY, MIN_SPAN, MIN_RECENT, MIN_RECENT_PAPERS, RECENT_DAYS, PAPER_SCALE = 0.5, 7.0, 0.6, 2, 30.0, 3.0
 LIMITS = {"focus": 12, "exclude": 10, "recent": 10}
@@ -84,12 +82,10 @@ def similar_topics(topics: DataFrame, concepts: DataFrame, least: float) -> Data
     """
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
     t = topics.select("item_id", words(F.col("text")).alias("a"))
-    c = concepts.select("doc_id", words(F.substring("text", 1, 400)).alias("b"))
+    c = concepts.select("doc_id", words(F.col("text")).alias("b"))
     inverted = c.select("doc_id", F.size("b").alias("nb"), F.explode("b").alias("w"))
     shared = t.select("item_id", F.size("a").alias("na"), F.explode("a").alias("w")).join(inverted, "w").groupBy("item_id", "doc_id", "na", "nb").agg(F.count("*").alias("n"))
     s = shared.select("item_id", "doc_id", F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 6).alias("similarity")).filter(F.col("similarity") >= least)
     best = s.groupBy("item_id").agg(F.max(F.struct("similarity", (-F.col("doc_id")).alias("d"))).alias("b"))
     return best.select("item_id", (-F.col("b.d")).alias("doc_id"), F.col("b.similarity").alias("similarity"))
 
-
-__all__ = ["decay", "jaccard", "merged", "review", "similar_topics", "strongest", "topic_scores", "zones"]

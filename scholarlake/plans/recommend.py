@@ -261,14 +261,14 @@ def p13_effective_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.merged([manual(7, "hidden"), manual(5, "focus"), manual(3, "exclude"), g.withColumn("origin", F.lit("generated"))], ["user_id", "topic"]).filter("origin <> 'hidden'")
 
 
-@query(r"""WITH t AS (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(substring(text, 1, 120)), '[a-z0-9]+'), lambda x: x NOT IN (""" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + r""")) AS ks FROM conversations),
+@query(r"""WITH t AS (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN (""" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + r""")) AS ks FROM conversations),
 s AS (SELECT conv_id, turn, list_transform(ks, lambda x: CASE WHEN length(x) > 4 AND x LIKE '%ies' THEN left(x, length(x) - 3) || 'y' WHEN length(x) > 3 AND x LIKE '%s' AND x NOT LIKE '%ss' THEN left(x, length(x) - 1) ELSE x END) AS ks FROM t)
 SELECT conv_id, turn, array_to_string(list_sort(list_distinct(ks)), ' ') AS key FROM s""")
 def f23_topic_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.topic_key(F.substring("text", 1, 120)).alias("key"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.topic_key(F.col("text")).alias("key"))
 
 
-@query(r"""WITH h AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(substring(text, 1, 400)), '[a-z0-9]+')) AS t FROM documents WHERE doc_id % 100 = 0),
+@query(r"""WITH h AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents),
 s AS (SELECT item_id, doc_id, round(len(list_intersect(h.t, d.t)) / len(list_distinct(list_concat(h.t, d.t))), 6) AS s FROM h, d) SELECT item_id, doc_id, s AS similarity FROM s WHERE s >= 0.05 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) = 1""")
 def j11_topic_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.similar_topics(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").filter("doc_id % 100 = 0"), 0.05)
+    return P.similar_topics(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 0.05)

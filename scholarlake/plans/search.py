@@ -114,13 +114,12 @@ def s4_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mirror.accounted(d, rules).groupBy("reason").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
-@query("""WITH b AS (SELECT doc_id AS id, n_chars, 0 AS seq FROM documents UNION ALL SELECT doc_id, n_chars + 1, 1 FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, n_chars + 2, 2 FROM documents WHERE doc_id % 6 = 0)
+@query("""WITH b AS (SELECT doc_id AS id, n_chars, 0 AS seq FROM documents UNION ALL SELECT doc_id, n_chars + 1, 1 FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, n_chars + 2, 2 FROM documents WHERE source = 'src1')
 SELECT id, n_chars FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1""")
 def s5_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars")
-    b1 = d.filter("id % 3 = 0").select("id", (F.col("n_chars") + 1).alias("n_chars"))
-    b2 = d.filter("id % 6 = 0").select("id", (F.col("n_chars") + 2).alias("n_chars"))
-    return mirror.upserted([d, b1, b2], "id")
+    d = table(spark, sf_dir, "documents")
+    batch = lambda rows, more: rows.select(F.col("doc_id").alias("id"), (F.col("n_chars") + more).alias("n_chars"))
+    return mirror.upserted([batch(d, 0), batch(d.filter("lang = 'en'"), 1), batch(d.filter("source = 'src1'"), 2)], "id")
 
 
 @query(f"""WITH {PAPERS_SQL}, b AS (SELECT paper_id, unnest(categories) AS category, primary_category FROM papers)
@@ -183,10 +182,10 @@ def s18_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mirror.full_text(c, "conv_id", "turn", "text")
 
 
-@query("""SELECT vec_id, label FROM (SELECT vec_id, CAST(label AS BIGINT) AS label FROM embeddings WHERE vec_id % 4 <> 0 UNION ALL SELECT vec_id, -1 FROM embeddings WHERE vec_id % 4 = 0)""")
+@query("""SELECT vec_id, label FROM (SELECT vec_id, CAST(label AS BIGINT) AS label FROM embeddings WHERE label <> 3 UNION ALL SELECT vec_id, -1 FROM embeddings WHERE label = 3)""")
 def s21_insert_skipping_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"))
-    store = v.filter("vec_id % 4 <> 0")
+    store = v.filter("label <> 3")
     first = v.select("vec_id", F.lit(-1).cast("long").alias("label"), F.lit(0).alias("seq"))
     again = v.select("vec_id", F.lit(-2).cast("long").alias("label"), F.lit(1).alias("seq"))
     return mirror.inserted(store, first.unionByName(again), "vec_id", "seq")
@@ -204,9 +203,10 @@ def s23_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mirror.retained(papers(spark, sf_dir).select("paper_id", "created"), keep, "2024-04-01").select("paper_id")
 
 
-@query("""WITH a AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS s FROM embeddings), b AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) + CASE WHEN vec_id % 50 = 0 THEN 0.001 ELSE 0 END AS s FROM embeddings WHERE vec_id % 7 <> 0)
+@query("""WITH a AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS s FROM embeddings), b AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) + CASE WHEN label = 2 THEN 0.001 ELSE 0 END AS s FROM embeddings WHERE label <> 6)
 SELECT CASE WHEN b.vec_id IS NULL THEN 'missing' WHEN abs(a.s - b.s) > 1e-5 THEN 'changed' ELSE 'same' END AS state, count(*) AS n FROM a FULL JOIN b USING (vec_id) GROUP BY 1""")
 def s25_export_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "embeddings").select("vec_id", F.get("embedding", 0).cast("double").alias("s"))
-    b = a.filter("vec_id % 7 <> 0").withColumn("s", F.col("s") + F.when(F.col("vec_id") % 50 == 0, 0.001).otherwise(0))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.get("embedding", 0).cast("double").alias("s"), "label")
+    a = v.select("vec_id", "s")
+    b = v.filter("label <> 6").select("vec_id", (F.col("s") + F.when(F.col("label") == 2, 0.001).otherwise(0)).alias("s"))
     return mirror.compared(a, b, "vec_id", "s", 1e-5).groupBy("state").agg(F.count("*").alias("n"))

@@ -79,30 +79,30 @@ def j8_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select(F.col("o_orderkey").alias("run"), "continuation").unionByName(open_)
 
 
-@query("""WITH k AS (SELECT doc_id, 0 AS p, 'id' AS how FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id, 1, 'source' FROM documents WHERE source = 'src5' UNION ALL SELECT doc_id, 2, 'lang' FROM documents WHERE lang = 'es')
+@query("""WITH k AS (SELECT doc_id, 0 AS p, 'id' AS how FROM documents WHERE source = 'src7' UNION ALL SELECT doc_id, 1, 'source' FROM documents WHERE source = 'src5' UNION ALL SELECT doc_id, 2, 'lang' FROM documents WHERE lang = 'es')
 SELECT doc_id, arg_min(how, p) AS matched_by FROM k GROUP BY doc_id""")
 def j13_fallback_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    tries = {"id": F.col("doc_id") % 10 == 0, "source": F.col("source") == "src5", "lang": F.col("lang") == "es"}
+    tries = {"id": F.col("source") == "src7", "source": F.col("source") == "src5", "lang": F.col("lang") == "es"}
     how = F.coalesce(*[F.when(test, name) for name, test in tries.items()])
     return d.select("doc_id", how.alias("matched_by")).filter("matched_by is not null")
 
 
-@query("""WITH s AS (SELECT vec_id AS id, 'vector' AS src, 0 AS p FROM embeddings UNION ALL SELECT doc_id, 'recent', 1 FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'labelled', 2 FROM labels)
+@query("""WITH s AS (SELECT vec_id AS id, 'vector' AS src, 0 AS p FROM embeddings UNION ALL SELECT doc_id, 'recent', 1 FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 'labelled', 2 FROM labels)
 SELECT src, count(*) AS n FROM (SELECT id, arg_min(src, p) AS src FROM s GROUP BY id) GROUP BY src""")
 def j14_source_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = lambda df, key, src, p: df.select(F.col(key).alias("id"), F.lit(src).alias("src"), F.lit(p).alias("p"))
-    rows = named(table(spark, sf_dir, "embeddings"), "vec_id", "vector", 0).union(named(table(spark, sf_dir, "documents").filter("doc_id % 2 = 0"), "doc_id", "recent", 1)).union(named(table(spark, sf_dir, "labels"), "doc_id", "labelled", 2))
+    rows = named(table(spark, sf_dir, "embeddings"), "vec_id", "vector", 0).union(named(table(spark, sf_dir, "documents").filter("lang = 'en'"), "doc_id", "recent", 1)).union(named(table(spark, sf_dir, "labels"), "doc_id", "labelled", 2))
     return rows.groupBy("id").agg(F.min_by("src", "p").alias("src")).groupBy("src").agg(F.count("*").alias("n"))
 
 
-@query("""WITH a AS (SELECT l_orderkey AS doc, l_linenumber AS asset, CAST(day(l_shipdate) AS BIGINT) AS page, l_linenumber AS ord FROM lineitem WHERE l_orderkey % 40 = 0),
-s AS (SELECT l_orderkey AS doc, l_linenumber AS section, l_partkey % 28 + 1 AS first_page, l_partkey % 28 + 1 + l_linenumber AS last_page FROM lineitem WHERE l_orderkey % 40 = 0)
+@query("""WITH a AS (SELECT l_orderkey AS doc, l_linenumber AS asset, CAST(day(l_shipdate) AS BIGINT) AS page, l_linenumber AS ord FROM lineitem),
+s AS (SELECT l_orderkey AS doc, l_linenumber AS section, l_partkey % 28 + 1 AS first_page, l_partkey % 28 + 1 + l_linenumber AS last_page FROM lineitem)
 SELECT doc, asset, section, tier FROM (SELECT a.doc, asset, section, CASE WHEN page BETWEEN first_page AND last_page THEN 0 WHEN last_page < page THEN 1 ELSE 2 END AS tier,
   row_number() OVER (PARTITION BY a.doc, asset ORDER BY CASE WHEN page BETWEEN first_page AND last_page THEN 0 WHEN last_page < page THEN 1 ELSE 2 END,
     CASE WHEN page BETWEEN first_page AND last_page THEN 0 WHEN last_page < page THEN page - last_page ELSE first_page - page END, abs(ord - section), section) AS k FROM a JOIN s USING (doc)) WHERE k = 1""")
 def j15_asset_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 40 = 0")
+    li = table(spark, sf_dir, "lineitem")
     a = li.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("asset"), F.dayofmonth("l_shipdate").cast("long").alias("page"))
     s = li.select(F.col("l_orderkey").alias("_d"), F.col("l_linenumber").alias("section"), (F.col("l_partkey") % 28 + 1).alias("first_page"))
     s = s.withColumn("last_page", F.col("first_page") + F.col("section"))
@@ -214,10 +214,10 @@ def o6_unclustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id").join(v, "doc_id", "left_anti").distinct()
 
 
-@query(r"""WITH w AS (SELECT conv_id, turn, list_slice(regexp_split_to_array(text, '\s+'), 1, 30) AS ws FROM conversations)
+@query(r"""WITH w AS (SELECT conv_id, turn, regexp_split_to_array(text, '\s+') AS ws FROM conversations)
 SELECT conv_id, turn, array_to_string(list_filter(ws, lambda x, i: list_position(list_transform(ws, lambda y: lower(trim(y))), lower(trim(x))) = i), ' ') AS uniq FROM w""")
 def o7_unique_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(F.split("text", r"\s+"), 1, 30).alias("ws"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", r"\s+").alias("ws"))
     return c.select("conv_id", "turn", F.array_join(S.unique_in_order(F.col("ws")), " ").alias("uniq"))
 
 
