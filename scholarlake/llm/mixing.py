@@ -45,12 +45,14 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length (ascending, positive) to take so that their words come as near to `budget` as can be, from below.
 
-    The same share of every length, then single documents from the longest down, then a bounded knapsack.
+    The same share of every length for all but EXACT words of the budget, then documents from the longest down to
+    about that, then a bounded knapsack over what is left.
     """
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    take = np.array([int(c) * int(budget) // max(total, 1) for c in counts], np.int64)
+    spread = max(0, int(budget) - EXACT)
+    take = np.array([int(c) * spread // max(total, 1) for c in counts], np.int64)
     rest = int(budget) - int((lengths * take).sum())
     i = len(lengths) - 1
     while rest > EXACT and i >= 0:  # one more of each length, longest first, while the rest is large
