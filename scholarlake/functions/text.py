@@ -25,16 +25,25 @@ def query_tokens(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
 
 
-def has_all(tokens: Column, wanted: Sequence[str]) -> Column:
-    out = F.lit(True)
-    for t in wanted:
-        out = out & F.array_contains(tokens, t)
-    return out
+def folded(text: Column) -> Column:
+    """A text as its tokens are written: lower case, marks folded away."""
+    return F.translate(F.lower(text), MARKED, PLAIN)
+
 
+def has_words(text: Column, words: Sequence[str], in_a_row: bool = False) -> Column:
+    """Whether a folded text holds these tokens, all of them or in a row.
 
-def has_phrase(tokens: Column, wanted: Sequence[str]) -> Column:
-    """Whether the tokens hold these in a row."""
-    return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")).contains(f" {' '.join(wanted)} ")
+    Searched in place: no token array is built, and the search ends at the first hit. The words hold ASCII letters
+    and digits only.
+    """
+    edge = r"[\p{L}\p{N}]"
+    if in_a_row:
+        gap = r"[^\p{L}\p{N}]+"
+        return text.rlike(f"(?<!{edge}){gap.join(words)}(?!{edge})")
+    out = F.lit(True)
+    for w in words:
+        out = out & text.contains(w) & text.rlike(f"(?<!{edge}){w}(?!{edge})")
+    return out
 
 
 def keyword_tokens(text: Column) -> Column:

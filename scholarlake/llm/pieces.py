@@ -11,6 +11,7 @@ Runs of spaces are worked out from their length.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -184,13 +185,11 @@ class Pieces:
         """Encodes the words that are not yet known. What was not met since the last half-full moment is forgotten."""
         if len(self.words) > REMEMBERED:
             self.older, self.words = self.words, {}
-        fresh = []
-        for w in words:
-            if w and w not in self.words:
-                if w in self.older:
-                    self.words[w] = self.older[w]
-                else:
-                    fresh.append(w)
+        fresh = words.difference(self.words)
+        fresh.discard("")
+        for w in fresh.intersection(self.older):
+            self.words[w] = self.older[w]
+        fresh = list(fresh.difference(self.older))
         todo = [w[1:] if w[0] == "\n" else MARK + w for w in fresh]
         for w, ids in zip(fresh, (ids for i in range(0, len(todo), TOGETHER) for ids in self.merge(todo[i : i + TOGETHER])), strict=True):
             found = ids
@@ -200,7 +199,7 @@ class Pieces:
 
     def entry(self, ids: list[int]) -> tuple:
         """Number of ids, decimal ids, decoded bytes, whether the first is a bare space mark, and the ids as int32."""
-        return len(ids), ",".join([self.decimal[i] for i in ids]), b"".join([self.bytes_of[i] for i in ids]), ids[:1] == [self.id_of[MARK]], np.array(ids, np.int32).tobytes()
+        return len(ids), ",".join([self.decimal[i] for i in ids]), b"".join([self.bytes_of[i] for i in ids]), ids[:1] == [self.id_of[MARK]], array("i", ids).tobytes()
 
     def entries(self, words: list[str]) -> list[tuple]:
         """The entry of each word of a text, runs of space marks put in."""

@@ -127,17 +127,25 @@ def find(docs: DataFrame, window: int = 8, min_texts: int = 3, generalise: float
     seen = saved(map_arrow(texts, first, f"doc_id {kind_of_id}, text_key binary, base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:string,term:string,start:int,end:int>>"), "pii-seen")
     # which words stand near which entities, in how many different texts
     pairs = seen.filter(F.size("near") > 0).select("text_key", F.explode("near").alias("n")).select("text_key", "n.entity", "n.term").distinct()
+    pairs = saved(pairs, "pii-pairs")
+    total = float(max(seen.select("text_key").distinct().count(), 1))
+    of_entity = pairs.select("text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    around = pairs.select("text_key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_around"))
     together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_texts)
-    together = saved(together, "pii-together")
-    # how often the words and the entities of these pairs occur at all: one more pass over the texts
+    information = F.log(F.lit(total) / F.col("n_entity"))
+    disclosure = lambda n_term: F.when(information >= min_information, F.log(F.col("n_both") * total / (n_term * F.col("n_entity"))) / information)
+    # a word is in as many texts as it is near entities in, or in more: what already falls short of the threshold goes
+    together = together.join(of_entity, "entity").join(around, "term").filter(disclosure(F.col("n_around")) >= generalise)
+    together = saved(together.select("entity", "term", "n_both", "n_entity"), "pii-together")
+    # how often the words of these pairs occur at all: one more pass over the texts
     bits = _filter(together.select("term"))
 
     def second(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         keys, terms = [], []
         known: dict[str, str] = {}
-        for t in texts_of(batch):
+        for t in set(texts_of(batch)) if bits is not None else ():
             found = set()
-            for w in set(t.split()) if bits is not None else ():
+            for w in set(t.split()):
                 x = known.get(w)
                 if x is None:
                     x = term(w)
@@ -151,12 +159,7 @@ def find(docs: DataFrame, window: int = 8, min_texts: int = 3, generalise: float
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(terms, pa.string())], names=["text_key", "term"]) if keys else None
 
     of_term = map_arrow(texts, second, "text_key binary, term string").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    of_entity = pairs.select("text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    total = seen.select("text_key").distinct().count()
-    p = together.join(of_term, "term").join(of_entity, "entity")
-    information = F.log(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    pmi = F.log(F.col("n_both") * F.lit(float(max(total, 1))) / (F.col("n_term") * F.col("n_entity")))
-    told = p.withColumn("disclosure", F.when(information >= min_information, pmi / information)).filter(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
+    told = together.join(of_term, "term").withColumn("disclosure", disclosure(F.col("n_term"))).filter(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
     # back to the words
     places = seen.filter(F.size("near") > 0).select("doc_id", "text_key", F.explode("near").alias("n")).select("doc_id", "text_key", "n.*").distinct()
     spans = places.join(told, ["entity", "term"]).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end", "term", "disclosure")).alias("t"))

@@ -53,21 +53,23 @@ def repeated_words(words: list[list[bytes]]) -> np.ndarray:
     total = int(lengths.sum())
     if total < WINDOW:
         return out
-    # equal words have equal numbers within this slice, so windows compare exactly by hash of their numbers
-    number: dict[bytes, int] = {}
-    flat = np.fromiter((number.setdefault(w, len(number)) for ws in words for w in ws), np.uint64, total)
+    # windows of equal words have equal 64-bit hashes within this process
+    flat = np.fromiter((hash(w) for ws in words for w in ws), np.int64, total).view(np.uint64)
     doc = np.repeat(np.arange(len(words)), lengths)
-    odd, a = np.uint64(0x9E3779B97F4A7C15), flat + np.uint64(1)
-    n = total - WINDOW + 1
+    odd, n = np.uint64(0x9E3779B97F4A7C15), total - WINDOW + 1
     h = doc[:n].astype(np.uint64) * odd
     for j in range(WINDOW):
-        h = (h ^ a[j : j + n]) * odd
+        h = (h ^ flat[j : j + n]) * odd
         h ^= h >> np.uint64(31)
     inside = np.flatnonzero(doc[:n] == doc[WINDOW - 1 :])
-    _, first, back, count = np.unique(h[inside], return_index=True, return_inverse=True, return_counts=True)
-    twice = inside[count[back] > 1]
-    if not len(twice):
+    h = h[inside]
+    ordered = np.sort(h)
+    same = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(same):
         return out
+    same = np.unique(same)
+    at = np.minimum(np.searchsorted(same, h), len(same) - 1)
+    twice = inside[same[at] == h]
     edge = np.zeros(total + 1, np.int64)
     np.add.at(edge, twice, 1)
     np.add.at(edge, twice + WINDOW, -1)

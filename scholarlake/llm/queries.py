@@ -85,6 +85,44 @@ FROM checked GROUP BY conv_id""",
 }
 
 
+
+def _spans_sql() -> str:
+    """The matches of all rules with their places: pieces between matches and the matches add up to them."""
+    parts = []
+    for k, r in enumerate(secrets.RULES):
+        p = r.pattern.replace("'", "''")
+        counted = f"regexp_extract_all(text, '{p}', {r.group})"
+        parts.append(f"""SELECT doc_id, {k} AS kind, '{r.kind}' AS name, start, start + length(hit) AS stop FROM (
+    SELECT doc_id, m[i] AS hit, c[i] AS counted, list_sum(list_transform(list_slice(p, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(m, 1, i - 1), lambda x: length(x))), 0) AS start
+    FROM (SELECT doc_id, m, c, p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS m, {counted} AS c, regexp_split_to_array(text, '{p}') AS p FROM t WHERE regexp_matches(text, '{p}')))
+  ) WHERE length(counted) >= {r.least}""")
+    return " UNION ALL ".join(parts)
+
+
+def _joined(where: str) -> str:
+    return f"coalesce(string_agg(name || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, kind) FILTER ({where}), '')"
+
+
+SQL["op4_secrets"] = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), s AS ({_spans_sql()})
+SELECT t.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256({_joined("kind < 3")}) AS base_sha256, {_joined("kind >= 0")} AS spans, count(*) FILTER (kind >= 3) AS n_more
+FROM t LEFT JOIN s ON s.doc_id = t.doc_id GROUP BY t.doc_id"""
+
+SQL["op8_near_dup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(list_slice(ws, i, i + 4), ' '))) AS s FROM w WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)
+), reach AS (SELECT x AS doc_id, x AS via FROM links UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.via), c AS (SELECT doc_id, min(via) AS least FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id, least(d.doc_id, coalesce(c.least, d.doc_id)) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_chat_formatting, op2_pii, op3_sentencepiece, op4_secrets, op5_mixing, op6_quality, op7_token_counts, op8_near_dup, op9_toxicity, op10_imatch, pipeline)
     return {f.__name__: f for f in found}

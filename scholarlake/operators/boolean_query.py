@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholarlake.functions.text import document_tokens, has_all, has_phrase, query_tokens
+from scholarlake.functions.text import folded, has_words, query_tokens
 
 FIELDS = {"ti": "title", "title": "title", "abs": "abstract", "abstract": "abstract", "cat": "category", "category": "category", "all": "all", "id": "id"}
 #: Relevance of a hit in a field.
@@ -107,19 +107,18 @@ def parse(s: str) -> Node:
 
 @dataclass(frozen=True)
 class Columns:
-    """The columns that queries ask: token arrays by field, categories, id and an ISO date."""
+    """The columns that queries ask: folded texts by field, categories, id and an ISO date."""
 
-    tokens: dict[str, Column]
+    texts: dict[str, Column]
     categories: Column
     id: Column
     date: Column
 
 
-def indexed(papers: DataFrame) -> tuple[DataFrame, Columns]:
-    """`papers` with token columns, and how to ask them."""
-    rows = papers.withColumns({"_title": document_tokens(F.col("title")), "_abstract": document_tokens(F.col("abstract"))})
-    rows = rows.withColumn("_all", F.concat("_title", "_abstract"))
-    return rows, Columns({"title": F.col("_title"), "abstract": F.col("_abstract"), "all": F.col("_all")}, F.col("categories"), F.col("paper_id").cast("string"), F.col("created"))
+def columns_of() -> Columns:
+    """How to ask papers."""
+    both = F.concat("title", F.lit("\n"), "abstract")
+    return Columns({"title": folded(F.col("title")), "abstract": folded(F.col("abstract")), "all": folded(both)}, F.col("categories"), F.col("paper_id").cast("string"), F.col("created"))
 
 
 def compile_query(n: Node, c: Columns) -> Column:
@@ -137,8 +136,7 @@ def compile_query(n: Node, c: Columns) -> Column:
         return F.array_contains(c.categories, n.value)
     if n.kind == "id":
         return c.id == n.value
-    words = query_tokens(n.value)
-    return has_phrase(c.tokens[n.field], words) if n.phrase else has_all(c.tokens[n.field], words)
+    return has_words(c.texts[n.field], query_tokens(n.value), n.phrase)
 
 
 def relevance(n: Node, c: Columns) -> Column:
@@ -154,7 +152,7 @@ def relevance(n: Node, c: Columns) -> Column:
     hit = lambda f: compile_query(Node("text", field=f, value=n.value, phrase=n.phrase), c)
     if n.field != "all":
         return F.when(hit(n.field), 10).otherwise(0)
-    return sum((F.when(hit(f), w).otherwise(0) for f, w in WEIGHTS.items() if f in c.tokens), F.lit(0))
+    return sum((F.when(hit(f), w).otherwise(0) for f, w in WEIGHTS.items() if f in c.texts), F.lit(0))
 
 
 def search(papers: DataFrame, query: str, sort: str = "date", start: int = 0, n: int = 10) -> DataFrame:
@@ -163,8 +161,8 @@ def search(papers: DataFrame, query: str, sort: str = "date", start: int = 0, n:
     By relevance the newest POOL hits are scored, or as many as the page needs.
     """
     ast = parse(query)
-    rows, c = indexed(papers)
-    hits = rows.filter(compile_query(ast, c)).select("paper_id", "created", relevance(ast, c).cast("long").alias("score"))
+    c = columns_of()
+    hits = papers.filter(compile_query(ast, c)).select("paper_id", "created", relevance(ast, c).cast("long").alias("score"))
     # one count beside the page: both come from the same filtered scan
     total = hits.agg(F.count("*").alias("total"))
     newest = [F.desc("created"), F.desc("paper_id")]
@@ -177,16 +175,16 @@ def search(papers: DataFrame, query: str, sort: str = "date", start: int = 0, n:
 
 def count_many(papers: DataFrame, queries: dict[str, str]) -> DataFrame:
     """(name, n): hits of many queries in one scan."""
-    rows, c = indexed(papers)
-    counts = rows.agg(*[F.sum(F.when(compile_query(parse(q), c), 1).otherwise(0)).cast("long").alias(name) for name, q in queries.items()])
+    c = columns_of()
+    counts = papers.agg(*[F.sum(F.when(compile_query(parse(q), c), 1).otherwise(0)).cast("long").alias(name) for name, q in queries.items()])
     return counts.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, queries)), F.array(*[F.coalesce(F.col(f"`{q}`"), F.lit(0).cast("long")) for q in queries]))).alias("name", "n"))
 
 
 def first_level(papers: DataFrame, levels: list[str]) -> DataFrame:
     """Hits of the first query of a ladder, from strict to loose, that has any: (paper_id, level)."""
-    rows, c = indexed(papers)
+    c = columns_of()
     level = F.coalesce(*[F.when(compile_query(parse(q), c), F.lit(i)) for i, q in enumerate(levels)])
-    hits = rows.select("paper_id", level.alias("level")).filter("level is not null")
+    hits = papers.select("paper_id", level.alias("level")).filter("level is not null")
     return hits.withColumn("least", F.min("level").over(Window.partitionBy(F.lit(0)))).filter("level = least").select("paper_id", F.col("level").cast("long").alias("level"))
 
 
