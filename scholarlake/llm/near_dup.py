@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarlake.llm.common import map_arrow, saved, slices, texts_of
@@ -168,8 +168,10 @@ def _nodes(reps: DataFrame, j: Join) -> DataFrame:
         return each
 
     def counted(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("node")))
-        return saved(rows.filter("n > 1"), "nodes")
+        """`rows` with the size n of their node, from two on. Sizes are summed map-side and joined on, so Spark can split a large node."""
+        rows = saved(rows, "walks")
+        sizes = saved(rows.groupBy(F.col("node").alias("_node")).agg(F.count("*").alias("n")).filter("n > 1"), "node-sizes")
+        return saved(rows.join(sizes, F.col("node") == F.col("_node")).select("node", "doc", "n"), "nodes")
 
     level = counted(map_arrow(reps.select("doc", "sketch"), down(j.depth, True), "node long, doc long"))
     found = level.filter(F.col("n") <= j.node_rows)
