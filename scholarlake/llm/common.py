@@ -44,6 +44,7 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
         for batch in batches:
             if batch.num_rows and (out := f(batch)) is not None and out.num_rows:
                 yield out
+        pa.default_memory_pool().release_unused()  # a worker lives on and serves other stages
 
     return df.mapInArrow(each, schema)
 
@@ -53,7 +54,7 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
-def slices(texts: list[str], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `chars` characters in all (a longer text stands alone), to bound memory."""
     start = total = 0
     for i, t in enumerate(texts):

@@ -71,7 +71,7 @@ class Words:
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 100_000:
             known.clear()
         out = [known.get(w) for w in words]
         if None in out:

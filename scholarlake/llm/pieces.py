@@ -28,7 +28,7 @@ NONE = np.iinfo(np.int32).max
 #: Words merged together: their arrays then stay in the processor's cache.
 TOGETHER = 8192
 #: Distinct words that a worker remembers, besides as many older ones.
-REMEMBERED = 300_000
+REMEMBERED = 50_000
 
 
 class Pieces:

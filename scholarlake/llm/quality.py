@@ -149,6 +149,7 @@ def _assessed(rows: DataFrame, bands: Mapping[str, Band], only: T.StructType | N
             else:
                 columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), _TYPES, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[batch.schema.names[0], *MEASURES])
+        pa.default_memory_pool().release_unused()
 
     if only is not None:
         return rows.mapInArrow(each, only)

@@ -21,7 +21,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 CONTEXT = 8
 #: Pre-tokens of a leaf.
 LEAF = 64
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 class Known(dict):
