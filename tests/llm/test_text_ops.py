@@ -198,6 +198,14 @@ def test_toxicity_learns(spark, sf_dir):
     assert auc > 0.85
 
 
+def test_toxicity_of_held_out_rows(spark, sf_dir):
+    big = sf_dir.replace("sf0.001", "sf0.1")
+    rows = queries.op9_toxicity(spark, big).join(table(spark, big, "labels"), "doc_id").filter("held_out").select("score", "toxic").collect()
+    good = [r.score for r in rows if r.toxic == 1], [r.score for r in rows if r.toxic == 0]
+    auc = sum((a > b) + 0.5 * (a == b) for a in good[0] for b in good[1]) / (len(good[0]) * len(good[1]))
+    assert auc > 0.9
+
+
 def test_toxic_features():
     w = {"idiot": 1.0}
     plain, hidden = toxicity.measure("you idiot", w), toxicity.measure("you 1d10t", w)
