@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from scholarlake.llm import imatch, pieces, pii, quality, queries, secrets, token_counts, toxicity
@@ -153,6 +154,20 @@ def test_bands_reject_what_no_language_looks_like():
     assert a[-1] and not b[-1] and not b[-2]
 
 
+def test_length_does_not_make_a_clean_text_bad():
+    rnd = random.Random(8)
+    words = [f"{a}{b}{c}" for a in ("ver", "ge", "be", "un", "an", "auf", "zer") for b in ("stand", "halt", "leg", "schreib", "rech", "bild", "fass") for c in ("en", "ung", "bar", "lich", "er", "t", "st", "e")]
+    style = lambda n: " ".join(rnd.choices(words, [1 / (k + 1) for k in range(len(words))], k=n))
+    texts = [style(n) for n in (250, 13_000, 260_000)]
+    found = [dict(zip(quality.MEASURES, r, strict=True)) for r in quality.measure(texts, ["de"] * 3)]
+    assert found[0]["n_tokens"] > 500 and found[1]["n_tokens"] > 30_000 and found[2]["n_tokens"] > 600_000
+    assert all(r["kept"] for r in found), found
+    values = [r["token_entropy"] for r in found]
+    assert max(values) - min(values) < 0.08
+    # junk stays junk however long it is
+    assert not any(quality.fertility(np.tile([5, 6, 7], n), 9 * n, 3)[3] >= 0.45 for n in (100, 10_000, 300_000))
+
+
 # token counts
 
 
