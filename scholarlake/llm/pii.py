@@ -2,7 +2,8 @@
 
 Entities are the values that the patterns find. The corpus tells how strongly a word reveals an entity:
 pointwise mutual information over texts, PMI(w; e) = log(p(w, e) / (p(w) p(e))), where w and e occur
-together if w stands within a few words of e. Its share of the entity's information content, PMI / -log p(e),
+together if a text holds both, wherever they stand. What was seen in few texts is known less surely, so w counts
+as if it stood in half a text more. Its share of the entity's information content, PMI / -log p(e),
 is the disclosure: 1 means that whoever reads w knows e. Words at or above `remove` go, those at or above
 `generalise` become a class label.
 """
@@ -80,32 +81,26 @@ def term(word: str) -> str:
     return t if len(t) >= 4 and not any(c.isdigit() for c in t) else ""
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words within `window` words of a span and outside all spans."""
+def words_around(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of all words of a text that overlap no span."""
     if not spans:
         return []
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
     starts = np.array([w[0] for w in words])
     taken = np.zeros(len(words), bool)
-    near = []
-    for s, kind, e in spans:
-        a, b = max(int(np.searchsorted(starts, s, "right")) - 1, 0), int(np.searchsorted(starts, e, "left"))
-        taken[a:b] = True
-        near.append((entity(kind, text[s:e]), a, b))
-    out = set()
-    for who, a, b in near:
-        for i in [*range(max(0, a - window), a), *range(b, min(len(words), b + window))]:
-            if not taken[i] and (t := term(text[slice(*words[i])])):
-                out.add((who, t, *words[i]))
-    return sorted(out, key=lambda x: (x[2], x[0]))
-
-
-def find(docs: DataFrame, window: int = 8, min_texts: int = 3, generalise: float = 0.9, remove: float = 0.98, min_information: float = 1.0) -> DataFrame:
-    """All spans of every whole text: (doc_id, base, terms).
+    for s, _, e in spans:
+        taken[max(int(np.searchsorted(starts, s, "right")) - 1, 0) : int(np.searchsorted(starts, e, "left"))] = True
+    return [(t, a, b) for (a, b), hit in zip(words, taken.tolist(), strict=True) if not hit and (t := term(text[a:b]))]
+
+
+def find(docs: DataFrame, doubt: float = 0.5, generalise: float = 0.9, remove: float = 0.98, min_information: float = 1.0) -> DataFrame:
+    """All spans of every whole text: (doc_id, text_key, base, terms).
 
     base is array<struct<start,kind,end>> in order (kind: its index in KINDS), terms array<struct<start,end,term,disclosure>>.
-    A word is a term span if it stands within `window` words of an entity that it reveals: both occur together
-    in at least `min_texts` different texts (fewer are no evidence), and its disclosure is at least `generalise`.
+    A word of a text is a term span if it reveals an entity of that text, however far away: its disclosure is at
+    least `generalise`. PMI is smoothed: a word counts as if `doubt` texts more had it, without the entity, so what
+    was seen once is generalised and only what was seen often can reach `remove`. An entity of one text is judged
+    too: by the words that hardly any other text has.
     Counts are over different texts, so copies of one page are one piece of evidence; an entity that carries less
     than `min_information` nats is public. Null texts are empty and have no spans; repeated rows have the same
     spans each; columns other than doc_id and text are ignored.
@@ -113,30 +108,37 @@ def find(docs: DataFrame, window: int = 8, min_texts: int = 3, generalise: float
     kind_of_id = dict(docs.dtypes)["doc_id"]
 
     def first(batch: pa.RecordBatch) -> pa.RecordBatch:
-        base, near, keys = [], [], []
+        base, who, near, keys = [], [], [], []
         for t in texts_of(batch):
             spans = base_spans(t)
             base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-            near.append([{"entity": w, "term": x, "start": s, "end": e} for w, x, s, e in contexts(t, spans, window)])
+            who.append(sorted({entity(k, t[s:e]) for s, k, e in spans}))
+            near.append([{"term": x, "start": s, "end": e} for x, s, e in words_around(t, spans)])
             keys.append(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest())
         one = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-        ctx = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(base, pa.list_(one)), pa.array(near, pa.list_(ctx))], names=["doc_id", "text_key", "base", "near"])
+        word = pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(base, pa.list_(one)), pa.array(who, pa.list_(pa.string())), pa.array(near, pa.list_(word))], names=["doc_id", "text_key", "base", "entities", "near"])
 
     texts = docs.select("doc_id", "text")
-    seen = saved(map_arrow(texts, first, f"doc_id {kind_of_id}, text_key binary, base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:string,term:string,start:int,end:int>>"), "pii-seen")
-    # which words stand near which entities, in how many different texts
-    pairs = seen.filter(F.size("near") > 0).select("text_key", F.explode("near").alias("n")).select("text_key", "n.entity", "n.term").distinct()
-    pairs = saved(pairs, "pii-pairs")
+    seen = saved(map_arrow(texts, first, f"doc_id {kind_of_id}, text_key binary, base array<struct<start:int,kind:int,end:int>>, entities array<string>, near array<struct<term:string,start:int,end:int>>"), "pii-seen")
+    told_in = F.size("entities") > 0
     total = float(max(seen.select("text_key").distinct().count(), 1))
-    of_entity = pairs.select("text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    around = pairs.select("text_key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_around"))
-    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_texts)
+    # which entities and which words the different texts hold
+    held = seen.filter(told_in).select("text_key", F.explode("entities").alias("entity")).distinct()
+    of_entity = held.groupBy("entity").agg(F.count("*").alias("n_entity"), F.min("text_key").alias("_only"))
+    of_entity = saved(of_entity, "pii-entities")
+    # entities of one and the same text are equal in all that follows: one stands for them, so a list of many is not multiplied
+    alone = of_entity.filter("n_entity = 1").groupBy(F.col("_only").alias("text_key")).agg(F.min("entity").alias("entity")).select("text_key", "entity", F.lit(1).cast("long").alias("n_entity"))
+    shared = held.join(of_entity.filter("n_entity > 1").select("entity", "n_entity"), "entity").select("text_key", "entity", "n_entity")
+    held = saved(alone.unionByName(shared), "pii-held")
     information = F.log(F.lit(total) / F.col("n_entity"))
-    disclosure = lambda n_term: F.when(information >= min_information, F.log(F.col("n_both") * total / (n_term * F.col("n_entity"))) / information)
-    # a word is in as many texts as it is near entities in, or in more: what already falls short of the threshold goes
-    together = together.join(of_entity, "entity").join(around, "term").filter(disclosure(F.col("n_around")) >= generalise)
-    together = saved(together.select("entity", "term", "n_both", "n_entity"), "pii-together")
+    disclosure = lambda n_both, n_term: F.when(information >= min_information, F.log(n_both * total / ((n_term + doubt) * F.col("n_entity"))) / information)
+    words = saved(seen.filter(told_in).select("text_key", F.explode("near.term").alias("term")).distinct(), "pii-words")
+    around = words.groupBy("term").agg(F.count("*").alias("n_around"))
+    # a word is in as many texts as it is in beside entities, or in more, and beside e in as many as e is or in fewer: what already falls short of the threshold goes
+    pairs = words.join(around, "term").join(held, "text_key").filter(disclosure(F.least("n_around", "n_entity"), F.col("n_around")) >= generalise)
+    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n_around").alias("n_around"))
+    together = saved(together.filter(disclosure(F.col("n_both"), F.col("n_around")) >= generalise).drop("n_around"), "pii-together")
     # how often the words of these pairs occur at all: one more pass over the texts
     bits = _filter(together.select("term"))
 
@@ -159,14 +161,15 @@ def find(docs: DataFrame, window: int = 8, min_texts: int = 3, generalise: float
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(terms, pa.string())], names=["text_key", "term"]) if keys else None
 
     of_term = map_arrow(texts, second, "text_key binary, term string").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    told = together.join(of_term, "term").withColumn("disclosure", disclosure(F.col("n_term"))).filter(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
-    # back to the words
-    places = seen.filter(F.size("near") > 0).select("doc_id", "text_key", F.explode("near").alias("n")).select("doc_id", "text_key", "n.*").distinct()
-    spans = places.join(told, ["entity", "term"]).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end", "term", "disclosure")).alias("t"))
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "t")
-    out = seen.join(spans, seen.doc_id.eqNullSafe(F.col("_id")) & (seen.text_key == F.col("_key")), "left")
+    told = together.join(of_term, "term").withColumn("disclosure", disclosure(F.col("n_both"), F.col("n_term"))).filter(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
+    # back to the words: of each text those that its entities are told by, the strongest once
+    of_text = words.join(held.join(told, "entity").groupBy("text_key", "term").agg(F.max("disclosure").alias("d")), ["text_key", "term"])
+    of_text = of_text.groupBy(F.col("text_key").alias("_key")).agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("_told"))
     none = F.array().cast("array<struct<start:int,end:int,term:string,disclosure:double>>")
-    return out.select("doc_id", "text_key", "base", F.coalesce(F.array_sort("t"), none).alias("terms"))
+    some = seen.filter(told_in).join(of_text, F.col("text_key") == F.col("_key"), "left")
+    places = F.transform(F.filter("near", lambda w: F.map_contains_key("_told", w["term"])), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["term"].alias("term"), F.element_at("_told", w["term"]).alias("disclosure")))
+    some = some.select("doc_id", "text_key", "base", F.coalesce(F.array_sort(places), none).alias("terms"))
+    return some.unionByName(seen.filter(~told_in).select("doc_id", "text_key", "base", none.alias("terms")))
 
 
 def _slot(word: str) -> int:

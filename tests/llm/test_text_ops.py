@@ -72,6 +72,21 @@ def test_words_that_reveal_are_sanitised(spark):
     assert "Kronos" not in clean[1003] and "<EMAIL>" in clean[1003] and clean[7] == dict(rows)[7]
 
 
+def test_words_that_reveal_an_entity_of_one_text(spark):
+    rnd = random.Random(9)
+    common = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)]
+    rows = [(i, " ".join([*common, *rnd.choices(common, k=5)])) for i in range(300)]
+    far = " ".join(rnd.choices(common, k=40))  # many words lie between the name and the entity
+    rows += [(1000, f"{common[0]} Kronos {far} boss@corp.example.com {common[1]}"), (1001, f"Kronos {far} boss@corp.example.com"), (1002, f"Hapax {far}"), (1003, f"Zyklop {far} one@corp.example.com, two@corp.example.com"), (1004, f"Zyklop {far} one@corp.example.com, two@corp.example.com")]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    for i, name in ((1000, "Kronos"), (1001, "Kronos"), (1003, "Zyklop"), (1004, "Zyklop")):  # in two texts; in one text and its copy
+        at = text[i].index(name)
+        assert [(t.start, t.end, t.term) for t in got[i].terms] == [(at, at + 6, name.lower())]
+        assert 0.9 <= got[i].terms[0].disclosure < 0.98
+    assert not any(r.terms for i, r in got.items() if i < 1000 or i == 1002)
+
+
 # sentencepiece
 
 
