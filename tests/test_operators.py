@@ -53,6 +53,36 @@ def test_skipped_items_cost_nothing(spark):
     assert {r.k: r.decision for r in greedy.select_with_budget(df, "g", "k", 5, 100).collect()} == {1: "anchor", 2: "over_budget", 3: "fill"}
 
 
+def test_all_candidates_take_part(spark):
+    big = [("g", i, 9.0, 0.9, 1, False, 50) for i in range(1000)]
+    rows = [*big, ("g", 1000, 1.0, 0.1, 2, False, 10), ("g", 1001, 0.5, 0.1, 1, True, 10), ("h", 1, 1.0, 1.0, 1, False, 5)]
+    df = spark.createDataFrame(rows, "g string, k int, priority double, score double, n_anchors int, is_anchor boolean, size int")
+    got = {(r.g, r.k): r.decision for r in greedy.select_with_budget(df, "g", "k", 5, 30).collect()}
+    assert got == {("g", i): "over_budget" for i in range(1000)} | {("g", 1000): "shared", ("g", 1001): "anchor", ("h", 1): "fill"}
+
+
+def test_all_topics_join_their_best_leader(spark):
+    rng = random.Random(2)
+    topics = [(f"t{i:04}", rng.sample([f"w{j}" for j in range(60)], rng.randint(1, 4)), rng.randint(1, 50)) for i in range(700)]
+    leaders, want = [], {}
+    for label, tokens, _ in sorted(topics, key=lambda t: (-t[2], t[0])):
+        like = [(len(set(tokens) & u) / len(set(tokens) | u), -i) for i, (_, u) in enumerate(leaders)]
+        best = max(like, default=(0.0, 0))
+        if best[0] >= 0.3:
+            want[label] = leaders[-best[1]][0]
+        else:
+            leaders.append((label, set(tokens)))
+            want[label] = label
+    df = spark.createDataFrame([("a", *t) for t in topics], "role string, label string, tokens array<string>, weight int")
+    assert {r.label: r.leader for r in greedy.leader_clusters(df, "role", 0.3).collect()} == want
+
+
+def test_density_clusters_keep_all_rows(spark):
+    rows = [(1, i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(2300)] + [(1, 5000, [-1.0, -1.0])]
+    got = {r.k: r.cluster for r in greedy.density_clusters(spark.createDataFrame(rows, "g int, k int, v array<double>"), "g", "k", "v").collect()}
+    assert got == {i: i % 2 for i in range(2300)} | {5000: -1}
+
+
 def test_split_overlaps_and_covers(spark):
     text = "word " * 100
     df = spark.createDataFrame([(1, text)], "id int, t string").lateralJoin(greedy.SplitOverlong(F.col("t").outer(), F.lit(120), F.lit(20), F.lit(30)))
