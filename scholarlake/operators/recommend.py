@@ -46,16 +46,33 @@ def best_match(candidates: DataFrame, centroids: DataFrame, key: str, vector: st
     return best.select(key, (-F.col("b.c")).alias(f"{name}_cluster"), F.col("b.s").alias(f"{name}_similarity"))
 
 
-def recall(vectors: DataFrame, centroids: DataFrame, per_cluster: int) -> DataFrame:
-    """(vec_id, best_cluster, similarity, n_clusters): the nearest of every cluster, merged by paper."""
+def nearest_of(vectors: DataFrame, centroids: DataFrame, per_cluster: int) -> DataFrame:
+    """(cluster, vec_id, s): the vectors nearest to every cluster, of all vectors."""
     sent = centroids.select("cluster", "mean", norm(F.col("mean")).alias("_cn"), F.lit(1).alias("_one"))
     rows = vectors.withColumn("_one", F.lit(1)).join(F.broadcast(sent), "_one")
     rows = rows.select("vec_id", "cluster", F.round(cosine(F.col("v"), F.col("mean"), F.col("norm") * F.col("_cn")), 6).alias("s"))
-    top = ranked(rows, ["cluster"], F.desc("s"), F.asc("vec_id"), n=per_cluster)
+    return ranked(rows, ["cluster"], F.desc("s"), F.asc("vec_id"), n=per_cluster).select("cluster", "vec_id", "s")
+
+
+def recall(vectors: DataFrame, centroids: DataFrame, per_cluster: int) -> DataFrame:
+    """(vec_id, best_cluster, similarity, n_clusters): the nearest of every cluster, merged by paper."""
+    top = nearest_of(vectors, centroids, per_cluster)
     g = top.groupBy("vec_id").agg(F.max(F.struct("s", (-F.col("cluster")).alias("c"))).alias("b"), F.count("*").alias("n_clusters"))
     return g.select("vec_id", (-F.col("b.c")).alias("best_cluster"), F.col("b.s").alias("similarity"), "n_clusters")
 
 
+def candidates(users: DataFrame, liked: DataFrame, vectors: DataFrame, centroids: DataFrame, per_cluster: int, newest: int) -> DataFrame:
+    """(user_id, vec_id): the nearest vectors to each cluster that a user has liked an item of; for a user without one the newest.
+
+    `users` (user_id), `liked` (user_id, vec_id), `vectors` (vec_id, label, v, norm), `centroids` (cluster, mean).
+    """
+    interest = liked.join(vectors.select("vec_id", F.col("label").alias("cluster")), "vec_id").select("user_id", "cluster").distinct()
+    found = interest.join(nearest_of(vectors, centroids, per_cluster), "cluster").select("user_id", "vec_id").distinct()
+    last = vectors.select("vec_id").orderBy(F.desc("vec_id")).limit(newest).withColumn("_one", F.lit(1))
+    lone = users.select("user_id").distinct().join(interest.select("user_id").distinct(), "user_id", "left_anti").withColumn("_one", F.lit(1))
+    return found.unionByName(lone.join(F.broadcast(last), "_one").select("user_id", "vec_id"))
+
+
 def recency(days: Column) -> Column:
     return 1.0 / (1.0 + F.greatest(days, F.lit(0)) / 365.0)
 
@@ -109,11 +126,10 @@ def _pick(rows: pd.DataFrame, n: int, relevance: float, semantic: float) -> pd.D
     return rows.loc[order, ["user_id", "vec_id", "cluster", "score"]].assign(selection_rank=range(1, len(order) + 1))
 
 
-def diversify(candidates: DataFrame, n: int, per_user: int = 500, relevance: float = 0.75, semantic: float = 0.7) -> DataFrame:
-    """(user_id, vec_id, cluster, score, selection_rank): a varied choice from each user's best `per_user` candidates.
+def diversify(candidates: DataFrame, n: int, relevance: float = 0.75, semantic: float = 0.7) -> DataFrame:
+    """(user_id, vec_id, cluster, score, selection_rank): a varied choice from all of each user's candidates.
 
-    Spark ranks and cuts the candidates of each user first, so a group is bounded.
+    Recall bounds the candidates of a user: so many for each cluster.
     """
-    top = ranked(candidates, ["user_id"], F.desc("score"), F.asc("vec_id"), n=per_user, name="_r").drop("_r")
     kinds = dict(candidates.dtypes)
-    return top.groupBy("user_id").applyInPandas(lambda g: _pick(g, n, relevance, semantic), f"user_id {kinds['user_id']}, vec_id {kinds['vec_id']}, cluster {kinds['cluster']}, score double, selection_rank long")
+    return candidates.groupBy("user_id").applyInPandas(lambda g: _pick(g, n, relevance, semantic), f"user_id {kinds['user_id']}, vec_id {kinds['vec_id']}, cluster {kinds['cluster']}, score double, selection_rank long")

@@ -136,13 +136,21 @@ def f21_search_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("final"), "vec_id")).cast("long"))
 
 
+#: Papers recalled for each of a user's interest clusters (the reference's recall limit), and the newest for a user without one (P1).
+_RECALLED, _NEWEST = 30, 5
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    liked = e.filter("event_type = 'purchase'").select("user_id", F.col("k").alias("vec_id")).distinct()
+    return R.candidates(e.select("user_id"), liked, vectors(spark, sf_dir), _centroids(spark, sf_dir), _RECALLED, _NEWEST)
+
+
 @query()
 def w10_diversified(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     scored = _base(spark, sf_dir).join(v.select("vec_id", "v", F.col("label").alias("cluster")), "vec_id").withColumn("score", F.round("score", 5))
-    users = events(spark, sf_dir).filter("event_type = 'purchase'").select("user_id", F.col("k").alias("_k")).distinct()
-    # a user's candidates: what shares a residue with a liked item stands for recall
-    both = users.join(scored.withColumn("_m", F.pmod("vec_id", F.lit(97))), F.pmod("_k", F.lit(97)) == F.col("_m")).select("user_id", "vec_id", "cluster", "score", "v").dropDuplicates(["user_id", "vec_id"])
+    both = _candidates(spark, sf_dir).join(scored, "vec_id").select("user_id", "vec_id", "cluster", "score", "v")
     return R.diversify(both, 10)
 
 

@@ -104,6 +104,23 @@ def test_mean_and_penalty(spark):
     assert one(spark, recommend.penalty(F.lit(0.5), F.lit(0.9), F.lit(6))) == 0.22
 
 
+def test_candidates_are_the_nearest_of_all(spark):
+    rng = random.Random(3)
+    rows = [(i, i % 3, [float(i % 3 == j) + rng.random() / 3 for j in range(3)]) for i in range(300)]
+    v = spark.createDataFrame(rows, "vec_id long, label int, v array<double>").withColumn("norm", recommend.norm(F.col("v")))
+    means = {c: [sum(r[2][j] for r in rows if r[1] == c) / 100 for j in range(3)] for c in range(3)}
+    centroids = spark.createDataFrame(list(means.items()), "cluster int, mean array<double>")
+    size = lambda a: sum(x * x for x in a) ** 0.5
+    like = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / size(a) / size(b), 6)
+    top = lambda c: {r[0] for r in sorted(rows, key=lambda r: (-like(r[2], means[c]), r[0]))[:10]}
+    users = spark.createDataFrame([(1,), (2,), (3,)], "user_id long")
+    liked = spark.createDataFrame([(1, 4), (2, 0), (2, 5)], "user_id long, vec_id long")
+    got = {}
+    for r in recommend.candidates(users, liked, v, centroids, 10, 5).collect():
+        got.setdefault(r.user_id, []).append(r.vec_id)
+    assert {u: sorted(x) for u, x in got.items()} == {1: sorted(top(1)), 2: sorted(top(0) | top(2)), 3: [295, 296, 297, 298, 299]}
+
+
 def test_units_dedupe_is_idempotent(spark):
     d = spark.createDataFrame([(1, "A b\na  B\nc\nc")], "id int, text string")
     once = chunks.deduped_units(d, "id", F.split("text", "\n"))
