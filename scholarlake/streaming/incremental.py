@@ -56,13 +56,18 @@ def deduplicated(events: DataFrame, key: list[str], late: str = "1 hour") -> Dat
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
 
 
+def in_time(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A key's rows of a batch in order of time, as one frame: Arrow hands them over in chunks, each in any order."""
+    if chunks := list(pdfs):
+        yield pd.concat(chunks, ignore_index=True).sort_values(["epoch", "event_id"])
+
+
 def rate_limited(events: DataFrame, per_window: int, seconds: int) -> DataFrame:
     """(user_id, event_id, allowed): at most so many events of a user in each fixed window; state is one counter per user."""
 
     def decide(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         window, used = state.get if state.exists else (-1, 0)
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["epoch", "event_id"])
+        for pdf in in_time(pdfs):
             allowed = []
             for at in pdf["epoch"]:
                 w = int(at) // seconds
@@ -81,8 +86,7 @@ def leases(events: DataFrame, seconds: int) -> DataFrame:
 
     def turn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (until,) = state.get if state.exists else (-1,)
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["epoch", "event_id"])
+        for pdf in in_time(pdfs):
             out = []
             for kind, at in zip(pdf["event_type"], pdf["epoch"], strict=True):
                 held = at < until

@@ -6,6 +6,7 @@ from scholarlake.functions import text as T
 from scholarlake.operators import chunks, greedy, mirror, recommend, retrieval
 from scholarlake.operators import stores as S
 from scholarlake.sources import harvest
+from scholarlake.streaming import incremental
 
 
 def one(spark, c):
@@ -121,6 +122,41 @@ def test_candidates_are_the_nearest_of_all(spark):
     assert {u: sorted(x) for u, x in got.items()} == {1: sorted(top(1)), 2: sorted(top(0) | top(2)), 3: [295, 296, 297, 298, 299]}
 
 
+def test_evidence_of_a_hot_group_is_streamed(spark):
+    rng = random.Random(4)
+    rows = [("hot" if i % 9 else "b", rng.randrange(80), i, rng.randint(1, 60)) for i in range(20_000)]
+    want = set()
+    for g in ("hot", "b"):
+        seen, left = [], 900
+        for _, k, _, size in sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[1])):
+            if k not in seen and len(seen) < 40 and size <= left:
+                seen.append(k)
+                left -= size
+        want |= {(g, k, i) for i, k in enumerate(seen, 1)}
+    out = greedy.merge_evidence(spark.createDataFrame(rows, "source string, key int, arrived int, size int"), "source", 40, 900)
+    assert {tuple(r) for r in out.collect()} == want
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+
+
+def test_chunks_of_a_hot_user_are_read_in_order(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, 7, 1_700_000_000 + rng.randrange(50) * 600, rng.choice(["view", "click", "purchase"])) for i in range(900)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, epoch long, event_type string").withColumn("ts", F.timestamp_seconds("epoch")).drop("epoch")
+    df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    used, want = {}, {}
+    for i, _, at, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        used[at // 3600] = used.get(at // 3600, 0) + 1
+        want[i] = used[at // 3600] <= 2
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "50")
+    try:
+        got = {r.event_id: r.allowed for r in incremental.drained(incremental.rate_limited(incremental.event_stream(spark, str(tmp_path)), 2, 3600)).collect()}
+    finally:
+        spark.conf.set(key, old)
+    assert got == want
+
+
 def test_units_dedupe_is_idempotent(spark):
     d = spark.createDataFrame([(1, "A b\na  B\nc\nc")], "id int, text string")
     once = chunks.deduped_units(d, "id", F.split("text", "\n"))
