@@ -56,8 +56,9 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
         done: list[list[str]] = [[""]]  # the last run of each is still open
 
         def close() -> None:
+            # a break, also where no run is open yet: around a group, what stands before and after must not join
             for a in done:
-                if a[-1]:
+                if len(a) < 2 or a[-1]:
                     a.append("")
 
         def append(options: list[str]) -> None:
