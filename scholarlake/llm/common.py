@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,22 +22,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where that is unset, as in tests, a temporary one."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a local session gets a temporary one; a cluster has to name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="scholarlake-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again: cuts lineage and outlives any executor."""
+#: Tables written since each open `temporaries` began, innermost last.
+_OPEN: list[list[str]] = []
+
+
+def saved(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """`df` written as Parquet to the shared folder and read again: cuts lineage and outlives any executor.
+
+    The table stays until the end of the `temporaries` that it was written in, or for good if it is `lasting`.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _OPEN and not lasting:
+        _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporaries(spark: SparkSession) -> Iterator[None]:
+    """Tables that `saved` writes within are deleted at the end: whatever is to outlive them has to be written by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _OPEN.pop():
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(hadoop).delete(where, True)
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow with a function of one record batch; None adds nothing."""
 
