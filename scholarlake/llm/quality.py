@@ -1,28 +1,31 @@
 """Quality rules by tokeniser fertility, with the usual counts of words, symbols and repetition.
 
-A public vocabulary reads every text. What natural text of a language needs is well known for it: so many
-characters per token, few bytes without a piece of their own, and a spread of tokens. Each language (or script,
-where the language is unknown) has bands; a text outside them is rejected. The bands are parameters.
+A public vocabulary reads every text, and says how many characters a token has, which share of the tokens are bytes
+without a piece of their own, and how varied the tokens of a stretch are. What is usual differs by language and
+script, so each pair of them has its bands: they lie around the median of all its different texts, as wide as the
+texts between the median and the ninth decile are spread, and a text outside them is rejected. Junk lowers the entropy and
+seldom raises it, so the upper half tells how far clean text spreads. Where few texts of a pair are known, its bands
+lean on those that are usual for the script.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from scholarlake.llm.common import slices, texts_of, tokenizer_path
+from scholarlake.llm.common import saved, slices, texts_of, tokenizer_path
 from scholarlake.llm.pieces import MODEL, pieces
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
 WINDOW = 8
-#: Tokens of a block of the entropy: entropy by log of length falls as a text grows, so a long text is judged block by block.
-BLOCK = 1024
+#: Tokens of a block of the entropy: a stretch of fixed length, so that entropy does not depend on the length of the text.
+BLOCK = 64
 
 
 @dataclass(frozen=True)
@@ -35,17 +38,37 @@ class Band:
     least_entropy: float
 
 
-#: By language; else by script: the letters that a text has most of.
+#: What is usual by script: the one that most letters of a text are of.
 BANDS: Mapping[str, Band] = {
-    "en": Band(2.0, 6.5, 0.10, 0.45),
-    "de": Band(2.0, 6.5, 0.10, 0.45),
-    "es": Band(1.85, 6.5, 0.10, 0.45),
-    "fr": Band(1.85, 6.5, 0.10, 0.45),
-    "latin": Band(1.5, 7.0, 0.15, 0.40),
-    "other": Band(0.30, 5.0, 0.60, 0.30),
+    "latin": Band(1.5, 7.0, 0.15, 0.70),
+    "greek": Band(0.5, 5.0, 0.60, 0.60),
+    "cyrillic": Band(0.7, 6.0, 0.60, 0.60),
+    "semitic": Band(0.4, 5.0, 0.80, 0.55),
+    "indic": Band(0.3, 4.0, 0.95, 0.50),
+    "east_asian": Band(0.2, 3.0, 0.95, 0.50),
+    "other": Band(0.2, 5.0, 0.95, 0.50),
 }
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "chars_per_token", "byte_share", "token_entropy", "base_failed", "kept")
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double, base_failed boolean, kept boolean"
+#: First and last code points of the scripts' letters.
+SCRIPTS = (("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("semitic", 0x590, 0x77F), ("indic", 0x900, 0xDFF), ("east_asian", 0x1100, 0x11FF), ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("east_asian", 0x3040, 0x9FFF), ("east_asian", 0xAC00, 0xD7AF))
+
+
+@dataclass(frozen=True)
+class Width:
+    """How wide the bands are about the median, in spreads (median to ninth decile) of all different texts of a language and script."""
+
+    entropy: float = 2.5
+    chars: float = 8.0
+    byte_share: float = 8.0
+    #: The least spread of each, so that a corpus of texts all alike does not reject itself.
+    least_entropy: float = 0.008
+    least_chars: float = 0.05
+    least_bytes: float = 0.01
+    #: The script's band counts as this many texts.
+    doubt: float = 20.0
+
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "chars_per_token", "byte_share", "token_entropy", "script", "base_failed")
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double, script string, base_failed boolean"
 
 
 def repeated_words(words: list[list[bytes]]) -> np.ndarray:
@@ -78,40 +101,44 @@ def repeated_words(words: list[list[bytes]]) -> np.ndarray:
     return np.bincount(doc[np.cumsum(edge[:-1]) > 0], minlength=len(words)).astype(np.int64)
 
 
-def block_entropy(ids: np.ndarray) -> float:
-    """Entropy of tokens by its greatest possible value: the mean over the blocks, all about as long, that make up the whole text.
+def block_entropies(texts: list[np.ndarray]) -> np.ndarray:
+    """Of each text's tokens the entropy by its greatest possible value: the mean, by length, over the blocks of at most BLOCK tokens, all about as long, that make up the whole text.
 
-    Up to BLOCK tokens are one block. Where a text says as much in each block, its length does not matter.
+    A text of one token or none has 1.
     """
-    n = len(ids)
-    if n < 2:
-        return 1.0
-    k, total = -(-n // BLOCK), 0.0
-    for i in range(k):
-        part = ids[i * n // k : (i + 1) * n // k]
-        p = np.unique(part, return_counts=True)[1] / len(part)
-        total -= len(part) * float((p * np.log(p)).sum()) / np.log(len(part))
-    return float(total / n)
-
-
-def fertility(ids: np.ndarray, chars: int, first_byte: int) -> tuple[int, float, float, float]:
-    """Tokens, characters per token, share of byte tokens but line feeds, and entropy of tokens by block."""
-    n = len(ids)
-    if not n:
-        return 0, 0.0, 0.0, 0.0
-    raw = int(((ids >= first_byte) & (ids < first_byte + 256) & (ids != first_byte + 10)).sum())
-    return n, chars / n, raw / n, block_entropy(ids)
-
-
-def band_of(lang: str | None, text: str, bands: Mapping[str, Band]) -> Band:
-    if lang in bands:
-        return bands[lang]
-    head = [c for c in text if c.isalpha()]
-    latin = sum(ord(c) < 0x250 for c in head)
-    return bands["latin" if 2 * latin >= len(head) else "other"]
-
-
-def measure(texts: list[str], langs: list[str | None], bands: Mapping[str, Band] = BANDS, model: str = MODEL) -> list[tuple]:
+    n = np.array([len(t) for t in texts], np.int64)
+    if not n.sum():
+        return np.ones(len(texts))
+    k = -(-n // BLOCK)
+    first = np.r_[0, np.cumsum(k)[:-1]]
+    doc = np.repeat(np.arange(len(texts)), n)
+    place = np.arange(int(n.sum())) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
+    # token i of n lies in block floor(((i + 1) * k - 1) / n): bounds at floor(block * n / k)
+    block = first[doc] + ((place + 1) * k[doc] - 1) // n[doc]
+    size = np.bincount(block, minlength=int(k.sum()))
+    keys, count = np.unique((block << 32) | np.concatenate(texts).astype(np.int64), return_counts=True)
+    of = keys >> 32
+    share = count / size[of]
+    entropy = np.bincount(of, -share * np.log(share), minlength=len(size))
+    value = np.divide(entropy, np.log(np.maximum(size, 2)), out=np.ones(len(size)), where=size > 1)
+    total = np.bincount(np.repeat(np.arange(len(texts)), k), value * size, minlength=len(texts))
+    return np.divide(total, n, out=np.ones(len(texts)), where=n > 1)
+
+
+def script_of(text: str) -> str:
+    """The script that most letters of a text are of; other without letters."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(code) or text.isascii():
+        return "latin" if any(map(str.isalpha, text)) else "other"
+    votes: dict[str, int] = {}
+    for name, low, high in SCRIPTS:
+        votes[name] = votes.get(name, 0) + int(((code >= low) & (code <= high)).sum())
+    votes["latin"] -= sum(map(text.count, "[\\]^_`{|}~\x7f"))
+    best = max(votes, key=votes.get)
+    return best if votes[best] else "other"
+
+
+def measure(texts: list[str], model: str = MODEL) -> list[tuple]:
     """A tuple of MEASURES for each text."""
     bpe, out = pieces(tokenizer_path(model)), []
     encoded = bpe.encode_all(texts)
@@ -119,54 +146,97 @@ def measure(texts: list[str], langs: list[str | None], bands: Mapping[str, Band]
         data = [t.encode("utf-8", "replace") for t in texts[start:end]]
         words = [d.split() for d in data]
         repeats = repeated_words(words)
+        ids = [bpe.ids_of(next(encoded)) for _ in data]
+        entropy = block_entropies(ids)
         for k, (b, ws) in enumerate(zip(data, words, strict=True)):
-            t, lang = texts[start + k], langs[start + k]
+            t = texts[start + k]
             lines = [x for x in b.split(b"\n") if x.strip()]
-            n, n_repeat = len(ws), int(repeats[k])
-            n_tokens, per_token, raw, entropy = fertility(bpe.ids_of(next(encoded)), len(t), bpe.first_byte)
-            band = band_of(lang, t, bands)
-            failed = n < 20 or 100 * n_repeat > 30 * n
-            good = band.fewest_chars <= per_token <= band.most_chars and raw <= band.most_bytes and entropy >= band.least_entropy
+            n, n_repeat, n_tokens, f = len(ws), int(repeats[k]), len(ids[k]), bpe.first_byte
+            raw = int(((ids[k] >= f) & (ids[k] < f + 256) & (ids[k] != f + 10)).sum()) / max(n_tokens, 1)
             chars = len(t) - (len(b) - len(b.translate(None, SPACES)))
-            out.append((n, chars, len(b) - len(b.translate(None, SYMBOLS)), len(lines) - len(set(lines)), n_repeat, n_tokens, per_token, raw, entropy, failed, not failed and good))
+            failed = n < 20 or 100 * n_repeat > 30 * n
+            out.append((n, chars, len(b) - len(b.translate(None, SYMBOLS)), len(lines) - len(set(lines)), n_repeat, n_tokens, len(t) / max(n_tokens, 1), raw, float(entropy[k]) if n_tokens else 0.0, script_of(t), failed))
     return out
 
 
-_TYPES = (pa.int64(),) * 6 + (pa.float64(),) * 3 + (pa.bool_(),) * 2
+_TYPES = (pa.int64(),) * 6 + (pa.float64(),) * 3 + (pa.string(), pa.bool_())
 
 
-def assess(docs: DataFrame, bands: Mapping[str, Band] = BANDS, key: str = "doc_id") -> DataFrame:
-    """(key, MEASURES) of every whole text.
-
-    Null and empty texts have no words and fail the base rules. A null or unknown language goes by script; without
-    a column `lang` all do. Repeated rows are measured each; other columns are not carried.
-    """
-    return _assessed(docs.select(key, "text", *[c for c in ("lang",) if c in docs.columns]), bands, None)
-
-
-def keep(docs: DataFrame, bands: Mapping[str, Band] = BANDS) -> DataFrame:
-    """The rows of `docs` that pass, with all their columns and none added."""
-    return _assessed(docs, bands, docs.schema)
-
-
-def _assessed(rows: DataFrame, bands: Mapping[str, Band], only: T.StructType | None) -> DataFrame:
-    chosen = dict(bands)
+def _measured(rows: DataFrame, name: str, texts: Callable[[pa.RecordBatch], list[str]]) -> DataFrame:
+    """`rows`, but a column `text`, with MEASURES as a struct of this name; written, as the bands need all rows first."""
+    kinds = [pa.field(m, t) for m, t in zip(MEASURES, _TYPES, strict=True)]
+    names = [c for c in rows.columns if c != "text"]
 
     def each(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = texts_of(batch)
-            langs = batch.column("lang").to_pylist() if "lang" in batch.schema.names else [None] * len(texts)
-            found = measure(texts, langs, chosen)
-            if only is not None:
-                yield batch.filter(pa.array([f[-1] for f in found]))
-            else:
-                columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), _TYPES, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[batch.schema.names[0], *MEASURES])
+            if batch.num_rows:
+                found = [pa.array(c, t) for c, t in zip(zip(*measure(texts(batch)), strict=True), _TYPES, strict=True)]
+                yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.StructArray.from_arrays(found, fields=kinds)], names=[*names, name])
         pa.default_memory_pool().release_unused()
 
-    if only is not None:
-        return rows.mapInArrow(each, only)
-    name = rows.columns[0]
-    return rows.mapInArrow(each, f"`{name}` {dict(rows.dtypes)[name]}, {SCHEMA}")
+    schema = rows.select(*names, F.lit(None).cast(f"struct<{SCHEMA}>").alias(name)).schema
+    return saved(rows.mapInArrow(each, schema), "quality-measured")
+
+
+def bands(measured: DataFrame, width: Width = Width(), usual: Mapping[str, Band] = BANDS) -> DataFrame:
+    """The bands of each language and script: (lang, script, n, fewest_chars, most_chars, most_bytes, least_entropy).
+
+    `measured` has lang (null or not), script, base_failed, n_tokens and the three measures, of all texts. Those
+    that pass the base rules count, texts of the same measures once, so many copies of one text do not move a band.
+    """
+    rows = measured.filter("not base_failed").select("lang", "script", "n_tokens", "chars_per_token", "byte_share", "token_entropy").distinct()
+    tenths = lambda c: F.percentile_approx(c, F.array(F.lit(0.5), F.lit(0.9)), 1000).alias(c)
+    found = rows.groupBy("lang", "script").agg(F.count("*").alias("n"), *[tenths(c) for c in ("chars_per_token", "byte_share", "token_entropy")])
+    middle = lambda c: F.get(c, 0)
+    spread = lambda c, least: F.greatest(F.get(c, 1) - F.get(c, 0), F.lit(least))
+
+    def leaning(value: Column, field: str) -> Column:
+        own = F.lit(getattr(usual["other"], field))
+        for script, band in usual.items():
+            own = F.when(F.col("script") == script, F.lit(getattr(band, field))).otherwise(own)
+        return ((value * F.col("n") + own * width.doubt) / (F.col("n") + width.doubt)).alias(field)
+
+    chars, raw, entropy = spread("chars_per_token", width.least_chars), spread("byte_share", width.least_bytes), spread("token_entropy", width.least_entropy)
+    return found.select(
+        "lang",
+        "script",
+        "n",
+        leaning(middle("chars_per_token") - width.chars * chars, "fewest_chars"),
+        leaning(middle("chars_per_token") + width.chars * chars, "most_chars"),
+        leaning(middle("byte_share") + width.byte_share * raw, "most_bytes"),
+        leaning(middle("token_entropy") - width.entropy * entropy, "least_entropy"),
+    )
+
+
+def _judged(measured: DataFrame, name: str, lang: Column, width: Width) -> DataFrame:
+    """`measured` with a column _kept."""
+    m = F.col(name)
+    flat = measured.select(lang.alias("lang"), *[m[c].alias(c) for c in ("script", "base_failed", "n_tokens", "chars_per_token", "byte_share", "token_entropy")])
+    b = saved(bands(flat, width), "quality-bands")
+    b = b.select(*[F.col(c).alias(f"_b_{c}") for c in b.columns])
+    rows = measured.join(b, lang.eqNullSafe(F.col("_b_lang")) & (m["script"] == F.col("_b_script")), "left")
+    inside = m["chars_per_token"].between(F.col("_b_fewest_chars"), F.col("_b_most_chars")) & (m["byte_share"] <= F.col("_b_most_bytes")) & (m["token_entropy"] >= F.col("_b_least_entropy"))
+    kept = ~m["base_failed"] & F.coalesce(inside, F.lit(False))
+    return rows.select(*measured.columns, kept.alias("_kept"))
+
+
+def assess(docs: DataFrame, width: Width = Width(), key: str = "doc_id") -> DataFrame:
+    """(key, MEASURES, kept) of every whole text.
+
+    Null and empty texts have no words and fail the base rules. A null language is one of its own; without a column
+    `lang` all are null. Repeated rows are measured each; other columns are not carried. Bands are those of this table.
+    """
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = _measured(docs.select(F.col(key).alias("_key"), lang.alias("lang"), "text"), "_m", texts_of)
+    found = _judged(rows, "_m", F.col("lang"), width)
+    return found.select(F.col("_key").alias(key), *[F.col("_m")[c].alias(c) for c in MEASURES], F.col("_kept").alias("kept"))
+
+
+def keep(docs: DataFrame, width: Width = Width()) -> DataFrame:
+    """The rows of `docs` that pass, with all their columns and none added: judged as by `assess`."""
+    names = docs.columns
+    lang = F.col("_row")["lang"].cast("string") if "lang" in names else F.lit(None).cast("string")
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"))
+    texts = lambda batch: [t or "" for t in batch.column("_row").field("text").to_pylist()]
+    found = _judged(_measured(rows, "_m", texts), "_m", lang, width).filter("_kept")
+    return found.select(*[F.col("_row").getField(c).alias(c) for c in names])
