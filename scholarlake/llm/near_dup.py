@@ -8,33 +8,43 @@ set itself; one shuffle brings together the sets that end at the same node. Node
 Within a node all sets are compared by sketch; sets that may be similar fall into the same cluster, and within a
 cluster the links are decided on the full sets.
 
-A pair at the threshold stays together in one tree of depth 3 with probability 0.70, so 14 trees miss it once in
-20 million times; in a node that walks on to depth 8, once in 7,000.
+What is missed: a pair at the threshold stays together in one tree of depth 3 with probability 0.70 (at 0.85; 0.60 at
+0.80), and there are as many trees as miss it all once in 1 / `miss` times, which is 14 (18). All trees share one
+sketch of 128 coordinates, and sketches 4 standard deviations below the threshold are not compared further, which drops
+a pair at the threshold once in 23,000 times. A node that walks on to depth 8 keeps such a pair less often: 14 trees miss
+it once in 1,100 times. Pairs above the threshold are missed far less.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholarlake.llm.common import map_arrow, saved, slices, texts_of
 from scholarlake.llm.components import components
 
 
+#: Share of the nodes that pick two coordinates.
+MORE = 0.176
+
+
 @dataclass(frozen=True)
 class Join:
     """Parameters of the join. A link: 100 * intersection >= `percent` * union of `words`-word shingles."""
 
     words: int = 5
     percent: int = 85
-    trees: int = 14
+    #: How often all trees may miss a pair at the threshold; `trees` sets their number outright.
+    miss: float = 1e-7
+    trees: int | None = None
     depth: int = 3
     deepest: int = 8
     coordinates: int = 128
@@ -46,6 +56,16 @@ class Join:
     block_shingles: int = 4_000_000
     seed: int = 11
 
+    @property
+    def n_trees(self) -> int:
+        """The trees that it takes: at each step a pair shares the one coordinate, or at MORE of the nodes either of two."""
+        if self.trees is not None:
+            return self.trees
+        s, together = self.percent / 100, 1.0
+        for _ in range(self.depth):
+            together = (1 - MORE) * s * together + MORE * (1 - (1 - s * together) ** 2)
+        return max(1, math.ceil(math.log(self.miss) / math.log(1 - together)))
+
     @property
     def least_agreeing(self) -> int:
         s = self.percent / 100
@@ -54,8 +74,9 @@ class Join:
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-#: Bits of the filter of sets that are worth reading again: half a megabyte, whatever the corpus.
-FILTER_BITS = 22
+#: Bits of the filter of documents that are worth reading again, as a power of 2: 8 a document, between half a megabyte and 8.
+#: A filter that is too full lets documents through that the join then drops: at worst all sets are shuffled, 8 bytes a word.
+LEAST_BITS, MOST_BITS = 22, 26
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -122,7 +143,7 @@ def walk(sk: np.ndarray, row: np.ndarray, path: np.ndarray, steps: int) -> tuple
         pick = mixed(path * _ODD + np.uint64(1))
         first = (pick % np.uint64(t)).astype(np.int64)
         second = (first + 1 + ((pick >> np.uint64(20)) % np.uint64(t - 1)).astype(np.int64)) % t
-        more = np.flatnonzero((pick >> np.uint64(44)) % np.uint64(1000) < np.uint64(176))
+        more = np.flatnonzero((pick >> np.uint64(44)) % np.uint64(1000) < np.uint64(round(MORE * 1000)))
         at, r = np.r_[first, second[more]], np.r_[row, row[more]]
         p = np.r_[path, path[more]]
         path = mixed(mixed(p * _ODD + at.astype(np.uint64)) + sk[r, at].astype(np.uint64) * _ODD)
@@ -131,7 +152,7 @@ def walk(sk: np.ndarray, row: np.ndarray, path: np.ndarray, steps: int) -> tuple
 
 
 def _sets(docs: DataFrame, j: Join) -> DataFrame:
-    """(doc_id, n_shingles, set_key, sketch) of every row."""
+    """(doc_id, text_key, n_shingles, set_key, sketch) of every row."""
     factors = factors_of(j)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -141,9 +162,13 @@ def _sets(docs: DataFrame, j: Join) -> DataFrame:
             n.append(len(s))
             keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             sks.append(sketch(s, factors).tobytes() if len(s) else None)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sks, pa.binary())], names=["doc_id", "n_shingles", "set_key", "sketch"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sks, pa.binary())], names=["doc_id", "text_key", "n_shingles", "set_key", "sketch"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), each, "doc_id long, n_shingles long, set_key binary, sketch binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key")), each, "doc_id long, text_key long, n_shingles long, set_key binary, sketch binary")
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _matrix(batch: pa.RecordBatch, j: Join) -> np.ndarray:
@@ -157,8 +182,8 @@ def _nodes(reps: DataFrame, j: Join) -> DataFrame:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             sk = _matrix(batch, j)
             if roots:
-                row = np.repeat(np.arange(len(sk)), j.trees)
-                path = np.tile(mixed((np.arange(j.trees, dtype=np.uint64) + np.uint64(j.seed * 1000)) * _ODD), len(sk))
+                row = np.repeat(np.arange(len(sk)), j.n_trees)
+                path = np.tile(mixed((np.arange(j.n_trees, dtype=np.uint64) + np.uint64(j.seed * 1000)) * _ODD), len(sk))
             else:
                 row, path = np.arange(len(sk)), batch.column("node").to_numpy().view(np.uint64)
             row, path = walk(sk, row, path, steps)
@@ -342,22 +367,24 @@ def _linked(doc: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, pe
 
 
 def _decided(clusters: DataFrame, docs: DataFrame, j: Join) -> DataFrame:
-    """(a, b): links within clusters (node, component, n), decided on the sets made anew from the texts."""
-    bits = _bits(clusters.select("node"))
+    """(a, b): links within clusters (node, component, doc, set_key, total), decided on the sets made anew from the texts."""
+    bits = _bits(clusters.select("doc"))
+    shift = np.uint64(64 - (8 * len(bits) - 1).bit_length())
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ids = batch.column("doc_id").to_pylist()
-        slot = mixed(np.array([d or 0 for d in ids], np.int64).astype(np.uint64) * _ODD) >> np.uint64(64 - FILTER_BITS)
-        keep = [i for i, there in enumerate(bits[slot.astype(np.int64)].tolist()) if there and ids[i] is not None]
+        slot = (mixed(np.array([d or 0 for d in ids], np.int64).astype(np.uint64) * _ODD) >> shift).astype(np.int64)
+        there = bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1
+        keep = [i for i, x in enumerate(there.tolist()) if x and ids[i] is not None]
         if not keep:
             return None
         texts = batch.column("text").take(pa.array(keep)).to_pylist()
         mine = [shingles(t or "", j.words) for t in texts]
         keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in mine]
-        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([s.tobytes() for s in mine], pa.binary()), pa.array(keys, pa.binary())], names=["doc", "shingles", "key"])
+        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([s.tobytes() for s in mine], pa.binary()), pa.array(keys, pa.binary())], names=["_doc", "shingles", "_key"])
 
-    made = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sets, "doc long, shingles binary, key binary")
-    sized = clusters.join(made, (F.col("node") == F.col("doc")) & (F.col("set_key") == F.col("key"))).select("component", "node", "shingles", "total")
+    made = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sets, "_doc long, shingles binary, _key binary")
+    sized = clusters.join(made, (F.col("doc") == F.col("_doc")) & (F.col("set_key") == F.col("_key"))).select("component", "node", "shingles", "total")
     # small clusters are one block; of a larger one every pair of blocks is a group of its own
     blocks = F.ceil(F.col("total") / j.block_shingles).cast("int")
     own = sized.withColumn("_b", blocks).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_b")).cast("int"))
@@ -382,45 +409,73 @@ def _decided(clusters: DataFrame, docs: DataFrame, j: Join) -> DataFrame:
     return rows.mapInArrow(each, "a long, b long")
 
 
-def _bits(nodes: DataFrame) -> np.ndarray:
-    """A filter of node ids, of fixed size: built as bitmaps by block on the executors. A full one lets all rows through to the join."""
+def _bits(docs: DataFrame) -> np.ndarray:
+    """A filter of document ids, packed, of bounded size: built as bitmaps by block on the executors."""
+    power = min(max((8 * docs.count()).bit_length(), LEAST_BITS), MOST_BITS)
 
     def slots(batch: pa.RecordBatch) -> pa.RecordBatch:
-        h = (mixed(batch.column("node").to_numpy().astype(np.uint64) * _ODD) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        h = (mixed(batch.column("doc").to_numpy().astype(np.uint64) * _ODD) >> np.uint64(64 - power)).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(h + 1)], names=["slot"])
 
-    rows = map_arrow(nodes, slots, "slot long").groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
-    out = np.zeros((1 << FILTER_BITS) + 8 * 4096, bool)
-    for r in rows:  # buckets count from 1, positions from 0
-        b = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
+    rows = map_arrow(docs, slots, "slot long").groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
+    out = np.zeros(1 << (power - 3), np.uint8)
+    for r in rows:  # buckets count from 1, bits from the lowest
+        b = np.frombuffer(bytes(r["bits"]), np.uint8)
         at = (r["bucket"] - 1) * len(b)
-        out[at : at + len(b)] |= b.astype(bool)[: len(out) - at]
+        out[at : at + len(b)] |= b[: len(out) - at]
     return out
 
 
-def near_duplicates(docs: DataFrame, j: Join = Join()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of `docs` (doc_id, text).
-
-    component_id is the smallest doc_id that links lead to, the row's own included. Texts without words (null and
-    empty ones among them) have no shingles and are linked with nothing. Repeated rows and equal sets share a
-    component; rows of one doc_id and different texts are each their own set, and their id joins them. A null
-    doc_id stays null, and its row links with nothing. Other columns are not carried.
-    """
+def _found(docs: DataFrame, j: Join) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id) of every row."""
     sets = saved(_sets(docs, j), "sets")
     # one representative of each set: equal sets, however many, are summed map-side
     some = sets.filter("n_shingles > 0 and doc_id is not null")
     keys = saved(some.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies")), "set-keys")
-    reps = some.join(keys.select(F.col("set_key").alias("_k"), "doc"), (F.col("set_key") == F.col("_k")) & (F.col("doc_id") == F.col("doc"))).select("doc", "set_key", "n_shingles", "sketch").dropDuplicates(["doc", "set_key"])
-    reps = saved(reps, "set-representatives")
+    reps = some.join(keys.select(F.col("set_key").alias("_k"), F.col("doc").alias("_d")), (F.col("set_key") == F.col("_k")) & (F.col("doc_id") == F.col("_d"))).select(F.col("doc_id").alias("id"), "set_key", "n_shingles", "sketch").dropDuplicates(["id", "set_key"])
+    # numbers of the representatives, fixed by the written table: ids would do, but texts may share one
+    reps = saved(reps.withColumn("doc", F.monotonically_increasing_id()), "set-representatives")
     alike = _alike(_nodes(reps, j), reps, j).distinct()
     clusters = components(alike)
-    of = clusters.join(reps.select("doc", "set_key", "n_shingles"), F.col("node") == F.col("doc")).select("node", "component", "set_key", "n_shingles")
+    of = clusters.join(reps.select(F.col("doc").alias("_n"), "id", "set_key", "n_shingles"), F.col("node") == F.col("_n")).select("node", "component", F.col("id").alias("doc"), "set_key", "n_shingles")
     weight = of.groupBy(F.col("component").alias("_c")).agg(F.sum("n_shingles").alias("total"))
-    of = saved(of.join(weight, F.col("component") == F.col("_c")).select("node", "component", "set_key", "total"), "clusters")
+    of = saved(of.join(weight, F.col("component") == F.col("_c")).select("node", "component", "doc", "set_key", "total"), "clusters")
     links = components(saved(_decided(of, docs, j), "near-links"))
-    named = keys.join(links, F.col("doc") == F.col("node"), "left").select(F.col("set_key").alias("_k"), F.coalesce("component", "doc").alias("_c"), "copies", "component")
+    linked = saved(links.join(of.select(F.col("node").alias("_n"), "doc", "set_key"), F.col("node") == F.col("_n")).select("component", "doc", "set_key"), "linked-sets")
+    least = linked.groupBy(F.col("component").alias("_c")).agg(F.min("doc").alias("_least"))
+    linked = linked.join(least, F.col("component") == F.col("_c")).select(F.col("set_key").alias("_l"), "_least")
     # only sets that are not alone need to be looked up
-    named = named.filter("copies > 1 or component is not null").select("_k", "_c")
-    out = sets.select("doc_id", "n_shingles", "set_key").join(named, F.col("set_key") == F.col("_k"), "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = keys.join(linked, F.col("set_key") == F.col("_l"), "left").filter("copies > 1 or _least is not null").select(F.col("set_key").alias("_k"), F.coalesce("_least", "doc").alias("_c"))
+    out = sets.select("doc_id", "text_key", "n_shingles", "set_key").join(named, F.col("set_key") == F.col("_k"), "left")
+    return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, j: Join = Join()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of `docs` (doc_id, text).
+
+    component_id is the smallest doc_id that links lead to, the row's own included. Texts without words (null and
+    empty ones among them) have no shingles and are linked with nothing. Repeated rows and equal sets share a
+    component; rows of one doc_id and different texts are each their own set, linked only as their texts are. A null
+    doc_id stays null, and its row links with nothing. Other columns are not carried.
+    """
+    return _found(docs, j).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, j: Join = Join()) -> DataFrame:
+    """`docs` with one row of each group of near copies, all columns as they were.
+
+    The row of the smallest doc_id stays; of several with this id and equal sets the one of the least text hash, and of
+    equal ones any. Rows without shingles and rows without a doc_id stay, and so does every row whose text is
+    linked with no other, whatever its id. Texts are shuffled once at most: only keys decide.
+    """
+    found = saved(_found(docs, j).filter("n_shingles > 0 and doc_id is not null").groupBy("component_id", "doc_id", "text_key").agg(F.count("*").alias("rows")), "near-found")
+    first = found.groupBy(F.col("component_id").alias("_c")).agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.sum("rows").alias("all")).filter("all > 1")
+    judged = found.join(first, F.col("component_id") == F.col("_c"))
+    stays = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    # what goes, and what stays but is there more than once
+    named = saved(judged.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), stays.alias("_stays"), "rows").filter("not _stays or rows > 1").drop("rows"), "near-decided")
+    names = docs.columns
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), docs["doc_id"].cast("long").alias("_doc"), text_key(docs["text"]).alias("_text"))
+    rows = rows.join(named, (F.col("_doc") == F.col("_id")) & (F.col("_text") == F.col("_key")), "left").filter("_stays is null or _stays")
+    alone, repeated = rows.filter("_stays is null"), rows.filter("_stays").dropDuplicates(["_doc", "_text"])
+    return alone.select("_row").unionByName(repeated.select("_row")).select(*[F.col("_row").getField(c).alias(c) for c in names])
