@@ -8,10 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from scholarlake.llm import mixing, near_dup, pieces, quality, secrets
-from scholarlake.llm.common import saved, table
+from scholarlake.llm.common import saved, table, temporaries
 
 #: SQL cannot express a tokenizer, a dynamic program or minwise trees; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -23,15 +22,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the smallest doc_id, once even if its row repeats.
+    """One document of each group of near copies (similarity 0.8 or more) stays: that of the smallest doc_id, once even if its row repeats.
 
-    Documents without shingles (null and empty texts) and rows without a doc_id stay.
+    Documents without shingles (null and empty texts), rows without a doc_id, and texts linked with no other stay.
     """
-    found = near_dup.near_duplicates(docs)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    none = left.filter("doc_id is null")
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(none)
+    return near_dup.keep_one(docs, near_dup.Join(percent=80))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +36,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: not at all, once or twice."""
-    return mixing.apply_mix(docs, mixing.mix(docs))
+    return mixing.apply_mix(docs)
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +54,9 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again."""
+    """All stages over documents, each written as Parquet and read again. A stage's own tables are deleted after it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with temporaries(spark):
+            docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}", lasting=True)
     return docs
