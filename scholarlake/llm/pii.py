@@ -1,11 +1,11 @@
 """Personal data: pattern spans, and information-theoretic sanitisation of the words that reveal them.
 
-Entities are the values that the patterns find. The corpus tells how strongly a word reveals an entity:
+Entities are the values that the patterns find, and the domains of e-mail addresses, which many texts share. The corpus tells how strongly a word reveals an entity:
 pointwise mutual information over texts, PMI(w; e) = log(p(w, e) / (p(w) p(e))), where w and e occur
 together if a text holds both, wherever they stand. What was seen in few texts is known less surely, so w counts
 as if it stood in half a text more. Its share of the entity's information content, PMI / -log p(e),
 is the disclosure: 1 means that whoever reads w knows e. Words at or above `remove` go, those at or above
-`generalise` become a class label.
+`generalise` become the label of a class that they belong to: a name, an acronym, a compound or a word.
 """
 
 from __future__ import annotations
@@ -75,6 +75,22 @@ def entity(kind: int, value: str) -> str:
     return f"{KINDS[kind]}:{value.lower() if kind < 2 else re.sub('[^0-9]', '', value)}"
 
 
+def entities(kind: int, value: str) -> list[str]:
+    """What a found value tells: itself, and of an e-mail address the domain."""
+    own = entity(kind, value)
+    return [own, f"domain:{own.rpartition('@')[2]}"] if kind == 0 else [own]
+
+
+def class_of(word: str) -> str:
+    """The label of the more general class that stands for a word, by its shape."""
+    w = word.strip(".,;:!?()[]{}\"'*#%$&|<>=+-_")
+    if "-" in w or "_" in w or "/" in w:
+        return "<COMPOUND>"
+    if w.isupper():
+        return "<ACRONYM>"
+    return "<NAME>" if w[:1].isupper() else "<WORD>"
+
+
 def term(word: str) -> str:
     """A word as a term: lower case, without marks at its ends; short ones and numbers tell nothing and are ''."""
     t = word.lower().strip(".,;:!?()[]{}\"'*#%$&|<>=+-_")
@@ -112,7 +128,7 @@ def find(docs: DataFrame, doubt: float = 0.5, generalise: float = 0.9, remove: f
         for t in texts_of(batch):
             spans = base_spans(t)
             base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-            who.append(sorted({entity(k, t[s:e]) for s, k, e in spans}))
+            who.append(sorted({x for s, k, e in spans for x in entities(k, t[s:e])}))
             near.append([{"term": x, "start": s, "end": e} for x, s, e in words_around(t, spans)])
             keys.append(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest())
         one = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
@@ -210,8 +226,8 @@ def _filter(terms: DataFrame) -> np.ndarray | None:
 def sanitise(docs: DataFrame, **options: float) -> DataFrame:
     """Whole texts without personal data: (doc_id, text).
 
-    Base spans become <EMAIL>, <IP>, <CARD>, <PHONE>; words that reveal them become <TERM>, or go at a disclosure
-    of at least `remove` (0.98). Where spans overlap, the first counts and the later one only from its end on.
+    Base spans become <EMAIL>, <IP>, <CARD>, <PHONE>; words that reveal them become the label of their class (<NAME>, <ACRONYM>,
+    <COMPOUND>, <WORD>), or go at a disclosure of at least `remove` (0.98). Where spans overlap, the first counts and the later one only from its end on.
     Rows come back as they were, repeated ones too; null texts as empty. Other columns are not carried.
     """
     least = options.get("remove", 0.98)
@@ -231,7 +247,7 @@ def sanitise(docs: DataFrame, **options: float) -> DataFrame:
     def rewrite(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for t, base, terms in zip(texts_of(batch), batch.column("base").to_pylist(), batch.column("terms").to_pylist(), strict=True):
-            spans = sorted([(b["start"], b["end"], f"<{KINDS[b['kind']].upper()}>") for b in base or ()] + [(x["start"], x["end"], "" if x["disclosure"] >= least else "<TERM>") for x in terms or ()])
+            spans = sorted([(b["start"], b["end"], f"<{KINDS[b['kind']].upper()}>") for b in base or ()] + [(x["start"], x["end"], "" if x["disclosure"] >= least else class_of(t[x["start"] : x["end"]])) for x in terms or ()])
             parts, at = [], 0
             for s, e, label in spans:
                 if s >= at:

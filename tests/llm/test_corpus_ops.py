@@ -43,7 +43,7 @@ def plain_components(rows, percent=85):
 
 def check_components(spark, rows, j=near_dup.Join()):  # noqa: B008
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), j).collect()}
-    assert got == plain_components(rows)
+    assert got == plain_components(rows, j.percent)
 
 
 def test_near_dup_query(spark, sf_dir):
@@ -69,6 +69,7 @@ def test_near_dup_of_large_groups(spark):
     texts = copies(150, 1) + copies(60, 2, swaps=6) + copies(40, 3, words=12, swaps=1) + ["", None, "one", "one", "A b c", "a B c"]
     rows = list(enumerate(texts))
     check_components(spark, rows)
+    check_components(spark, rows, near_dup.Join(percent=80))
     # nodes that walk on, nodes compared block by block, and clusters compared block by block
     check_components(spark, rows, near_dup.Join(node_rows=16, deepest=4, block_shingles=3000, trees=20))
 
@@ -82,6 +83,21 @@ def test_sketch_says_how_alike_sets_are():
     assert j.least_agreeing < 0.75 * j.coordinates
 
 
+def test_one_text_of_a_group_stays(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, "a b c d e f g h", "s"), (5, near, "s"), (2, near + " x", "s"), (5, "a b c d e f g h", "s"), (5, "A b c d e f g h", "u"), (None, near, "s"), (9, None, None), (9, "", "x"), (7, "all alone in its own words here", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_key string")
+    got = near_dup.keep_one(docs)
+    assert got.columns == docs.columns
+    left = sorted((str(r.doc_id), (r.text or "").lower()) for r in got.collect())
+    assert left == sorted([("2", near + " x"), ("5", "a b c d e f g h"), ("None", near), ("9", ""), ("9", ""), ("7", "all alone in its own words here")])
+    assert near_dup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_trees_follow_from_the_target():
+    assert near_dup.Join().n_trees == 14 and near_dup.Join(percent=80).n_trees == 18 and near_dup.Join(trees=3).n_trees == 3
+
+
 # mixing
 
 
@@ -119,17 +135,60 @@ def test_mixing(spark, sf_dir):
     assert all(abs(taken[s] - target[s]) <= max(3, 0.02 * target[s]) for s in sizes)
 
 
-def test_fit_is_exact_where_it_can_be():
+def nearest_gap(lengths, counts, budget):
+    sums = {0}
+    for length, n in zip(lengths.tolist(), counts.tolist(), strict=True):
+        sums = {s + length * k for s in sums for k in range(n + 1)}
+    return min(abs(s - budget) for s in sums)
+
+
+def test_fit_is_the_nearest_sum():
     rnd = random.Random(3)
-    for _ in range(200):
-        lengths = np.array(sorted(rnd.sample(range(1, 40), rnd.randint(1, 6))))
-        counts = np.array([rnd.randint(1, 4) for _ in lengths])
+    for trial in range(500):
+        low, high = [(1, 40), (1, 1000), (3000, 40_000), (20_000, 200_000)][trial % 4]
+        lengths = np.array(sorted(rnd.sample(range(low, high), rnd.randint(1, 7))))
+        counts = np.array([rnd.randint(1, 3) for _ in lengths])
         budget = rnd.randint(0, int((lengths * counts).sum()))
         take = mixing.fit(lengths, counts, budget)
-        assert (take <= counts).all() and (take >= 0).all() and (take * lengths).sum() <= budget
-    lengths, counts = np.arange(1, 5000), np.full(4999, 7)
-    budget = int((lengths * counts).sum() * 0.371)
-    assert (mixing.fit(lengths, counts, budget) * lengths).sum() == budget
+        assert (take <= counts).all() and (take >= 0).all()
+        assert abs(int((take * lengths).sum()) - budget) == nearest_gap(lengths, counts, budget)
+    assert mixing.fit(np.array([60_000]), np.array([1]), 59_333).tolist() == [1]
+    assert mixing.fit(np.array([3000, 9000, 20_000, 30_000]), np.ones(4, int), 39_000).tolist() == [0, 1, 0, 1]
+
+
+def test_fit_of_large_sources_is_exact_and_even():
+    for lengths, counts, share in ((np.arange(1, 5000), np.full(4999, 7), 0.371), (np.arange(20, 20_000, 3), np.full(6660, 100_000), 0.77), (np.arange(3000, 200_000, 61), np.ones(3230, int), 0.4)):
+        budget = int((lengths * counts).sum() * share)
+        take = mixing.fit(lengths, counts, budget)
+        assert (take * lengths).sum() == budget and (take <= counts).all()
+        half = len(lengths) // 2
+        assert all(abs(take[s].sum() / counts[s].sum() - share) < 0.15 for s in (slice(0, half), slice(half, None)))
+
+
+def test_targets_of_many_sources(spark):
+    rnd = random.Random(4)
+    sizes = {f"host{rnd.randrange(10**6)}": rnd.choice([0, 1, 5, 40, 3000]) for _ in range(700)} | {None: 77, "": 12}
+    rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(rows).collect()}
+    want = plain_targets(sizes)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
+    assert mixing.targets(rows.limit(0)).count() == 0
+
+
+def test_mix_is_applied_row_by_row(spark):
+    rows = [(i % 40, f"w{i % 7} " * (1 + i % 9), f"s{i % 3}" if i % 5 else None, i) for i in range(400)] + [(1, "same row here", "s9", 7)] * 9 + [(None, "a b", "s9", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long")
+    mixed = mixing.mix(docs).collect()
+    out = mixing.apply_mix(docs)
+    assert out.columns == docs.columns
+    words = defaultdict(int)
+    for r in out.collect():
+        words[r.source] += len(r.text.split())
+    want = defaultdict(int)
+    for r in mixed:
+        want[r.source] += r.copies * r.size
+    assert words == {k: v for k, v in want.items() if v}
+    assert len(mixed) == len(rows) and all(abs(words[r.source] - r.target) <= 1 for r in mixed)
 
 
 def test_null_source_is_last(spark):
@@ -187,7 +246,7 @@ def test_pipeline_stages_decide(spark, sf_dir):
     kept = {r.doc_id for r in quality.assess(docs).filter("kept").collect()}
     first = corpus_pipeline.quality_stage(spark, docs, sf_dir)
     assert sorted(r.doc_id for r in first.collect()) == sorted(kept)
-    want = plain_components([(r.doc_id, r.text) for r in first.collect()])
+    want = plain_components([(r.doc_id, r.text) for r in first.collect()], 80)
     second = corpus_pipeline.near_dup_stage(spark, first, sf_dir)
     assert sorted(r.doc_id for r in second.collect()) == sorted(i for i, (_, c) in want.items() if c == i)
     third = corpus_pipeline.secrets_stage(spark, second, sf_dir)
