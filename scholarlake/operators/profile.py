@@ -75,17 +75,24 @@ def merged(sources: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.min(F.struct("_p", *names)).alias("_r")).select(*key, *[F.col(f"_r.{c}").alias(c) for c in names])
 
 
-def similar_topics(topics: DataFrame, concepts: DataFrame, least: float) -> DataFrame:
-    """(item_id, doc_id, similarity): the concept most like each topic, by shared tokens.
+def similar_topics(topics: DataFrame, concepts: DataFrame, least: float = 0.55) -> DataFrame:
+    """(item_id, doc_id, similarity): the other concept most like each topic, by shared over all tokens, if at least `least`.
 
-    Only pairs that share a token are met, through an index of tokens; the rarest would do, but topics are short.
+    A pair that similar shares one of the rarest tokens of each side: of n tokens the rarest n - ceil(least * n) + 1. Only
+    these are indexed, so a common word brings no pairs together, and only pairs that meet are compared in full.
     """
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
-    t = topics.select("item_id", words(F.col("text")).alias("a"))
-    c = concepts.select("doc_id", words(F.col("text")).alias("b"))
-    inverted = c.select("doc_id", F.size("b").alias("nb"), F.explode("b").alias("w"))
-    shared = t.select("item_id", F.size("a").alias("na"), F.explode("a").alias("w")).join(inverted, "w").groupBy("item_id", "doc_id", "na", "nb").agg(F.count("*").alias("n"))
-    s = shared.select("item_id", "doc_id", F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 6).alias("similarity")).filter(F.col("similarity") >= least)
+    t = topics.select(F.col("item_id").alias("id"), words(F.col("text")).alias("t"))
+    c = concepts.select(F.col("doc_id").alias("id"), words(F.col("text")).alias("t"))
+    seen = c.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+
+    def rarest(rows: DataFrame, name: str) -> DataFrame:
+        tokens = rows.select("id", F.explode("t").alias("w")).join(seen, "w", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("o"))
+        n = F.size("o") - F.ceil(F.size("o") * least - 1e-9).cast("int") + 1
+        return tokens.select(F.col("id").alias(name), F.explode(F.transform(F.slice("o", 1, n), lambda x: x["w"])).alias("w"))
+
+    met = rarest(t, "item_id").join(rarest(c, "doc_id"), "w").filter("item_id <> doc_id").select("item_id", "doc_id").distinct()
+    both = met.join(t.select(F.col("id").alias("item_id"), F.col("t").alias("a")), "item_id").join(c.select(F.col("id").alias("doc_id"), F.col("t").alias("b")), "doc_id")
+    s = both.select("item_id", "doc_id", F.round(F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")), 6).alias("similarity")).filter(F.col("similarity") >= least)
     best = s.groupBy("item_id").agg(F.max(F.struct("similarity", (-F.col("doc_id")).alias("d"))).alias("b"))
     return best.select("item_id", (-F.col("b.d")).alias("doc_id"), F.col("b.similarity").alias("similarity"))
-

@@ -90,13 +90,6 @@ def base_score(semantic: Column, category: Column, fresh: Column, minus: Column)
     return SEMANTIC * semantic + CATEGORY * category + RECENCY * fresh - minus
 
 
-def query_match(text: Column, title: Column, terms: Sequence[str], title_terms: Sequence[str]) -> Column:
-    """.55 of the share of query terms in the text, .2 of title terms in the title, .1 for the title terms in a row; terms count as whole words."""
-    has = lambda where, t: F.when(where.rlike(rf"(^|[^a-z0-9]){t}([^a-z0-9]|$)"), 1.0).otherwise(0.0)
-    share = lambda where, ts: sum((has(where, t) for t in ts[1:]), has(where, ts[0])) / len(ts)
-    return F.least(F.lit(1.0), share(text, terms) * 0.55 + share(title, title_terms) * 0.2 + has(title, " ".join(title_terms)) * 0.1)
-
-
 def _pick(rows: pd.DataFrame, n: int, relevance: float, semantic: float) -> pd.DataFrame:
     """Greedy choice for one user: the best of each cluster first, then the best mix of relevance and distance from what is chosen."""
     rows = rows.sort_values(["score", "vec_id"], ascending=[False, True]).reset_index(drop=True)

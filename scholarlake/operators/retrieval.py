@@ -121,13 +121,5 @@ def pool(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("chunk").agg(F.round(F.max("score") + bonus, 6).alias("score"), F.count_distinct("anchor").alias("n_anchors"), F.array_join(F.array_sort(F.collect_set("relation")), ",").alias("relations"))
 
 
-def structural_bonus(base: Sequence[tuple[Column, float]]) -> Column:
-    """The sum of what holds, kept in -.05 to .12."""
-    out = F.lit(0.0)
-    for test, value in base:
-        out = out + F.when(test, value).otherwise(0.0)
-    return F.greatest(F.lit(-0.05), F.least(F.lit(0.12), out))
-
-
 def keyword_index(docs: DataFrame, key: str, text: str) -> DataFrame:
     return postings(docs, key, keyword_tokens(F.col(text)))

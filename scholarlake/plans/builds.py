@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholarlake.operators import retrieval as R
+from scholarlake.operators import rules as RL
 from scholarlake.plans.registry import query
 from scholarlake.plans.retrieval import _BM25, _bm25
 from scholarlake.sources import harvest as H
@@ -126,16 +127,16 @@ def r7_memory_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ranked(hits, ["query_id"], F.desc("score"), F.asc("doc_id"), n=6).select("query_id", "doc_id", "rank")
 
 
-_POLICIES = {"default": (8, 0.18), "method_flow": (10, 0.22), "result_analysis": (12, 0.25)}
+_POLICY_SQL = "pol(policy, anchor_ratio, actions, section_limit, per_anchor_limit, summary_only) AS (VALUES " + ", ".join(f"('{k}', {p[0]}, '{','.join(p[1])}', {p[4]}, {p[7]}, {p[8]})" for k, p in RL.POLICIES.items()) + ")"
+_ASKED_INTENTS = (*RL.POLICIES, "contribution", "other")
 
 
-@query("SELECT doc_id, CASE WHEN contains(text, '|') THEN 'result_analysis' WHEN lang = 'de' THEN 'method_flow' ELSE 'default' END AS policy, CAST(CASE WHEN contains(text, '|') THEN 12 WHEN lang = 'de' THEN 10 ELSE 8 END AS BIGINT) AS slots FROM documents")
+@query(f"""WITH {_POLICY_SQL}, i AS (SELECT doc_id, ([{", ".join(f"'{x}'" for x in _ASKED_INTENTS)}])[CAST(doc_id % {len(_ASKED_INTENTS)} AS INT) + 1] AS intent FROM documents), q AS (SELECT doc_id, CASE WHEN intent IN (SELECT policy FROM pol) THEN intent ELSE 'default' END AS policy FROM i)
+SELECT doc_id, policy, CAST(anchor_ratio AS DOUBLE) AS anchor_ratio, actions, CAST(section_limit AS BIGINT) AS section_limit, CAST(per_anchor_limit AS BIGINT) AS per_anchor_limit, summary_only FROM q JOIN pol USING (policy)""")
 def x13_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(k, n, r) for k, (n, r) in _POLICIES.items()]
-    policies = spark.createDataFrame(rows, "policy string, slots long, ratio double")
-    name = F.when(F.col("text").contains("|"), "result_analysis").when(F.col("lang") == "de", "method_flow").otherwise("default")
-    d = table(spark, sf_dir, "documents").select("doc_id", name.alias("policy"))
-    return d.join(F.broadcast(policies), "policy").select("doc_id", "policy", "slots")
+    intent = F.get(F.array(*map(F.lit, _ASKED_INTENTS)), (F.col("doc_id") % len(_ASKED_INTENTS)).cast("int"))
+    d = table(spark, sf_dir, "documents").select("doc_id", RL.policy_of(intent).alias("policy"))
+    return d.join(F.broadcast(RL.policies(spark)), "policy").select("doc_id", "policy", "anchor_ratio", F.array_join("actions", ",").alias("actions"), "section_limit", "per_anchor_limit", "summary_only")
 
 
 @query("SELECT conv_id, turn, left(text, 120) || CASE WHEN length(text) > 200 THEN ' ... ' || right(text, 80) ELSE substring(text, 121) END AS compact FROM conversations")

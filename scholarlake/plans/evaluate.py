@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scholarlake.functions import text as T
 from scholarlake.operators import evaluate as E
 from scholarlake.operators import stores as S
+from scholarlake.operators import rules as RL
 from scholarlake.operators import tables as TB
 from scholarlake.plans.registry import query
 from scholarlake.sources.tables import EVENTS_SQL, events, table
@@ -180,10 +181,14 @@ def f29_key_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("conv_id", t.alias("t")).select("conv_id", F.round(hits / 3.0, 6).alias("coverage"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(text, '|') AND n_chars > 1000 THEN 1.35 WHEN contains(text, '|') THEN 1.15 ELSE 1.0 END::DOUBLE AS multiplier FROM documents")
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag IN ('A', 'R') THEN 'table_structured' ELSE 'keyword' END AS route, l_quantity > 5 AS cells, (['max', 'min', 'difference', 'lookup'])[CAST(l_partkey % 4 AS INT) + 1] AS op, (['compute', 'defer_to_llm', 'none'])[CAST(l_suppkey % 3 AS INT) + 1] AS decision, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_discount * 20 END AS confidence FROM lineitem)
+SELECT l_orderkey, l_linenumber, CAST(round(CASE WHEN route = 'table_structured' AND cells THEN 1 + least(0.3, coalesce(confidence, 0) * 0.22) + CASE WHEN decision = 'compute' AND op IN ('max', 'min', 'difference') THEN 0.08 WHEN decision = 'defer_to_llm' THEN 0.03 ELSE 0 END ELSE 1 END, 6) AS DOUBLE) AS multiplier FROM v""")
 def f33_vote_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pipe = F.col("text").contains("|")
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(pipe & (F.col("n_chars") > 1000), 1.35).when(pipe, 1.15).otherwise(1.0).alias("multiplier"))
+    pick = lambda items, at: F.get(F.array(*map(F.lit, items)), (F.col(at) % len(items)).cast("int"))
+    route = F.when(F.col("l_returnflag").isin("A", "R"), "table_structured").otherwise("keyword")
+    confidence = F.when(F.col("l_linenumber") != 3, F.col("l_discount") * 20)
+    m = RL.vote_multiplier(route, F.col("l_quantity") > 5, pick(("max", "min", "difference", "lookup"), "l_partkey"), pick(("compute", "defer_to_llm", "none"), "l_suppkey"), confidence)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(m, 6).alias("multiplier"))
 
 
 @query("""WITH i AS (SELECT conv_id, turn, CASE WHEN contains(lower(text), 'result') OR contains(lower(text), 'ung') THEN 'result_analysis' WHEN contains(lower(text), 'que') THEN 'method_flow' ELSE 'default' END AS intent FROM conversations)
@@ -209,17 +214,17 @@ def f37_event_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", F.coalesce(F.try_element_at(names, e), e).alias("action"), F.coalesce(F.try_element_at(weights, e), F.lit(0.0)).alias("strength"))
 
 
-@query(f"""WITH v AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark), p AS (SELECT a.item_id AS kept, b.item_id AS other, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) AS s FROM v a, v b WHERE a.item_id < b.item_id)
-SELECT item_id, item_id NOT IN (SELECT other FROM p WHERE s >= 0.5) AS kept FROM v""")
+_VIEW = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
+
+
+@query(f"""WITH v AS (SELECT conv_id, [split_part(a, chr(10), 1), 'The: ' || split_part(a, chr(10), 1) || '!', split_part(a, chr(10), 1) || ' again', list_reduce(['x'] || list_slice(string_split(a, ' '), 1, 12), lambda p, q: p || ' ' || q), '--'] AS vs FROM (SELECT conv_id, min(coalesce(text, '')) FILTER (turn <= 1) AS a FROM conversations GROUP BY conv_id) WHERE a IS NOT NULL),
+w AS (SELECT conv_id, list_filter(vs, lambda v: len({_VIEW.format('v')}) > 0) AS vs FROM v)
+SELECT conv_id, array_to_string(CASE WHEN len(vs) = 0 THEN vs ELSE list_reduce(list_transform(vs, lambda v: [v]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: len(list_intersect({_VIEW.format('k')}, {_VIEW.format('x[1]')})) >= 0.88 * len(list_distinct(list_concat({_VIEW.format('k')}, {_VIEW.format('x[1]')}))))) > 0 THEN acc ELSE list_concat(acc, x) END) END, '|') AS kept FROM w""")
 def f12_view_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
-    v = table(spark, sf_dir, "benchmark").select("item_id", words.alias("t"))
-    # pairs that share a token at all, met through the tokens
-    inv = v.select("item_id", F.size("t").alias("n"), F.explode("t").alias("w"))
-    other = inv.select(F.col("item_id").alias("o"), F.col("n").alias("m"), "w")
-    pairs = inv.join(other, "w").filter("item_id < o").groupBy("item_id", "o", "n", "m").agg(F.count("*").alias("both"))
-    gone = pairs.filter(F.col("both") / (F.col("n") + F.col("m") - F.col("both")) >= 0.5).select(F.col("o").alias("item_id")).distinct().withColumn("gone", F.lit(True))
-    return v.select("item_id").join(gone, "item_id", "left").select("item_id", F.col("gone").isNull().alias("kept"))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min(F.when(F.col("turn") <= 1, F.coalesce("text", F.lit("")))).alias("a")).filter("a is not null")
+    first = F.substring_index("a", "\n", 1)
+    views = F.array(first, F.concat(F.lit("The: "), first, F.lit("!")), F.concat(first, F.lit(" again")), F.array_join(F.concat(F.array(F.lit("x")), F.slice(F.split("a", " "), 1, 12)), " "), F.lit("--"))
+    return c.select("conv_id", F.array_join(RL.deduped_views(views), "|").alias("kept"))
 
 
 @query("""WITH f AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'result_analysis' WHEN 'de' THEN 'method_flow' ELSE 'default' END AS intent, contains(text, '|') AS tab FROM documents)
@@ -229,9 +234,3 @@ def f9_field_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = table(spark, sf_dir, "documents").select("doc_id", intent.alias("intent"), F.col("text").contains("|").alias("tab"))
     by = F.when((F.col("intent") == "result_analysis") & F.col("tab"), 1.4).when(F.col("intent") == "method_flow", 1.2).otherwise(1.0)
     return f.select("doc_id", "intent", F.round(F.least(F.lit(2.6), 2.0 * by), 6).alias("title_weight"))
-
-
-@query("SELECT doc_id, CAST(round(least(1.4, 0.35 + 0.2 * CASE WHEN lang = 'en' THEN 1 ELSE 0 END + 0.4 * least(n_chars / 4000.0, 1.0) + CASE WHEN doc_id % 5 = 0 THEN 0.6 ELSE 0 END), 6) AS DOUBLE) AS memory_score FROM documents")
-def f27_memory_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = 0.35 + 0.2 * F.when(F.col("lang") == "en", 1).otherwise(0) + 0.4 * F.least(F.col("n_chars") / 4000.0, F.lit(1.0)) + F.when(F.col("doc_id") % 5 == 0, 0.6).otherwise(0.0)
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(F.least(F.lit(1.4), s), 6).alias("memory_score"))

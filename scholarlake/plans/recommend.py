@@ -9,6 +9,7 @@ from scholarlake.functions import text as T
 from scholarlake.operators import profile as P
 from scholarlake.operators import recommend as R
 from scholarlake.operators import retrieval
+from scholarlake.operators import rules as RL
 from scholarlake.plans.registry import query
 from scholarlake.sources.tables import EVENTS_SQL, PAPERS_SQL, VECTORS_SQL, events, papers, table, vectors
 
@@ -100,13 +101,18 @@ def f16_p2_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _base(spark, sf_dir).select("vec_id", F.round("score", 5).alias("score"), (F.col("disliked") >= 0.9).alias("filtered"))
 
 
-@query(f"""WITH {PAPERS_SQL}, t AS (SELECT paper_id, lower(title) AS title, lower(title || ' ' || abstract || ' ' || array_to_string(categories, ' ')) AS x FROM papers)
-SELECT paper_id, CAST(round(least(1.0, (CAST(regexp_matches(x, '(^|[^a-z0-9])the([^a-z0-9]|$)') AS INT) + CAST(regexp_matches(x, '(^|[^a-z0-9])und([^a-z0-9]|$)') AS INT) + CAST(regexp_matches(x, '(^|[^a-z0-9])en([^a-z0-9]|$)') AS INT)) / 3.0 * 0.55
- + (CAST(regexp_matches(title, '(^|[^a-z0-9])of([^a-z0-9]|$)') AS INT) + CAST(regexp_matches(title, '(^|[^a-z0-9])the([^a-z0-9]|$)') AS INT)) / 2.0 * 0.2 + CAST(regexp_matches(title, '(^|[^a-z0-9])of the([^a-z0-9]|$)') AS INT) * 0.1), 6) AS DOUBLE) AS match FROM t""")
+_HAS = "CAST(regexp_matches({0}, '(^|[^a-z0-9]){1}([^a-z0-9]|$)') AS INT)"
+_share = lambda where, ts: "(" + " + ".join(_HAS.format(where, t) for t in ts) + f") / {len(ts)}.0"
+
+
+@query(f"""WITH {PAPERS_SQL}, t AS (SELECT paper_id, lower(title) AS title, lower(abstract) AS abstract, categories, lower(title || ' ' || abstract || ' ' || array_to_string(categories, ' ')) AS x, (paper_id % 10) / 8.0 AS recalled FROM papers)
+SELECT paper_id, CAST(round(least(1.0, greatest({_share("x", ("the", "und", "en"))}, least(1.0, recalled)) * 0.55 + {_share("title", ("of", "the"))} * 0.2 + {_share("abstract", ("in", "de"))} * 0.15
+ + len(list_intersect(categories, ['src1', 'en', 'src5'])) / 3.0 * 0.1 + {_HAS.format("title", "of the")} * 0.1 + {_HAS.format("abstract", "in de")} * 0.05), 6) AS DOUBLE) AS match FROM t""")
 def f14_query_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = papers(spark, sf_dir)
     text = F.lower(F.concat_ws(" ", "title", "abstract", F.array_join("categories", " ")))
-    return p.select("paper_id", F.round(R.query_match(text, F.lower("title"), ["the", "und", "en"], ["of", "the"]), 6).alias("match"))
+    match = RL.query_match(text, F.lower("title"), F.lower("abstract"), F.col("categories"), ["the", "und", "en"], ["of", "the"], ["in", "de"], ["src1", "en", "src5"], (F.col("paper_id") % 10) / 8.0)
+    return p.select("paper_id", F.round(match, 6).alias("match"))
 
 
 @query("""WITH a AS (SELECT doc_id, contains(text, 'the') AS pos, contains(text, 'und') AS neg, source IN ('src1', 'src2') AS cat, doc_id % 7 = 0 AS seen FROM documents)
@@ -276,7 +282,8 @@ def f23_topic_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.topic_key(F.col("text")).alias("key"))
 
 
-@query(r"""WITH h AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents),
-s AS (SELECT item_id, doc_id, round(len(list_intersect(h.t, d.t)) / len(list_distinct(list_concat(h.t, d.t))), 6) AS s FROM h, d) SELECT item_id, doc_id, s AS similarity FROM s WHERE s >= 0.05 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) = 1""")
+@query(rf"""WITH {PAPERS_SQL}, w AS (SELECT paper_id, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')) AS t FROM papers), h AS (SELECT * FROM w WHERE paper_id % 100 = 0 AND len(t) > 0),
+s AS (SELECT h.paper_id AS item_id, w.paper_id AS doc_id, round(len(list_intersect(h.t, w.t)) / len(list_distinct(list_concat(h.t, w.t))), 6) AS s FROM h, w WHERE h.paper_id <> w.paper_id) SELECT item_id, doc_id, s AS similarity FROM s WHERE s >= 0.55 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) = 1""")
 def j11_topic_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.similar_topics(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 0.05)
+    p = papers(spark, sf_dir)
+    return P.similar_topics(p.filter("paper_id % 100 = 0").select(F.col("paper_id").alias("item_id"), F.col("title").alias("text")), p.select(F.col("paper_id").alias("doc_id"), F.col("title").alias("text")), 0.55)

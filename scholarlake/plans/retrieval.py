@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scholarlake.functions import text as T
 from scholarlake.operators import chunks as C
 from scholarlake.operators import retrieval as R
+from scholarlake.operators import rules as RL
 from scholarlake.plans.registry import query
 from scholarlake.sources.tables import VECTORS_SQL, table, vectors
 
@@ -49,16 +50,49 @@ def f3_normal_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normal(F.col("text")).alias("normal"), T.language(F.col("text")).alias("language"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(h, 'the') OR contains(h, 'er') THEN 'method' END, CASE WHEN contains(h, 'que') THEN 'result' END, CASE WHEN contains(h, 'ung') OR contains(h, 'keit') THEN 'limitation' END], lambda x: x IS NOT NULL), ',') AS tags FROM (SELECT doc_id, lower(substring(text, 1, 900)) AS h FROM documents)")
+#: Chunks with headings: each document below a heading of its number, as sections of a paper have them.
+_HEADINGS = ("Abstract", "1 Introduction", "2 Method and model", "3 Experiments", "4 Ablation", "5 Conclusion", "A Appendix", "Prompt", "Figure 3", "Table 2", "References", "Notes")
+_INTENTS = ("method_flow", "figure_table", "paper_overview", "contribution", "limitation", "result_analysis", "other")
+_PREFERRED = (("method",), ("figure", "table", "experiment"), ("abstract", "conclusion"), (), ("conclusion",))
+_sql_list = lambda items: "[" + ", ".join(f"'{x}'" for x in items) + "]"
+_TAGGED = f"""hd AS (SELECT doc_id, n_chars, text, ({_sql_list(_HEADINGS)})[CAST(doc_id % {len(_HEADINGS)} AS INT) + 1] || chr(10) || text AS content, ({_sql_list(_INTENTS)})[CAST(doc_id % {len(_INTENTS)} AS INT) + 1] AS intent,
+  ([{", ".join(_sql_list(x) if x else "CAST([] AS VARCHAR[])" for x in _PREFERRED)}])[CAST(doc_id % {len(_PREFERRED)} AS INT) + 1] AS preferred, (['text', 'figure', 'table'])[CAST(doc_id % 3 AS INT) + 1] AS chunk_type FROM documents),
+h9 AS (SELECT *, lower(regexp_replace(substring(regexp_replace(content, '\\s+', ' ', 'g'), 1, 900), '\\s+', ' ', 'g')) AS h FROM hd),
+tg AS (SELECT *, list_filter([{", ".join("CASE WHEN " + " OR ".join(f"contains(h, '{w}')" for w in ws) + f" THEN '{t}' END" for t, ws in RL.SECTION_TAGS.items())}], lambda x: x IS NOT NULL) AS tags FROM h9),
+ny AS (SELECT *, list_intersect(tags, {_sql_list(RL.NOISY_TAGS)}) AS noisy0, chunk_type IN ('figure', 'table') AND intent = 'figure_table' AS asset, intent IN {RL.OVERVIEW_INTENTS} AS overview FROM tg),
+bo AS (SELECT *, greatest(-0.05, least(0.12, 0.045 * len(list_intersect(tags, preferred)) + CASE WHEN asset THEN 0.05 ELSE 0 END - 0.02 * len(CASE WHEN asset THEN list_filter(noisy0, lambda x: x NOT IN ('figure', 'table')) ELSE noisy0 END)
+  + CASE WHEN overview AND list_contains(tags, 'abstract') THEN 0.03 ELSE 0 END + CASE WHEN overview AND list_contains(tags, 'conclusion') THEN 0.02 ELSE 0 END)) AS bonus FROM ny)"""
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, content, intent, preferred, chunk_type, tags, bonus) of chunks with headings."""
+    pick = lambda items: F.get(F.array(*items), (F.col("doc_id") % len(items)).cast("int"))
+    words = lambda ws: F.array(*map(F.lit, ws)).cast("array<string>")
+    d = table(spark, sf_dir, "documents")
+    d = d.select("doc_id", "n_chars", "text", F.concat(pick([F.lit(x) for x in _HEADINGS]), F.lit("\n"), "text").alias("content"), pick([F.lit(x) for x in _INTENTS]).alias("intent"), pick([words(x) for x in _PREFERRED]).alias("preferred"), pick([F.lit(x) for x in ("text", "figure", "table")]).alias("chunk_type"))
+    d = d.withColumn("tags", RL.tags_of(F.col("content")))
+    return d.withColumn("bonus", RL.structural_bonus(F.col("tags"), F.col("preferred"), F.col("intent"), F.col("chunk_type")))
+
+
+@query(f"WITH {_TAGGED} SELECT doc_id, array_to_string(tags, ',') AS tags FROM tg")
 def f5_section_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = {"method": ["the", "er"], "result": ["que"], "limitation": ["ung", "keit"]}
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.section_tags(F.col("text"), tags), ",").alias("tags"))
+    return _tagged(spark, sf_dir).select("doc_id", F.array_join("tags", ",").alias("tags"))
 
 
-@query("SELECT doc_id, CAST(round(greatest(-0.05, least(0.12, CASE WHEN n_chars > 1000 THEN 0.08 ELSE 0 END + CASE WHEN lang = 'en' THEN 0.06 ELSE 0 END + CASE WHEN n_chars < 100 THEN -0.09 ELSE 0 END)), 6) AS DOUBLE) AS bonus FROM documents")
+@query(f"WITH {_TAGGED} SELECT doc_id, CAST(round(bonus, 6) AS DOUBLE) AS bonus FROM bo")
 def f6_structural_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tests = [(F.col("n_chars") > 1000, 0.08), (F.col("lang") == "en", 0.06), (F.col("n_chars") < 100, -0.09)]
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(R.structural_bonus(tests), 6).alias("bonus"))
+    return _tagged(spark, sf_dir).select("doc_id", F.round("bonus", 6).alias("bonus"))
+
+
+@query(f"""WITH {_TAGGED}, m AS (SELECT *, doc_id % 4 = 0 AS recent, (doc_id % 11) / 10.0 AS strength, CASE WHEN doc_id % 5 = 0 THEN 'c' || CAST(doc_id AS VARCHAR) ELSE '' END AS given, list_slice(regexp_extract_all(lower(text), '[a-z]+'), 3, 14) || ['zzz'] AS keywords FROM bo)
+SELECT doc_id, CAST(round(least(1.4, 0.25 + CASE WHEN recent THEN 0.28 ELSE 0 END + least(0.24, strength * 0.24) + CASE WHEN given <> '' THEN 0.34 ELSE 0 END
+  + least(0.28, len(list_filter(list_slice(keywords, 1, 10), lambda k: contains(lower(content), k))) / len(list_slice(keywords, 1, 10)) * 0.28) + greatest(0, bonus)), 6) AS DOUBLE) AS memory_score FROM m""")
+def f27_memory_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    own = F.concat(F.lit("c"), i.cast("string"))
+    keywords = F.concat(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 3, 12), F.array(F.lit("zzz")))
+    score = RL.memory_score(i % 4 == 0, (i % 11) / 10.0, F.array(F.when(i % 5 == 0, own).otherwise(""), F.lit("")), F.array(own, F.lit("")), F.col("keywords"), F.col("content"), F.col("bonus"))
+    return _tagged(spark, sf_dir).withColumn("keywords", keywords).select("doc_id", F.round(score, 6).alias("memory_score"))
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score FROM bm")
