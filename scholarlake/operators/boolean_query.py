@@ -10,15 +10,17 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholarlake.functions.text import folded, has_words, query_tokens
 
-FIELDS = {"ti": "title", "title": "title", "abs": "abstract", "abstract": "abstract", "cat": "category", "category": "category", "all": "all", "id": "id"}
+FIELDS = {"ti": "title", "title": "title", "abs": "abstract", "abstract": "abstract", "au": "author", "author": "author", "authors": "author", "cat": "category", "category": "category", "all": "all", "id": "id"}
 #: Relevance of a hit in a field.
-WEIGHTS = {"title": 8, "abstract": 5, "category": 3}
+WEIGHTS = {"title": 8, "abstract": 5, "category": 3, "author": 1}
 POOL = 500
+#: Days that a search over the last days may be widened to.
+WIDER_DAYS = (90, 365)
 
 
 class QueryError(ValueError):
@@ -115,10 +117,12 @@ class Columns:
     date: Column
 
 
-def columns_of() -> Columns:
-    """How to ask papers."""
-    both = F.concat("title", F.lit("\n"), "abstract")
-    return Columns({"title": folded(F.col("title")), "abstract": folded(F.col("abstract")), "all": folded(both)}, F.col("categories"), F.col("paper_id").cast("string"), F.col("created"))
+def columns_of(papers: DataFrame) -> Columns:
+    """How to ask papers; all is title, authors and abstract. A table without authors has none."""
+    names = F.array_join("authors", ", ") if "authors" in papers.columns else F.lit("")
+    both = F.concat_ws("\n", "title", names, "abstract")
+    texts = {"title": F.col("title"), "abstract": F.col("abstract"), "author": names, "category": F.array_join("categories", ", "), "all": both}
+    return Columns({k: folded(v) for k, v in texts.items()}, F.col("categories"), F.col("paper_id").cast("string"), F.col("created"))
 
 
 def compile_query(n: Node, c: Columns) -> Column:
@@ -140,7 +144,7 @@ def compile_query(n: Node, c: Columns) -> Column:
 
 
 def relevance(n: Node, c: Columns) -> Column:
-    """Score of a hit: fields weigh title 8, abstract 5; AND adds, OR takes the best, ANDNOT counts its left side; a field clause is 10, categories and dates 0."""
+    """Score of a hit: fields weigh title 8, abstract 5, category 3, author 1; AND adds, OR takes the best, ANDNOT counts its left side; a field clause is 10, categories and dates 0."""
     if n.kind == "and":
         return sum((relevance(p, c) for p in n.parts[1:]), relevance(n.parts[0], c))
     if n.kind == "or":
@@ -161,7 +165,7 @@ def search(papers: DataFrame, query: str, sort: str = "date", start: int = 0, n:
     By relevance the newest POOL hits are scored, or as many as the page needs.
     """
     ast = parse(query)
-    c = columns_of()
+    c = columns_of(papers)
     hits = papers.filter(compile_query(ast, c)).select("paper_id", "created", relevance(ast, c).cast("long").alias("score"))
     # one count beside the page: both come from the same filtered scan
     total = hits.agg(F.count("*").alias("total"))
@@ -175,17 +179,38 @@ def search(papers: DataFrame, query: str, sort: str = "date", start: int = 0, n:
 
 def count_many(papers: DataFrame, queries: dict[str, str]) -> DataFrame:
     """(name, n): hits of many queries in one scan."""
-    c = columns_of()
+    c = columns_of(papers)
     counts = papers.agg(*[F.sum(F.when(compile_query(parse(q), c), 1).otherwise(0)).cast("long").alias(name) for name, q in queries.items()])
     return counts.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, queries)), F.array(*[F.coalesce(F.col(f"`{q}`"), F.lit(0).cast("long")) for q in queries]))).alias("name", "n"))
 
 
 def first_level(papers: DataFrame, levels: list[str]) -> DataFrame:
     """Hits of the first query of a ladder, from strict to loose, that has any: (paper_id, level)."""
-    c = columns_of()
+    c = columns_of(papers)
     level = F.coalesce(*[F.when(compile_query(parse(q), c), F.lit(i)) for i, q in enumerate(levels)])
-    hits = papers.select("paper_id", level.alias("level")).filter("level is not null")
-    return hits.withColumn("least", F.min("level").over(Window.partitionBy(F.lit(0)))).filter("level = least").select("paper_id", F.col("level").cast("long").alias("level"))
+    hits = papers.select("paper_id", level.cast("long").alias("level")).filter("level is not null")
+    least = hits.agg(F.min("level").alias("least"))  # one row
+    return hits.join(F.broadcast(least), F.col("level") == F.col("least")).select("paper_id", "level")
+
+
+def widened(query: str, days: int | None, today: str) -> dict[str, str]:
+    """A search over the last `days` days before `today` (YYYYMMDD), and the same over more days."""
+    if days is None:
+        return {}
+    from datetime import datetime, timedelta
+
+    end = datetime.strptime(today, "%Y%m%d")
+    since = lambda n: (end - timedelta(days=n)).strftime("%Y%m%d")
+    return {f"days_{n}": f"({query}) AND submittedDate:[{since(n)}0000 TO {today}2359]" for n in (days, *[w for w in WIDER_DAYS if w > days])}
+
+
+def suggestions(papers: DataFrame, base: str, forms: dict[str, str], drops: int = 2) -> DataFrame:
+    """(name, n): the looser forms that find more than `base` does; of those that leave a term out the best `drops`. One scan."""
+    counts = count_many(papers, {"base": base, **{k: v for k, v in forms.items() if k != "base"}})
+    one = counts.agg(F.max(F.when(F.col("name") == "base", F.col("n"))).alias("least"))
+    more = counts.join(F.broadcast(one)).filter((F.col("name") != "base") & (F.col("n") > F.col("least"))).select("name", "n")
+    dropped = F.col("name").startswith("drop_")
+    return more.filter(~dropped).unionByName(more.filter(dropped).orderBy(F.desc("n"), "name").limit(drops))
 
 
 def relaxations(query: str, terms: list[str], expansions: dict[str, str]) -> dict[str, str]:

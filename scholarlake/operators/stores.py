@@ -40,16 +40,21 @@ def window_counts(events: DataFrame, seconds: int) -> DataFrame:
     return events.withColumn("window_start", start).withColumn("nth", F.row_number().over(order).cast("long"))
 
 
-def blocks(events: DataFrame, per_minute: int, seconds: int) -> DataFrame:
-    """(user_id, from_epoch, until_epoch): blocks after more than `per_minute` failures in a minute, which failures within a block do not extend.
+#: Refusals in a minute beyond which an address is blocked, and for how many seconds.
+ABUSE = {"auth_failures": 20, "rate_violations": 30}
+BLOCK_SECONDS = 900
 
-    Minutes over the limit are islands; a block opens at the first minute that no earlier block covers. With a
-    block of a fixed number of minutes the openings of a user follow one from another, so they are folded over the
-    user's few such minutes.
+
+def blocks(refusals: DataFrame, limits: dict[str, int] = ABUSE, seconds: int = BLOCK_SECONDS) -> DataFrame:
+    """(user_id, from_epoch, until_epoch): blocks after more refusals of a kind in a minute than its limit; those within a block do not extend it.
+
+    `refusals` has user_id, kind, epoch and n; kinds without a limit are passed over. Minutes over a limit are few; a
+    block opens at the first that no earlier block covers, so the openings of a user are folded over these minutes.
     """
     minute = F.col("epoch") - F.pmod("epoch", F.lit(60))
-    over = events.groupBy("user_id", minute.alias("m")).agg(F.count("*").alias("n")).filter(F.col("n") > per_minute)
-    rows = over.groupBy("user_id").agg(F.array_sort(F.collect_list("m")).alias("ms"))
+    over = refusals.groupBy("user_id", "kind", minute.alias("m")).agg(F.sum("n").alias("n"))
+    limit = F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for k, n in limits.items()])
+    rows = over.filter(F.col("n") > limit).groupBy("user_id").agg(F.array_sort(F.collect_set("m")).alias("ms"))
     zero = F.array().cast("array<bigint>")
     opened = F.aggregate("ms", zero, lambda acc, m: F.when((F.size(acc) == 0) | (m >= F.element_at(acc, -1) + seconds), F.array_append(acc, m)).otherwise(acc))
     return rows.select("user_id", F.explode(opened).alias("from_epoch")).withColumn("until_epoch", F.col("from_epoch") + seconds)

@@ -14,9 +14,15 @@ from scholarlake.sources.tables import PAPERS_SQL, papers, table
 _MARKS = f"'{T.MARKED}', '{T.PLAIN}'"
 _TOKENS = (
     rf"regexp_extract_all(translate(lower(title), {_MARKS}), '[\p{{L}}\p{{N}}]+') AS t, "
-    rf"regexp_extract_all(translate(lower(abstract), {_MARKS}), '[\p{{L}}\p{{N}}]+') AS a"
+    rf"regexp_extract_all(translate(lower(abstract), {_MARKS}), '[\p{{L}}\p{{N}}]+') AS a, "
+    rf"regexp_extract_all(translate(lower(array_to_string(authors, ', ')), {_MARKS}), '[\p{{L}}\p{{N}}]+') AS u, "
+    rf"regexp_extract_all(translate(lower(array_to_string(categories, ', ')), {_MARKS}), '[\p{{L}}\p{{N}}]+') AS g"
 )
-INDEXED_SQL = f"{PAPERS_SQL}, idx0 AS (SELECT *, {_TOKENS} FROM papers), idx AS (SELECT *, list_concat(t, a) AS al, ' ' || array_to_string(list_concat(t, a), ' ') || ' ' AS joined FROM idx0)"
+INDEXED_SQL = f"{PAPERS_SQL}, idx0 AS (SELECT *, {_TOKENS} FROM papers), idx AS (SELECT *, list_concat(list_concat(t, u), a) AS al, ' ' || array_to_string(list_concat(list_concat(t, u), a), ' ') || ' ' AS joined FROM idx0)"
+
+
+def _relevance(hit: str) -> str:
+    return " + ".join(f"{w} * CAST({hit.format(c)} AS INT)" for c, w in (("t", 8), ("a", 5), ("g", 3), ("u", 1)))
 
 
 def _page(where: str, score: str, order: str, limit: str, pool: str = "") -> str:
@@ -24,12 +30,12 @@ def _page(where: str, score: str, order: str, limit: str, pool: str = "") -> str
 SELECT paper_id, created, score, (SELECT count(*) FROM hits) AS total FROM {pool or 'hits'} ORDER BY {order} {limit}"""
 
 
-@query(_page("list_contains(al, 'the') AND NOT list_contains(al, 'of')", "8 * CAST(list_contains(t, 'the') AS INT) + 5 * CAST(list_contains(a, 'the') AS INT)", "created DESC, paper_id DESC", "LIMIT 20"))
+@query(_page("list_contains(al, 'the') AND NOT list_contains(al, 'of')", _relevance("list_contains({}, 'the')"), "created DESC, paper_id DESC", "LIMIT 20"))
 def q1_boolean_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bq.search(papers(spark, sf_dir), "all:the ANDNOT all:of", n=20)
 
 
-@query(_page("contains(joined, ' of the ')", "8 * CAST(contains(' ' || array_to_string(t, ' ') || ' ', ' of the ') AS INT) + 5 * CAST(contains(' ' || array_to_string(a, ' ') || ' ', ' of the ') AS INT)", "score DESC, created DESC, paper_id DESC", "LIMIT 25 OFFSET 5", "(SELECT * FROM hits ORDER BY created DESC, paper_id DESC LIMIT 500)"))
+@query(_page("contains(joined, ' of the ')", _relevance("contains(' ' || array_to_string({}, ' ') || ' ', ' of the ')"), "score DESC, created DESC, paper_id DESC", "LIMIT 25 OFFSET 5", "(SELECT * FROM hits ORDER BY created DESC, paper_id DESC LIMIT 500)"))
 def q11_relevance_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bq.search(papers(spark, sf_dir), 'all:"of the"', sort="relevance", start=5, n=25)
 
@@ -49,11 +55,33 @@ def q8_id_or_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bq.search(papers(spark, sf_dir), "id:17 OR cat:src3", n=15)
 
 
-@query(_page("list_contains(al, 'r') AND list_contains(al, 'seau')", "0 + 8 * CAST(list_contains(t, 'r') AND list_contains(t, 'seau') AS INT) + 5 * CAST(list_contains(a, 'r') AND list_contains(a, 'seau') AS INT)", "created DESC, paper_id DESC", "LIMIT 10"))
+@query(_page("list_contains(al, 'r') AND list_contains(al, 'seau')", _relevance("(list_contains({0}, 'r') AND list_contains({0}, 'seau'))"), "created DESC, paper_id DESC", "LIMIT 10"))
 def q7_query_splits_at_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bq.search(papers(spark, sf_dir), "réseau", n=10)
 
 
+@query(_page("contains(' ' || array_to_string(u, ' ') || ' ', ' noel etienne ') AND (list_contains(u, 'src2') OR list_contains(u, 'de'))", "20", "created DESC, paper_id DESC", "LIMIT 40"))
+def q5_author_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bq.search(papers(spark, sf_dir), 'author:"noel etienne" AND (au:src2 OR authors:de)', n=40)
+
+
+@query(_page("list_contains(al, 'src3') OR list_contains(al, 'en')", f"greatest({_relevance("list_contains({}, 'src3')")}, {_relevance("list_contains({}, 'en')")})", "score DESC, created DESC, paper_id DESC", "LIMIT 60", "(SELECT * FROM hits ORDER BY created DESC, paper_id DESC LIMIT 500)"))
+def q12_relevance_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bq.search(papers(spark, sf_dir), "src3 OR en", sort="relevance", n=60)
+
+
+@query(f"""WITH {INDEXED_SQL}, m AS (SELECT *, CAST(created AS TIMESTAMP) AS since, list_contains(al, 'the') AS x, list_contains(al, 'er') AS y FROM idx), c AS (
+  SELECT 'base' AS name, count(*) FILTER (x AND y AND since BETWEEN TIMESTAMP '2024-12-01' AND TIMESTAMP '2024-12-31 23:59:00') AS n FROM m
+  UNION ALL SELECT 'days_90', count(*) FILTER (x AND y AND since BETWEEN TIMESTAMP '2024-10-02' AND TIMESTAMP '2024-12-31 23:59:00') FROM m
+  UNION ALL SELECT 'days_365', count(*) FILTER (x AND y AND since BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-12-31 23:59:00') FROM m
+  UNION ALL SELECT 'drop_the', count(*) FILTER (y) FROM m UNION ALL SELECT 'drop_er', count(*) FILTER (x) FROM m UNION ALL SELECT 'any', count(*) FILTER (x OR y) FROM m),
+w AS (SELECT * FROM c WHERE name <> 'base' AND n > (SELECT n FROM c WHERE name = 'base'))
+SELECT name, n FROM w WHERE name NOT LIKE 'drop%' UNION ALL SELECT * FROM (SELECT name, n FROM w WHERE name LIKE 'drop%' ORDER BY n DESC, name LIMIT 2)""")
+def q19_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = bq.widened("all:the AND all:er", 30, "20241231")
+    return bq.suggestions(papers(spark, sf_dir), days.pop("days_30"), days | bq.relaxations("all:the AND all:er", ["the", "er"], {}))
+
+
 @query(f"""WITH {INDEXED_SQL} SELECT * FROM (
   SELECT 'base' AS name, count(*) FILTER (list_contains(al, 'the') AND list_contains(al, 'er')) AS n FROM idx
   UNION ALL SELECT 'expand_er', count(*) FILTER (list_contains(al, 'the') AND contains(joined, ' of the ')) FROM idx

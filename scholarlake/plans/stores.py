@@ -254,11 +254,17 @@ def t5_daily_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("within", F.col("used") <= 5)
 
 
-@query(f"""WITH RECURSIVE {EVENTS_SQL}, o AS (SELECT user_id, epoch - epoch % 60 AS m FROM ev GROUP BY 1, 2 HAVING count(*) > 0),
-b AS (SELECT user_id, min(m) AS f FROM o GROUP BY user_id UNION ALL SELECT b.user_id, (SELECT min(m) FROM o WHERE o.user_id = b.user_id AND m >= b.f + 86400) FROM b WHERE b.f IS NOT NULL AND EXISTS (SELECT 1 FROM o WHERE o.user_id = b.user_id AND m >= b.f + 86400))
-SELECT user_id, f AS from_epoch, f + 86400 AS until_epoch FROM b""")
+#: Refused logins and refused requests: every event of type error or view stands for a burst of as many refusals as its value's whole number.
+_BURSTS = f"""{EVENTS_SQL}, rf AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'auth_failures' ELSE 'rate_violations' END AS kind, epoch, CAST(floor(value) AS BIGINT) AS n FROM ev WHERE event_type IN ('error', 'view')),
+o AS (SELECT user_id, epoch - epoch % 60 AS m FROM rf GROUP BY user_id, kind, epoch - epoch % 60 HAVING sum(n) > CASE kind WHEN 'auth_failures' THEN 20 ELSE 30 END)"""
+
+
+@query(f"""WITH RECURSIVE {_BURSTS},
+b AS (SELECT user_id, min(m) AS f FROM o GROUP BY user_id UNION ALL SELECT b.user_id, (SELECT min(m) FROM o WHERE o.user_id = b.user_id AND m >= b.f + 900) FROM b WHERE b.f IS NOT NULL AND EXISTS (SELECT 1 FROM o WHERE o.user_id = b.user_id AND m >= b.f + 900))
+SELECT user_id, f AS from_epoch, f + 900 AS until_epoch FROM b""")
 def t6_abuse_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.blocks(events(spark, sf_dir), 0, 86400)
+    e = events(spark, sf_dir).filter(F.col("event_type").isin("error", "view"))
+    return S.blocks(e.select("user_id", F.when(F.col("event_type") == "error", "auth_failures").otherwise("rate_violations").alias("kind"), "epoch", F.floor("value").cast("long").alias("n")))
 
 
 @query(f"""WITH {EVENTS_SQL} SELECT user_id, event_type, min(event_id) AS event_id, arg_max(value, epoch * 10000000 + event_id) AS value, count(*) AS times FROM ev WHERE k > 0 GROUP BY 1, 2""")

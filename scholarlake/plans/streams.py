@@ -39,7 +39,7 @@ def t2_stream_catch_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = I.checkpoints(spark)
 
     def put(df: DataFrame, i: int) -> None:
-        I.caught_up(df, done, "user_id", 200).write.mode("overwrite").parquet(f"{place}/rows")
+        I.caught_up(df, done, "user_id", 200).write.mode("overwrite").parquet(f"{place}/rows/batch={i}")  # a batch that is run again replaces only itself
 
     e.writeStream.foreachBatch(put).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{place}/rows").select("event_id", "user_id")

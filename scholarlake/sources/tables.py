@@ -11,7 +11,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as papers: the first line is the title, the rest the abstract; source and language are the categories.
+    """Documents as papers: the first line is the title, the rest the abstract; source and language are the categories and name the authors.
 
     created is an ISO date string; dates are compared as strings, as harvested records have them.
     """
@@ -21,6 +21,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("paper_id"),
         title.alias("title"),
         F.col("text").substr(F.length(title) + 2, F.length("text")).alias("abstract"),
+        F.array(F.concat(F.lit("Ada "), "source"), F.concat(F.lit("Noël Étienne "), "lang")).alias("authors"),
         F.array("source", "lang").alias("categories"),
         F.col("source").alias("primary_category"),
         F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_id", F.lit(365)).cast("int")), "yyyy-MM-dd").alias("created"),
@@ -32,7 +33,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAPERS_SQL = r"""papers AS (
   SELECT doc_id AS paper_id, split_part(text, chr(10), 1) AS title,
     substring(text, length(split_part(text, chr(10), 1)) + 2) AS abstract,
-    [source, lang] AS categories, source AS primary_category,
+    ['Ada ' || source, 'Noël Étienne ' || lang] AS authors, [source, lang] AS categories, source AS primary_category,
     strftime(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER), '%Y-%m-%d') AS created,
     CAST(length(text) AS BIGINT) AS n_chars
   FROM documents)"""

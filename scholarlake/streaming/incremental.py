@@ -1,7 +1,8 @@
 """Incremental ingest, deduplication, limits and leases as streams.
 
 Each function takes a streaming (or batch) DataFrame and gives one; `drained` runs a stream over what is there and
-returns its rows, for tests and for catching up. State is keyed and expires by watermark.
+returns its rows, for tests and for catching up. State is keyed and expires by watermark: a counter when its window has
+passed, a lease when it has run out.
 """
 
 from __future__ import annotations
@@ -24,10 +25,14 @@ def event_stream(spark: SparkSession, folder: str, name: str = "events") -> Data
 
 
 def checkpoints(spark: SparkSession) -> str:
-    """A folder for a stream's checkpoint below spark.checkpoint.dir, or a temporary one where that is unset."""
+    """A folder for a stream's checkpoint below spark.checkpoint.dir; where that is unset, a local session gets a temporary one and a cluster has to name it."""
     import tempfile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="scholarlake-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="scholarlake-stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -62,10 +67,13 @@ def in_time(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(chunks, ignore_index=True).sort_values(["epoch", "event_id"])
 
 
-def rate_limited(events: DataFrame, per_window: int, seconds: int) -> DataFrame:
+def rate_limited(events: DataFrame, per_window: int, seconds: int, late: str = "1 hour") -> DataFrame:
     """(user_id, event_id, allowed): at most so many events of a user in each fixed window; state is one counter per user."""
 
     def decide(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         window, used = state.get if state.exists else (-1, 0)
         for pdf in in_time(pdfs):
             allowed = []
@@ -76,15 +84,19 @@ def rate_limited(events: DataFrame, per_window: int, seconds: int) -> DataFrame:
                 allowed.append(used <= per_window)
             yield pd.DataFrame({"user_id": pdf["user_id"], "event_id": pdf["event_id"], "allowed": allowed})
         state.update((window, used))
+        state.setTimeoutTimestamp(max((window + 1) * seconds * 1000, state.getCurrentWatermarkMs() + 1))
 
-    rows = events.select("user_id", "event_id", F.unix_timestamp("ts").alias("epoch"))
-    return rows.groupBy("user_id").applyInPandasWithState(decide, "user_id long, event_id long, allowed boolean", "window long, used long", "append", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark("ts", late).select("ts", "user_id", "event_id", F.unix_timestamp("ts").alias("epoch"))
+    return rows.groupBy("user_id").applyInPandasWithState(decide, "user_id long, event_id long, allowed boolean", "window long, used long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def leases(events: DataFrame, seconds: int) -> DataFrame:
+def leases(events: DataFrame, seconds: int, late: str = "1 hour") -> DataFrame:
     """(user_id, event_id, outcome): a view claims a lease, a click renews it, a purchase ends it; an old one expires when the next event comes."""
 
     def turn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         (until,) = state.get if state.exists else (-1,)
         for pdf in in_time(pdfs):
             out = []
@@ -100,10 +112,14 @@ def leases(events: DataFrame, seconds: int) -> DataFrame:
                     out.append("done" if held else "ignored")
                     until = -1 if held else until
             yield pd.DataFrame({"user_id": pdf["user_id"], "event_id": pdf["event_id"], "outcome": out})
+        if until < 0:
+            state.remove()
+            return
         state.update((int(until),))
+        state.setTimeoutTimestamp(max(int(until) * 1000, state.getCurrentWatermarkMs() + 1))
 
-    rows = events.filter(F.col("event_type").isin("view", "click", "purchase")).select("user_id", "event_id", "event_type", F.unix_timestamp("ts").alias("epoch"))
-    return rows.groupBy("user_id").applyInPandasWithState(turn, "user_id long, event_id long, outcome string", "until long", "append", GroupStateTimeout.NoTimeout)
+    rows = events.filter(F.col("event_type").isin("view", "click", "purchase")).withWatermark("ts", late).select("ts", "user_id", "event_id", "event_type", F.unix_timestamp("ts").alias("epoch"))
+    return rows.groupBy("user_id").applyInPandasWithState(turn, "user_id long, event_id long, outcome string", "until long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def caught_up(batch: DataFrame, done: DataFrame, key: str, most: int) -> DataFrame:

@@ -38,8 +38,11 @@ def test_upsert_last_batch_wins(spark):
 
 
 def test_blocks_are_not_extended(spark):
-    e = spark.createDataFrame([(1, t, i) for i, t in enumerate([0, 0, 0, 300, 300, 300, 900, 900, 900])], "user_id int, epoch long, event_id int")
-    assert sorted((r.from_epoch, r.until_epoch) for r in S.blocks(e, 2, 900).collect()) == [(0, 900), (900, 1800)]
+    rows = [(1, "auth_failures", t, 3) for t in (0, 10, 300, 310, 900, 905, 2000)] + [(1, "rate_violations", 2005, 6), (2, "auth_failures", 0, 4), (2, "rate_violations", 30, 5), (2, "other", 0, 99), (3, "rate_violations", 61, 7)]
+    e = spark.createDataFrame(rows, "user_id long, kind string, epoch long, n long")
+    got = sorted((r.user_id, r.from_epoch, r.until_epoch) for r in S.blocks(e, {"auth_failures": 4, "rate_violations": 5}).collect())
+    # minute 300 lies in the first block, minutes 2000 count each kind by itself
+    assert got == [(1, 0, 900), (1, 900, 1800), (1, 1980, 2880), (3, 60, 960)]
 
 
 def test_utf8_cut_keeps_whole_characters(spark):
