@@ -46,15 +46,15 @@ def has_words(text: Column, words: Sequence[str], in_a_row: bool = False) -> Col
     return out
 
 
-def keyword_tokens(text: Column) -> Column:
-    """Search keywords: words of two and more of a-z, 0-9, _ and -, and runs of two and more CJK characters, without noise."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(rf"[a-z0-9][a-z0-9_-]+|[{CJK}]{{2,}}"), F.lit(0))
-    return F.filter(found, informative)
+#: A keyword, or what looks like one and is noise: digits and marks only, or one sign five times in a row. One
+#: expression finds both, and only keywords are captured, so no token is looked at twice.
+_NOISE = rf"[0-9][0-9_-]+(?![a-z0-9_-])|(?=[a-z0-9_-]*?([a-z0-9_-])\1{{4}})[a-z0-9][a-z0-9_-]+|(?=[{CJK}]*?([{CJK}])\2{{4}})[{CJK}]{{2,}}"
+KEYWORD = rf"{_NOISE}|([a-z0-9][a-z0-9_-]+|[{CJK}]{{2,}})"
 
 
-def informative(token: Column) -> Column:
-    """A token that tells something: not digits and marks only, and not one letter over and over."""
-    return ~token.rlike(r"^[0-9_-]+$") & ~token.rlike(r"^(.)\1+$")
+def keyword_tokens(text: Column) -> Column:
+    """Search keywords: words of two and more of a-z, 0-9, _ and -, and runs of two and more CJK characters, without noise."""
+    return F.array_remove(F.regexp_extract_all(F.lower(text), F.lit(KEYWORD), F.lit(3)), "")
 
 
 def without_stopwords(tokens: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,19 +32,27 @@ def _weighed(tokens: Column, weight: float) -> Column:
     return F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(float(weight)).alias("weight")))
 
 
-def bm25(posts: DataFrame, key: str, stats: DataFrame, terms: DataFrame) -> DataFrame:
+def bm25(docs: DataFrame, key: str, text: str, terms: DataFrame, boosted: Sequence[str] = (), boost: float = 0.2) -> DataFrame:
     """(query_id, key, score): idf = ln(1 + (N - df + .5) / (df + .5)), k1 1.5, b 0.75.
 
-    `stats` is one row (n_docs, avg_length); `terms` is (query_id, token). Only postings of asked tokens are read
-    on; document frequencies are counted on these.
+    `terms` is a stated set of query terms (query_id, token). The corpus is tokenised once: of each document go on its
+    length and its asked tokens, and a row with an empty token that stands for the document, so the sizes of the corpus,
+    document frequencies and scores all come from the same shuffled postings. A token of `boosted` in the first 300
+    characters of a document adds `boost`.
     """
     asked = terms.select("query_id", F.col("token").alias("_q"))
-    hit = posts.join(F.broadcast(asked.select("_q").distinct()), F.col("token") == F.col("_q"), "left_semi")
-    df = hit.groupBy(F.col("token").alias("_d")).agg(F.count("*").alias("df"))
-    rows = hit.join(df, F.col("token") == F.col("_d")).join(asked, F.col("token") == F.col("_q")).withColumn("_one", F.lit(1)).join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one")
+    names = sorted({r["_q"] for r in asked.select("_q").distinct().collect() if r["_q"]})
+    head = F.lower(F.substring(text, 1, 300))
+    strong = F.array_compact(F.array(*[F.when(head.contains(t), F.lit(t)) for t in names if t in set(boosted)])).cast("array<string>")
+    rows = docs.select(key, keyword_tokens(F.col(text)).alias("_t"), strong.alias("_s"))
+    rows = rows.select(key, "_s", F.size("_t").cast("long").alias("length"), F.explode(F.concat(F.array(F.lit("")), F.filter("_t", lambda t: t.isin(names)))).alias("token"))
+    posts = rows.groupBy("token", key, "length", F.array_contains("_s", F.col("token")).alias("strong")).agg(F.count("*").alias("tf"))
+    counted = posts.groupBy(F.col("token").alias("_d")).agg(F.count("*").alias("df"), F.avg("length").alias("avg"))
+    stats = counted.filter("_d = ''").select(F.col("df").alias("n_docs"), F.col("avg").alias("avg_length"))
+    found = posts.join(F.broadcast(counted.filter("_d <> ''").join(asked, F.col("_d") == F.col("_q")).crossJoin(stats)), F.col("token") == F.col("_d"))  # a row a query term
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    return rows.groupBy("query_id", key).agg(F.sum(part).alias("score"))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length"))) + F.when(F.col("strong"), boost).otherwise(0.0)
+    return found.groupBy("query_id", key).agg(F.sum(part).alias("score"))
 
 
 def collection_stats(docs: DataFrame, tokens: Column) -> DataFrame:
@@ -76,12 +85,24 @@ def cosine(a: Column, b: Column, norms: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norms > 0), F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot / norms))).otherwise(F.lit(0.0))
 
 
+#: Query vectors that are sent to all tasks at once.
+MOST_QUERIES = 4096
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, n: int, but_self: bool = True) -> DataFrame:
     """(query_id, vec_id, similarity, rank): exact nearest vectors of each query vector.
 
-    `queries` is a stated set of query vectors (query_id, q, q_norm), sent to all blocks of vectors; each block
-    keeps its best n before anything is shuffled.
+    `queries` is a stated set of query vectors (query_id, q, q_norm). It is counted, and sent to all blocks of vectors
+    in parts of at most about MOST_QUERIES; each block of vectors keeps its best n before anything is shuffled.
     """
+    parts = -(-queries.count() // MOST_QUERIES)
+    if parts > 1:
+        place = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+        return reduce(DataFrame.unionByName, [_nearest(queries.filter(place == i), vectors, n, but_self) for i in range(parts)])
+    return _nearest(queries, vectors, n, but_self)
+
+
+def _nearest(queries: DataFrame, vectors: DataFrame, n: int, but_self: bool) -> DataFrame:
     rows = vectors.withColumn("_one", F.lit(1)).join(F.broadcast(queries.withColumn("_one", F.lit(1))), "_one")
     if but_self:
         rows = rows.filter("query_id <> vec_id")
@@ -117,8 +138,10 @@ def expansion_score(anchor_score: Column, relation: Column, distance: Column, bo
 
 def pool(candidates: DataFrame) -> DataFrame:
     """(chunk, score, n_anchors, relations): candidates of all anchors as one pool, with .08 for each further anchor up to .24."""
-    bonus = F.least(F.lit(0.24), 0.08 * (F.count_distinct("anchor") - 1))
-    return candidates.groupBy("chunk").agg(F.round(F.max("score") + bonus, 6).alias("score"), F.count_distinct("anchor").alias("n_anchors"), F.array_join(F.array_sort(F.collect_set("relation")), ",").alias("relations"))
+    g = candidates.groupBy("chunk").agg(F.max("score").alias("_m"), F.collect_set(F.struct("anchor", "relation")).alias("_s"))
+    anchors = F.size(F.array_distinct(F.transform("_s", lambda x: x["anchor"])))
+    relations = F.array_join(F.array_sort(F.array_distinct(F.transform("_s", lambda x: x["relation"]))), ",")
+    return g.select("chunk", F.round(F.col("_m") + F.least(F.lit(0.24), 0.08 * (anchors - 1)), 6).alias("score"), anchors.cast("long").alias("n_anchors"), relations.alias("relations"))
 
 
 def keyword_index(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -12,12 +12,14 @@ from scholarlake.operators import rules as RL
 from scholarlake.plans.registry import query
 from scholarlake.sources.tables import VECTORS_SQL, table, vectors
 
-_KEYWORDS = r"list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_-]+|[\x{4e00}-\x{9fff}]{2,}'), lambda t: NOT regexp_matches(t, '^[0-9_-]+$') AND len(list_distinct(string_split(t, ''))) > 1)"
+_RUNS = "|".join(f"{c}{{5}}" for c in "abcdefghijklmnopqrstuvwxyz0123456789_-")
+_KEYWORDS = r"list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_-]+|[\x{4e00}-\x{9fff}]{2,}'), lambda t: NOT regexp_matches(t, '^[0-9_-]+$') AND NOT regexp_matches(t, '" + _RUNS + "'))"
 _POSTS = f"tok AS (SELECT doc_id, {_KEYWORDS} AS t FROM documents), st AS (SELECT count(*) AS n_docs, avg(len(t)) AS avg_length FROM tok), po AS (SELECT token, doc_id, length, count(*) AS tf FROM (SELECT doc_id, len(t) AS length, unnest(t) AS token FROM tok) GROUP BY ALL)"
 _ASKED = [(1, "the"), (1, "and"), (2, "der"), (2, "und"), (3, "de"), (3, "que"), (3, "er")]
 _TERMS = "terms AS (SELECT CAST(q AS BIGINT) AS query_id, token FROM (VALUES " + ", ".join(f"({q}, '{t}')" for q, t in _ASKED) + ") v(q, token))"
+_BOOSTED = ("der", "que")
 _BM25 = f"""{_POSTS}, {_TERMS}, dfs AS (SELECT token, count(*) AS df FROM po WHERE token IN (SELECT token FROM terms) GROUP BY token),
-bm AS (SELECT query_id, doc_id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avg_length))) AS score FROM po JOIN dfs USING (token) JOIN terms USING (token), st GROUP BY 1, 2)"""
+bm AS (SELECT query_id, doc_id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avg_length)) + CASE WHEN token IN {_BOOSTED} AND contains(lower(substring(text, 1, 300)), token) THEN 0.2 ELSE 0 END) AS score FROM po JOIN dfs USING (token) JOIN terms USING (token) JOIN documents USING (doc_id), st GROUP BY 1, 2)"""
 
 
 def _asked(spark: SparkSession) -> DataFrame:
@@ -25,9 +27,7 @@ def _asked(spark: SparkSession) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = T.keyword_tokens(F.col("text"))
-    return R.bm25(R.postings(d, "doc_id", tokens), "doc_id", R.collection_stats(d, tokens), _asked(spark))
+    return R.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", _asked(spark), _BOOSTED)
 
 
 @query(f"WITH tok AS (SELECT doc_id, {_KEYWORDS} AS t FROM documents) SELECT doc_id, CAST(len(t) AS BIGINT) AS n, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct, array_to_string(list_slice(t, 1, 5), ' ') AS first_five FROM tok")
@@ -127,11 +127,12 @@ def a7_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_POSTS} SELECT n_docs, round(avg_length, 6) AS avg_length, (SELECT count(*) FROM po) AS postings, (SELECT count(DISTINCT token) FROM po) AS vocabulary FROM st")
 def c9_index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = T.keyword_tokens(F.col("text"))
-    stats = R.collection_stats(d, tokens).withColumn("_one", F.lit(1))
-    posts = R.postings(d, "doc_id", tokens).groupBy("token").agg(F.count("*").alias("n")).agg(F.sum("n").cast("long").alias("postings"), F.count("*").alias("vocabulary")).withColumn("_one", F.lit(1))
-    return stats.join(F.broadcast(posts), "_one").select("n_docs", F.round("avg_length", 6).alias("avg_length"), "postings", "vocabulary")
+    # one pass: a row per document with its distinct tokens, then a row per token; the sizes of the corpus come from an empty token
+    d = table(spark, sf_dir, "documents").select(T.keyword_tokens(F.col("text")).alias("t"))
+    rows = d.select(F.size("t").alias("length"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("t"))).alias("token"))
+    tokens = rows.groupBy("token").agg(F.count("*").alias("n"), F.avg("length").alias("avg"))
+    own = F.col("token") == ""
+    return tokens.agg(F.max(F.when(own, F.col("n"))).alias("n_docs"), F.round(F.max(F.when(own, F.col("avg"))), 6).alias("avg_length"), F.sum(F.when(~own, F.col("n"))).cast("long").alias("postings"), F.count(F.when(~own, 1)).alias("vocabulary"))
 
 
 @query(f"WITH {_BM25}, r AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm) SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 6) END AS normal FROM r WHERE rank <= 10 WINDOW w AS (PARTITION BY query_id)")
@@ -162,6 +163,44 @@ def w8_hits_to_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy("query_id", "chunk").agg(F.round(F.max("similarity") + bonus, 6).alias("score"), F.count("*").alias("n_hits"))
 
 
+#: What a question is searched by: as it stands, rewritten, and by an answer imagined for it; here their vectors are made from that of the question.
+_ROUTES = ("vector_original", "vector_rewrite", "vector_hyde")
+_VOTES = {"vector_original": 1.0, "vector_rewrite": 0.9, "vector_hyde": 0.75, "keyword": 0.8}
+_VIEWS = f"""{VECTORS_SQL}, vw AS (SELECT q.vec_id // 100 AS query_id, r.i, CASE r.i WHEN 0 THEN q.v WHEN 1 THEN list_transform(list_zip(q.v, list_reverse(q.v)), lambda p: p[1] * 0.9 + p[2] * 0.1) ELSE list_transform(list_zip(q.v, n.v), lambda p: (p[1] + p[2]) * 0.5) END AS v
+  FROM vec q JOIN vec n ON n.vec_id = q.vec_id + 1, (VALUES (0), (1), (2)) r(i) WHERE q.vec_id % 100 = 0 AND q.vec_id > 0),
+vq AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM vw), vs AS (SELECT q.query_id, q.i, x.vec_id, round({_COS}, 6) AS similarity FROM vq q, vec x),
+vr AS (SELECT query_id, ({list(_ROUTES)})[i + 1] AS route, vec_id, similarity, row_number() OVER (PARTITION BY query_id, i ORDER BY similarity DESC, vec_id) AS rank FROM vs QUALIFY rank <= 30)"""
+
+
+def _vector_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, route, vec_id, similarity, rank): the 30 nearest vectors of the three views of each question, in one scan."""
+    v = vectors(spark, sf_dir)
+    q = v.filter("vec_id % 100 = 0 and vec_id > 0").select((F.col("vec_id") / 100).cast("long").alias("question"), "vec_id", "v")
+    q = q.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("n")), "vec_id")
+    views = [F.col("v"), F.zip_with("v", F.reverse("v"), lambda a, b: a * 0.9 + b * 0.1), F.zip_with("v", "n", lambda a, b: (a + b) * 0.5)]
+    q = q.select("question", F.posexplode(F.array(*views)).alias("i", "q"))
+    q = q.select((F.col("question") * len(_ROUTES) + F.col("i")).alias("query_id"), "q", F.sqrt(F.aggregate("q", F.lit(0.0), lambda a, x: a + x * x)).alias("q_norm"))
+    near = R.nearest(q, v, 30, but_self=False)
+    route = F.get(F.array(*map(F.lit, _ROUTES)), (F.col("query_id") % len(_ROUTES)).cast("int"))
+    return near.select(F.floor(F.col("query_id") / len(_ROUTES)).cast("long").alias("query_id"), route.alias("route"), "vec_id", "similarity", "rank")
+
+
+@query(f"WITH {_VIEWS} SELECT query_id, route, vec_id, similarity, rank FROM vr")
+def r2_vector_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vector_routes(spark, sf_dir)
+
+
+@query(f"""WITH {_VIEWS}, {_BM25}, kr AS (SELECT query_id, 'keyword' AS route, doc_id AS chunk, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm QUALIFY rank <= 30),
+al AS (SELECT query_id, route, vec_id AS chunk, rank FROM vr WHERE query_id <= 3 UNION ALL SELECT * FROM kr), fu AS (SELECT query_id, chunk, round(sum(CASE route {" ".join(f"WHEN '{r}' THEN {w}" for r, w in _VOTES.items())} END / (60 + rank)), 9) AS score, count(DISTINCT route) AS n_routes FROM al GROUP BY 1, 2)
+SELECT query_id, chunk, CAST(score AS DOUBLE) AS score, n_routes, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS rank FROM fu QUALIFY rank <= 15""")
+def r2_fused_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = R.ranked(_bm25(spark, sf_dir).withColumn("score", F.round("score", 6)), ["query_id"], F.desc("score"), F.asc("doc_id"), n=30)
+    routes = _vector_routes(spark, sf_dir).filter("query_id <= 3").select("query_id", "route", F.col("vec_id").alias("chunk"), "rank")
+    routes = routes.unionByName(words.select("query_id", F.lit("keyword").alias("route"), F.col("doc_id").alias("chunk"), "rank"))
+    fused = R.fuse(routes, _VOTES, "chunk").withColumn("score", F.round("score", 9))
+    return R.ranked(fused, ["query_id"], F.desc("score"), F.asc("chunk"), n=15).select("query_id", "chunk", "score", "n_routes", "rank")
+
+
 @query("""WITH h AS (SELECT l_suppkey AS chunk, 'm' || CAST(l_partkey % 7 AS VARCHAR) AS kind, round(l_discount + l_tax, 6) AS s FROM lineitem), b AS (SELECT chunk, kind, s, row_number() OVER (PARTITION BY chunk ORDER BY s DESC, kind DESC) AS r FROM (SELECT DISTINCT * FROM h))
 SELECT chunk, round(any_value(t.best) + least(0.01, 0.005 * (any_value(t.kinds) - 1)), 6) AS score, max(kind) FILTER (r = 1) AS best_kind, string_agg(kind, ',' ORDER BY r) FILTER (r <= 3) AS matched FROM b JOIN (SELECT chunk, max(s) AS best, count(DISTINCT kind) AS kinds FROM h GROUP BY chunk) t USING (chunk) GROUP BY chunk""")
 def a8_hit_aggregation(spark: SparkSession, sf_dir: str) -> DataFrame:
