@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,50 @@ def relations(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
     return both.select("paper", "anchor", "ord", "kind", "a_score", F.explode(found).alias("r")).select("paper", "anchor", "ord", "kind", "a_score", "r.relation", "r.distance")
 
 
+def parent_path(section: Column) -> Column:
+    """A section path without its last level; empty at the top."""
+    return F.trim(F.regexp_extract(section, r"^(.*)[/>\\\\][^/>\\\\]*$", 1))
+
+
+def around(anchors: DataFrame, chunks: DataFrame, policy: dict[str, int]) -> DataFrame:
+    """(paper, anchor, ord, relation, distance): the chunks that a policy adds to each anchor, a row per relation.
+
+    `chunks` has paper, ord, section (a path), page, parent, kind and label (of a figure or table); `anchors` names chunks
+    by paper and anchor (its ord) and the labels that it cites (`cites`). Each relation is an equality join by its own key:
+    siblings by their parent, neighbours, headers and parents by section, neighbours by page, assets by section,
+    page or label; each takes the nearest or first so many chunks, as `policy` says (sibling_window, section_window, section_limit,
+    page_window, page_limit, asset_limit; 0 leaves a relation out).
+    """
+    c = chunks.withColumn("place", F.row_number().over(Window.partitionBy("paper", "section").orderBy("ord")))
+    own = anchors.join(chunks.select("paper", F.col("ord").alias("anchor"), F.col("section").alias("a_section"), F.col("page").alias("a_page"), F.col("parent").alias("a_parent")), ["paper", "anchor"])
+    step = F.abs(F.col("ord") - F.col("anchor")).cast("long")
+    far = F.abs(F.col("page") - F.col("a_page")).cast("long")
+    other, asset = F.col("ord") != F.col("anchor"), F.col("kind").isin("figure", "table")
+
+    def rows(found: DataFrame, relation: str, distance: Column, limit: int | None = None, order: tuple[Column, ...] = ()) -> DataFrame:
+        found = found.select("paper", "anchor", "ord", F.lit(relation).alias("relation"), distance.alias("distance"), *[x.alias(f"_o{i}") for i, x in enumerate(order)]).distinct()
+        if limit is not None:
+            w = Window.partitionBy("paper", "anchor").orderBy(*[F.col(f"_o{i}") for i in range(len(order))], "ord")
+            found = found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit)
+        return found.select("paper", "anchor", "ord", "relation", "distance")
+
+    by = lambda a, key, value: a.withColumn(key, value).join(c, ["paper", key])
+    in_section = by(own, "section", F.col("a_section")).filter("section <> ''")
+    near = own.withColumn("page", F.explode(F.sequence(F.col("a_page") - policy["page_window"], F.col("a_page") + policy["page_window"]))).join(c, ["paper", "page"])
+    cited = own.withColumn("label", F.explode("cites")).join(c.filter(asset), ["paper", "label"])
+    found = [rows(by(own, "ord", F.col("anchor")), "self", F.lit(0).cast("long"))]
+    found.append(rows(by(own, "parent", F.col("a_parent")).filter(other & (step <= policy["sibling_window"])), "sibling", step))
+    found.append(rows(in_section.filter(other & (step <= policy["section_window"])), "section_neighbors", step, policy["section_limit"], (step,)))
+    found.append(rows(in_section.filter("place <= 2"), "section_header", step))
+    found.append(rows(by(own, "section", parent_path(F.col("a_section"))).filter((F.col("section") != "") & (F.col("place") <= policy["section_limit"])), "parent_section", step))
+    found.append(rows(near.filter(other), "page_neighbors", far, policy["page_limit"], (F.col("page"),)))
+    names = ["paper", "anchor", "ord", "page", "a_page"]
+    assets = in_section.filter(asset & other).select(*names).unionByName(near.filter(asset & other).select(*names))
+    found.append(rows(assets, "asset_related", step, policy["asset_limit"]))
+    found.append(rows(cited, "cited_asset_context", far, policy["asset_limit"]))
+    return reduce(DataFrame.unionByName, found)
+
+
 def numbered_sections(lines: DataFrame, key: str, order: str, heading: Column) -> DataFrame:
     """Lines with the running number of their section: how many headings came before."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -347,6 +347,31 @@ def x1_x9_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir).select("paper", "anchor", "ord", "relation", F.col("distance").cast("long").alias("distance"), "score")
 
 
+_AROUND = {"sibling_window": 1, "section_window": 2, "section_limit": 3, "page_window": 1, "page_limit": 4, "asset_limit": 2}
+_PATHS = """pc AS (SELECT l_orderkey AS paper, l_linenumber AS ord, 'S' || CAST(l_partkey % 3 AS VARCHAR) || CASE WHEN l_suppkey % 2 = 0 THEN ' > T' || CAST(l_partkey % 2 AS VARCHAR) ELSE '' END AS section, CAST(l_partkey % 6 AS BIGINT) AS page, CAST(l_suppkey % 3 AS BIGINT) AS parent,
+  CASE WHEN l_returnflag = 'R' THEN 'table' ELSE 'body' END AS kind, 'table ' || CAST(l_partkey % 4 AS VARCHAR) AS label, l_partkey % 3 = 0 AS is_anchor, CASE WHEN l_linenumber % 2 = 1 THEN 'table ' || CAST(l_suppkey % 4 AS VARCHAR) END AS cites FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_returnflag) = 1)),
+pn AS (SELECT *, row_number() OVER (PARTITION BY paper, section ORDER BY ord) AS place, trim(regexp_extract(section, '^(.*)>[^>]*$', 1)) AS up FROM pc), pp AS (SELECT a.paper, a.ord AS anchor, c.ord, a.section AS a_section, a.up, c.section, c.place, c.kind, c.label, a.cites, a.parent = c.parent AS same_parent, a.page AS a_page, c.page, abs(a.ord - c.ord) AS step, abs(a.page - c.page) AS far FROM pn a JOIN pn c USING (paper) WHERE a.is_anchor),
+pr AS (SELECT paper, anchor, ord, 'self' AS relation, 0 AS distance, 1 AS n FROM pp WHERE ord = anchor
+  UNION ALL SELECT paper, anchor, ord, 'sibling', step, 1 FROM pp WHERE same_parent AND ord <> anchor AND step <= 1
+  UNION ALL SELECT paper, anchor, ord, 'section_neighbors', step, row_number() OVER (PARTITION BY paper, anchor ORDER BY step, ord) - 0 FROM pp WHERE section = a_section AND ord <> anchor AND step <= 2
+  UNION ALL SELECT paper, anchor, ord, 'section_header', step, 1 FROM pp WHERE section = a_section AND place <= 2
+  UNION ALL SELECT paper, anchor, ord, 'parent_section', step, 1 FROM pp WHERE section = up AND place <= 3
+  UNION ALL SELECT paper, anchor, ord, 'page_neighbors', far, row_number() OVER (PARTITION BY paper, anchor ORDER BY page, ord) - 1 FROM pp WHERE far <= 1 AND ord <> anchor
+  UNION ALL SELECT paper, anchor, ord, 'asset_related', step, row_number() OVER (PARTITION BY paper, anchor ORDER BY ord) + 1 FROM pp WHERE kind = 'table' AND ord <> anchor AND (section = a_section OR far <= 1)
+  UNION ALL SELECT paper, anchor, ord, 'cited_asset_context', far, row_number() OVER (PARTITION BY paper, anchor ORDER BY ord) + 1 FROM pp WHERE kind = 'table' AND label = cites)"""
+
+
+@query(f"WITH {_PATHS} SELECT paper, anchor, ord, relation, CAST(distance AS BIGINT) AS distance FROM pr WHERE n <= 3")
+def x2_x8_policy_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag")).alias("r"))
+    part, supp = F.col("r.l_partkey"), F.col("r.l_suppkey")
+    section = F.concat(F.lit("S"), (part % 3).cast("string"), F.when(supp % 2 == 0, F.concat(F.lit(" > T"), (part % 2).cast("string"))).otherwise(""))
+    table_of = lambda n: F.concat(F.lit("table "), (n % 4).cast("string"))
+    chunks = li.select(F.col("l_orderkey").alias("paper"), F.col("l_linenumber").alias("ord"), section.alias("section"), (part % 6).alias("page"), (supp % 3).alias("parent"), F.when(F.col("r.l_returnflag") == "R", "table").otherwise("body").alias("kind"), table_of(part).alias("label"))
+    anchors = li.filter(part % 3 == 0).select(F.col("l_orderkey").alias("paper"), F.col("l_linenumber").alias("anchor"), F.array_compact(F.array(F.when(F.col("l_linenumber") % 2 == 1, table_of(supp)))).alias("cites"))
+    return C.around(anchors, chunks, _AROUND)
+
+
 @query(f"WITH {_CANDS} SELECT paper, ord, CAST(round(max(score) + least(0.24, 0.08 * (count(DISTINCT anchor) - 1)), 6) AS DOUBLE) AS score, count(DISTINCT anchor) AS n_anchors, string_agg(DISTINCT relation, ',' ORDER BY relation) AS relations FROM sc GROUP BY 1, 2")
 def x10_candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _candidates(spark, sf_dir).withColumn("chunk", F.struct("paper", "ord"))
