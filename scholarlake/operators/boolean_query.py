@@ -107,6 +107,22 @@ def parse(s: str) -> Node:
     return Node("text", field=f, value=value, phrase=phrase)
 
 
+def needs(n: Node) -> frozenset[str]:
+    """The side tables that a query asks: text for words, category for exact categories; ids and dates are in the papers themselves."""
+    if n.parts:
+        return frozenset().union(*map(needs, n.parts))
+    return frozenset({n.kind}) if n.kind in ("text", "category") else frozenset()
+
+
+def checked(query: str, sort: str = "date", start: int = 0, n: int = 10, most: int = 2000) -> Node:
+    """The query of a request, or an error that says what is wrong with it: the sort, the page or the query."""
+    if sort not in ("date", "relevance"):
+        raise QueryError(f"no sort {sort!r}")
+    if start < 0 or not 1 <= n <= most:
+        raise QueryError(f"no page of {n} from {start}")
+    return parse(query)
+
+
 @dataclass(frozen=True)
 class Columns:
     """The columns that queries ask: folded texts by field, categories, id and an ISO date."""
@@ -164,7 +180,7 @@ def search(papers: DataFrame, query: str, sort: str = "date", start: int = 0, n:
 
     By relevance the newest POOL hits are scored, or as many as the page needs.
     """
-    ast = parse(query)
+    ast = checked(query, sort, start, n)
     c = columns_of(papers)
     hits = papers.filter(compile_query(ast, c)).select("paper_id", "created", relevance(ast, c).cast("long").alias("score"))
     # one count beside the page: both come from the same filtered scan

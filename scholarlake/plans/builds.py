@@ -18,8 +18,9 @@ def _xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     esc = lambda c: F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;")
     record = F.concat(F.lit("<record><header><identifier>oai:host:"), F.col("doc_id").cast("string"), F.lit("v2</identifier><datestamp>2024-01-01</datestamp></header><metadata><o:title>"), esc(F.substring_index("text", "\n", 1)), F.lit("</o:title><abstract>x</abstract><categories>"), F.col("source"), F.lit(" "), F.col("lang"), F.lit("</categories></metadata></record>"))
-    g = d.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list(record)), "").alias("rs"))
-    return g.select("source", F.concat(F.lit("<OAI-PMH><ListRecords>"), "rs", F.lit("<resumptionToken>next-"), "source", F.lit("</resumptionToken></ListRecords></OAI-PMH>")).alias("xml"))
+    # a page has the records of 50 ids of a source, whatever the source's size
+    g = d.groupBy("source", F.floor(F.col("doc_id") / 50).alias("page")).agg(F.array_join(F.array_sort(F.collect_list(record)), "").alias("rs"))
+    return g.select("source", "page", F.concat(F.lit("<OAI-PMH><ListRecords>"), "rs", F.lit("<resumptionToken>next-"), "source", F.lit("-"), F.col("page").cast("string"), F.lit("</resumptionToken></ListRecords></OAI-PMH>")).alias("xml"))
 
 
 @query(r"SELECT CAST(doc_id AS VARCHAR) AS identifier, trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g')) AS title, source || ' ' || lang AS categories FROM documents")
@@ -27,7 +28,7 @@ def s1_xml_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.records(H.parsed_pages(_xml(spark, sf_dir))).select("identifier", "title", F.array_join("categories", " ").alias("categories"))
 
 
-@query("SELECT source, 'next-' || source AS token, CAST(NULL AS VARCHAR) AS error_code, count(*) AS n FROM documents GROUP BY source")
+@query("SELECT source, 'next-' || source || '-' || CAST(doc_id // 50 AS VARCHAR) AS token, CAST(NULL AS VARCHAR) AS error_code, count(*) AS n FROM documents GROUP BY source, doc_id // 50")
 def s2_harvest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.parsed_pages(_xml(spark, sf_dir)).select("source", "token", "error_code", F.size("records").cast("long").alias("n"))
 

@@ -67,20 +67,43 @@ def golden_cases(rows: DataFrame, key: str = "case_id") -> DataFrame:
     return rows
 
 
+#: The layout of published builds; readers refuse any other.
+LAYOUT = 1
+
+
 def publish(df: DataFrame, root: str, name: str, version: int, checks: Iterable[tuple[str, Column]] = ()) -> DataFrame:
-    """Writes a build beside the ones before it, checks it, and only then points readers to it."""
+    """Writes a build beside the ones before it, checks it, and only then points readers to it.
+
+    The pointer is the manifest: the version, the layout, and how many rows the build has.
+    """
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{root}/{name}/v={version}")
     back = spark.read.parquet(f"{root}/{name}/v={version}")
     for what, test in checks:
         if back.filter(~test).limit(1).count():
             raise ValueError(f"{name} v{version} fails {what}")
-    pointer = spark.createDataFrame([(name, version, True)], "name string, version long, active boolean")
+    pointer = spark.createDataFrame([(name, version, True, LAYOUT, back.count())], "name string, version long, active boolean, layout long, rows long")
     pointer.coalesce(1).write.mode("overwrite").parquet(f"{root}/{name}-active")
     return back
 
 
 def active(spark, root: str, name: str) -> DataFrame:
-    """The build that readers are pointed to."""
-    version = spark.read.parquet(f"{root}/{name}-active").filter("active").first()["version"]
-    return spark.read.parquet(f"{root}/{name}/v={version}")
+    """The build that readers are pointed to; an error if its layout is another one or rows are missing."""
+    found = spark.read.parquet(f"{root}/{name}-active").filter("active").first()
+    if found["layout"] != LAYOUT:
+        raise ValueError(f"{name} has layout {found['layout']}, not {LAYOUT}")
+    build = spark.read.parquet(f"{root}/{name}/v={found['version']}")
+    if build.count() != found["rows"]:
+        raise ValueError(f"{name} v{found['version']} does not have {found['rows']} rows")
+    return build
+
+
+def read_records(spark, path: str, schema: str) -> DataFrame:
+    """Records that `write_records` wrote, of all days."""
+    return spark.read.schema(schema).json(path)
+
+
+def retired(spark, root: str, name: str) -> list[int]:
+    """The versions of builds that readers are not pointed to."""
+    now = spark.read.parquet(f"{root}/{name}-active").filter("active").first()["version"]
+    return sorted(r["v"] for r in spark.read.parquet(f"{root}/{name}").select("v").distinct().collect() if r["v"] != now)
