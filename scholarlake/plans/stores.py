@@ -105,12 +105,18 @@ def j15_asset_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     a = li.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("asset"), F.dayofmonth("l_shipdate").cast("long").alias("page"))
     s = li.select(F.col("l_orderkey").alias("_d"), F.col("l_linenumber").alias("section"), (F.col("l_partkey") % 28 + 1).alias("first_page"))
-    s = s.withColumn("last_page", F.col("first_page") + F.col("section"))
-    both = a.join(s, F.col("doc") == F.col("_d"))
-    inside, before = F.col("page").between(F.col("first_page"), F.col("last_page")), F.col("last_page") < F.col("page")
-    tier = F.when(inside, 0).when(before, 1).otherwise(2)
-    gap = F.when(inside, 0).when(before, F.col("page") - F.col("last_page")).otherwise(F.col("first_page") - F.col("page"))
-    best = both.groupBy("doc", "asset").agg(F.min(F.struct(tier.alias("tier"), gap.alias("gap"), F.abs(F.col("asset") - F.col("section")).alias("far"), "section")).alias("b"))
+    # the sections of a document as one array beside each asset: no row per pair
+    s = s.groupBy("_d").agg(F.collect_list(F.struct("first_page", (F.col("first_page") + F.col("section")).alias("last_page"), "section")).alias("sections"))
+    page = F.col("page")
+
+    def judged(x):
+        inside, before = page.between(x["first_page"], x["last_page"]), x["last_page"] < page
+        tier = F.when(inside, 0).when(before, 1).otherwise(2)
+        gap = F.when(inside, 0).when(before, page - x["last_page"]).otherwise(x["first_page"] - page)
+        return F.struct(tier.alias("tier"), gap.alias("gap"), F.abs(F.col("asset") - x["section"]).alias("far"), x["section"].alias("section"))
+
+    best = a.join(s, F.col("doc") == F.col("_d")).select("doc", "asset", F.array_min(F.transform("sections", judged)).alias("b"))
+    best = best.groupBy("doc", "asset").agg(F.min("b").alias("b"))  # an asset may have several pages
     return best.select("doc", "asset", F.col("b.section").alias("section"), F.col("b.tier").alias("tier"))
 
 
