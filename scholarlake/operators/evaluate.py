@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,22 @@ def retrieval_metrics(relevant: DataFrame, candidates: DataFrame, k: int) -> Dat
     return g.select("case_id", (F.col("found") / F.col("n")).alias("recall"), (F.col("found") > 0).cast("double").alias("hit"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"))
 
 
+def scored_metrics(relevant: DataFrame, scored: DataFrame, k: int) -> DataFrame:
+    """What `retrieval_metrics` says of candidates (case_id, id, score), ranked by score and id, once each, without ranking whole cases.
+
+    Of each case only the best k are ranked. The first relevant one's rank is how many come before it, which is counted
+    map-side, so a case may have any number of candidates.
+    """
+    at = F.struct("score", (-F.col("id")).alias("_i"))
+    top = scored.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("score"), F.asc("id")))).filter(F.col("rank") <= k)
+    mine = relevant.select("case_id", "id").distinct()
+    found = mine.join(top.select("case_id", "id"), ["case_id", "id"], "left_semi").groupBy("case_id").agg(F.count("*").alias("found"))
+    first = scored.join(mine, ["case_id", "id"], "left_semi").groupBy("case_id").agg(F.max(at).alias("_best"))
+    before = scored.join(first, "case_id").groupBy("case_id").agg((F.count(F.when(at > F.col("_best"), 1)) + 1).alias("first"))
+    g = mine.groupBy("case_id").agg(F.count("*").alias("n")).join(found, "case_id", "left").join(before, "case_id", "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    return g.select("case_id", (F.col("found") / F.col("n")).alias("recall"), (F.col("found") > 0).cast("double").alias("hit"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"))
+
+
 def metric_mean(value: Column, failed: Column) -> Column:
     """The mean of a metric in which failed runs count as 0 and unscored ones not at all."""
     return F.avg(F.coalesce(value, F.when(failed, 0.0)))

@@ -22,9 +22,8 @@ ev0 AS (SELECT rel.case_id, count(*) AS n, count(*) FILTER (rank <= 10) AS found
 def _metrics(spark: SparkSession, sf_dir: str, order: str = "desc") -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("case_id"), F.col("doc_id").alias("id"), "n_chars")
     good = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))
-    by = F.desc("n_chars") if order == "desc" else F.asc("n_chars")
-    cand = S.first_n_per(d, "case_id", 2**31 - 1, by, F.asc("id")).select("case_id", "id", "rank")
-    return E.retrieval_metrics(d.join(good, "id").select("case_id", "id"), cand, 10)
+    score = F.col("n_chars") if order == "desc" else -F.col("n_chars")
+    return E.scored_metrics(d.join(good, "id").select("case_id", "id"), d.select("case_id", "id", score.alias("score")), 10)
 
 
 @query(f"WITH {_CASES} SELECT case_id, round(recall, 6) AS recall, hit, CAST(round(mrr, 6) AS DOUBLE) AS mrr FROM ms")
