@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarlake.llm.common import map_arrow, saved, slices, texts_of
@@ -469,13 +469,19 @@ def keep_one(docs: DataFrame, j: Join = Join()) -> DataFrame:
     linked with no other, whatever its id. Texts are shuffled once at most: only keys decide.
     """
     found = saved(_found(docs, j).filter("n_shingles > 0 and doc_id is not null").groupBy("component_id", "doc_id", "text_key").agg(F.count("*").alias("rows")), "near-found")
-    first = found.groupBy(F.col("component_id").alias("_c")).agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.sum("rows").alias("all")).filter("all > 1")
-    judged = found.join(first, F.col("component_id") == F.col("_c"))
-    stays = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    named = lambda rows, stays: rows.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), stays.alias("_stays"))
+    # rows of the smallest id: its texts are few, whatever the size of the group
+    own = found.filter("doc_id = component_id")
+    first = own.groupBy(F.col("doc_id").alias("_d")).agg(F.min("text_key").alias("_first"))
+    own = own.join(first, F.col("doc_id") == F.col("_d"))
+    stays = F.col("text_key") == F.col("_first")
     # what goes, and what stays but is there more than once
-    named = saved(judged.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), stays.alias("_stays"), "rows").filter("not _stays or rows > 1").drop("rows"), "near-decided")
+    named = saved(named(found.filter("doc_id <> component_id"), F.lit(False)).unionByName(named(own.filter(~stays | (F.col("rows") > 1)), stays)), "near-decided")
     names = docs.columns
-    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), docs["doc_id"].cast("long").alias("_doc"), text_key(docs["text"]).alias("_text"))
-    rows = rows.join(named, (F.col("_doc") == F.col("_id")) & (F.col("_text") == F.col("_key")), "left").filter("_stays is null or _stays")
-    alone, repeated = rows.filter("_stays is null"), rows.filter("_stays").dropDuplicates(["_doc", "_text"])
-    return alone.select("_row").unionByName(repeated.select("_row")).select(*[F.col("_row").getField(c).alias(c) for c in names])
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), docs["doc_id"].cast("long").alias("_doc"), text_key(docs["text"]).alias("_text"), F.coalesce(F.length(docs["text"]) > 0, F.lit(False)).alias("_any"))
+    judged = F.col("_any") & F.col("_doc").isNotNull()
+    # the decisions grow with the corpus: the join is a shuffle at every size, and rows that repeat are told apart in its partitions
+    met = rows.filter(judged).join(named.hint("merge"), (F.col("_doc") == F.col("_id")) & (F.col("_text") == F.col("_key")), "left").filter("_stays is null or _stays")
+    nth = F.row_number().over(Window.partitionBy("_doc", "_text").orderBy("_doc"))
+    left = met.withColumn("_nth", nth).filter("_stays is null or _nth = 1").select("_row")
+    return left.unionByName(rows.filter(~judged).select("_row")).select(*[F.col("_row").getField(c).alias(c) for c in names])
