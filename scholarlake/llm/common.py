@@ -103,3 +103,25 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def constant(numbers: list[int]) -> Column:
+    """A constant array of longs; as one text it is folded to a literal at once."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
+
+
+def key_filter(keys: DataFrame, key: str, least_bits: int = 12, most_bits: int = 22) -> Callable[[Column], Column]:
+    """A test of whether a key may be among these: a bit for each hash, 8 bits a key, half a megabyte at most.
+
+    A filter that is too full says yes too often, never no too often.
+    """
+    power = min(max((8 * keys.count()).bit_length(), least_bits), most_bits)
+    slot = lambda k: F.shiftrightunsigned(F.xxhash64(k), 64 - power)
+    bit = lambda k: slot(k).bitwiseAND(F.lit(63)).cast("int")
+    # a row per 64 bits, so their number is bounded too
+    found = keys.groupBy(F.shiftright(slot(F.col(key)), 6).cast("int").alias("word")).agg(F.bit_or(F.get(constant([1 << b if b < 63 else -(1 << 63) for b in range(64)]), bit(F.col(key)))).alias("bits")).collect()
+    words = [0] * (1 << (power - 6))
+    for r in found:
+        words[r["word"]] = r["bits"]
+    table = constant(words)
+    return lambda k: F.getbit(F.get(table, F.shiftright(slot(k), 6).cast("int")), bit(k)) == 1

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholarlake.llm.common import WS, saved
+from scholarlake.llm.common import WS, constant, saved
 
 #: Share of documents that a term of the lexicon is in. A document of n distinct terms adds n to all document
 #: frequencies, so no more than (mean n) / LOW terms can reach LOW: the lexicon's size does not grow with the corpus.
@@ -31,11 +31,6 @@ def terms_of(text: Column) -> Column:
     return F.transform(F.array_distinct(F.array_remove(words, "")), lambda w: F.xxhash64(w))
 
 
-def constant(numbers: list[int]) -> Column:
-    """A constant array of longs; as one text it is folded to a literal at once."""
-    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
-
-
 def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
     """(term, n): hashes of the terms that are in at least `low` and at most `high` of all documents, and in two at least."""
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"))

@@ -2,8 +2,8 @@
 
 From each rule's regular expression follows a Boolean query over trigrams that every match must contain. An
 index holds the documents of each such trigram; intersecting its postings gives a rule's candidates, and only
-these are verified by the expression. A rule whose expression forces no trigram scans all texts. Only texts that
-hold the rarest trigram of some query are shuffled to their candidate rules.
+these are verified by the expression. A rule whose expression forces no trigram scans all texts. Texts are shuffled to
+their candidate rules only if a filter of the candidates' keys lets them through.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholarlake.llm.common import saved
+from scholarlake.llm.common import key_filter, saved
 
 try:
     from re import _parser as _regex
@@ -186,32 +186,22 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id",
     return _joined(rows, rules).select(F.col("_key").alias(key), F.col("_spans").alias("spans"))
 
 
-def _anchors(postings: DataFrame, rules: tuple[Rule, ...]) -> list[str]:
-    """Of each alternative of each rule's query the trigram with the fewest postings: a candidate holds one of these at least."""
-    n = {r["trigram"]: r["n"] for r in postings.groupBy("trigram").agg(F.count("*").alias("n")).collect()}  # a row per asked trigram
-    return sorted({min(sorted(grams), key=lambda g: n.get(g, 0)) for query in queries_of(rules)[0].values() for grams in query})
-
-
 def _joined(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """`rows` (_key, _text and more) with _spans.
 
-    Only texts that hold an anchor meet the candidates by their key; all others are judged where they lie, by the rules
+    Only rows whose key may be a candidate's meet the candidates; all others are judged where they lie, by the rules
     that scan every text.
     """
     _, scanned = queries_of(rules)
-    postings = saved(index(rows.filter("_key is not null"), "_key", "_text", rules), "secret-postings")
-    found = candidates(postings, "_key", rules).select(F.col("_key").alias("_doc"), F.col("rules").alias("_rules"))
-    anchors = _anchors(postings, rules)
-    held = F.lit(False)
-    for g in anchors:
-        held = held | F.col("_low").contains(g)
-    low = rows.withColumn("_low", F.lower("_text"))
-    hot = F.coalesce(held, F.lit(False)) & F.col("_key").isNotNull()
-    with_rules = low.filter(hot).drop("_low")
-    joined = with_rules.join(found, with_rules["_key"] == found["_doc"], "left").select(*rows.columns, "_rules")
+    found = saved(candidates(index(rows.filter("_key is not null"), "_key", "_text", rules), "_key", rules), "secret-candidates")
+    may_be = key_filter(found, "_key")
+    found = found.select(F.col("_key").alias("_doc"), F.col("rules").alias("_rules"))
+    hot = F.coalesce(may_be(F.col("_key")), F.lit(False)) & F.col("_key").isNotNull()
+    asked = rows.filter(hot)
+    joined = asked.join(found, asked["_key"] == found["_doc"], "left").select(*rows.columns, "_rules")
     every = F.array(*[F.lit(i) for i in range(len(rules))])
     # a row without a key cannot be looked up: all rules scan it
-    rest = low.filter(~hot).select(*rows.columns, F.when(F.col("_key").isNull(), every).alias("_rules"))
+    rest = rows.filter(~hot).select(*rows.columns, F.when(F.col("_key").isNull(), every).alias("_rules"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
     def spans(i: int) -> Column:
