@@ -110,18 +110,24 @@ def block_entropies(texts: list[np.ndarray]) -> np.ndarray:
     if not n.sum():
         return np.ones(len(texts))
     k = -(-n // BLOCK)
-    first = np.r_[0, np.cumsum(k)[:-1]]
-    doc = np.repeat(np.arange(len(texts)), n)
-    place = np.arange(int(n.sum())) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
-    # token i of n lies in block floor(((i + 1) * k - 1) / n): bounds at floor(block * n / k)
-    block = first[doc] + ((place + 1) * k[doc] - 1) // n[doc]
-    size = np.bincount(block, minlength=int(k.sum()))
-    keys, count = np.unique((block << 32) | np.concatenate(texts).astype(np.int64), return_counts=True)
-    of = keys >> 32
+    doc = np.repeat(np.arange(len(texts)), k)
+    nth = np.arange(len(doc)) - np.repeat(np.r_[0, np.cumsum(k)[:-1]], k)
+    low, high = nth * n[doc] // k[doc], (nth + 1) * n[doc] // k[doc]
+    start, size = low + np.r_[0, np.cumsum(n)[:-1]][doc], high - low
+    # a block is a row of a matrix, filled up with -1; sorted, equal tokens are runs
+    at = np.arange(BLOCK)
+    inside = at < size[:, None]
+    ids = np.concatenate(texts).astype(np.int32)
+    rows = np.where(inside, ids[np.minimum(start[:, None] + at, len(ids) - 1)], -1)
+    rows.sort(1)
+    begins = np.flatnonzero(np.c_[np.ones(len(rows), bool), rows[:, 1:] != rows[:, :-1]])
+    count, of = np.diff(np.r_[begins, rows.size]), begins // BLOCK
+    real = rows.ravel()[begins] >= 0
+    count, of = count[real], of[real]
     share = count / size[of]
     entropy = np.bincount(of, -share * np.log(share), minlength=len(size))
     value = np.divide(entropy, np.log(np.maximum(size, 2)), out=np.ones(len(size)), where=size > 1)
-    total = np.bincount(np.repeat(np.arange(len(texts)), k), value * size, minlength=len(texts))
+    total = np.bincount(doc, value * size, minlength=len(texts))
     return np.divide(total, n, out=np.ones(len(texts)), where=n > 1)
 
 
