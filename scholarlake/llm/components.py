@@ -13,7 +13,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round gives every node the least label among its own and its neighbours', and then its label's label, so
     paths halve. A round is a written table; a node with very many links is summed map-side and joined as any other.
+    Links with a null end are none, repeated links and links of a node with itself count once, and no links give no rows.
     """
+    links = links.filter("a is not null and b is not null")
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = saved(both, "links")
     labels = saved(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")

@@ -1,5 +1,6 @@
 """Mixing, near duplicates, the pipeline, and all operators on odd tables."""
 
+import hashlib
 import random
 from collections import defaultdict
 
@@ -9,6 +10,7 @@ import pytest
 import corpus_pipeline
 from scholarlake.llm import imatch, mixing, near_dup, pieces, pii, quality, queries, secrets, token_counts, toxicity
 from scholarlake.llm.common import table
+from scholarlake.llm.components import components
 
 
 def plain_sets(rows):
@@ -94,6 +96,13 @@ def test_one_text_of_a_group_stays(spark):
     assert near_dup.keep_one(docs.limit(0)).count() == 0
 
 
+def test_components(spark):
+    links = [(1, 2), (2, 3), (2, 3), (7, 7), (9, 8), (None, 4), (5, None)] + [(i, i + 1) for i in range(20, 60)] + [(100, i) for i in range(101, 160)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = {1: 1, 2: 1, 3: 1, 7: 7, 8: 8, 9: 8} | dict.fromkeys(range(20, 61), 20) | dict.fromkeys(range(100, 160), 100)
+    assert got == want and components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_trees_follow_from_the_target():
     assert near_dup.Join().n_trees == 14 and near_dup.Join(percent=80).n_trees == 18 and near_dup.Join(trees=3).n_trees == 3
 
@@ -223,6 +232,32 @@ def test_odd_rows(spark, odd_docs, no_docs, name):
     assert ODD[name](no_docs).count() == 0
 
 
+#: What the odd rows give, by operator and doc_id: some columns of every row of that id.
+EMPTY = hashlib.sha256(b"").hexdigest()
+ODD_VALUES = {
+    "pii": {2: {"n_email": 0, "spans": "", "base_sha256": EMPTY}, 3: {"spans": ""}, 4: {"spans": ""}, 6: {"n_email": 1, "n_ip": 1, "n_card": 0}, 7: {"spans": ""}},
+    "sanitise": {2: {"text": ""}, 3: {"text": ""}, 4: {"text": " \n\t "}, 7: {"text": "one two"}},
+    "pieces": {2: {"n_tokens": 0, "ids_sha256": EMPTY, "decoded_sha256": EMPTY}, 3: {"n_tokens": 0}},
+    "secrets": {2: {"n_assign": 0, "spans": ""}, 3: {"spans": ""}, 6: {"n_assign": 1, "n_hex": 0}, None: {"spans": ""}},
+    "redacted": {2: {"text": None, "lang": None}, 3: {"text": "", "source": "src1"}, 6: {"n_chars": 9}, None: {"lang": "en"}},
+    "mixing": {2: {"size": 0, "taken": 0, "source_size": 15}, 3: {"size": 0, "taken": 0}, 4: {"taken": 0}, 1: {"size": 14}, 5: {"size": 160_000}, None: {"size": 15}},
+    "quality": {2: {"n_words": 0, "n_tokens": 0, "base_failed": True, "kept": False, "script": "other"}, 4: {"n_words": 0, "kept": False}, 5: {"n_words": 160_000, "base_failed": True}, 7: {"n_words": 2, "base_failed": True}},
+    "token_counts": {2: {"n_chars": 0, "n_tokens": 0}, 3: {"n_chars": 0, "n_tokens": 0}, 7: {"n_chars": 7}},
+    "near_dup": {1: {"n_shingles": 10, "component_id": 1, "kept": True}, 2: {"n_shingles": 0, "component_id": 2, "kept": True}, 4: {"n_shingles": 0}, 5: {"n_shingles": 8, "component_id": 5}, 7: {"component_id": 7, "kept": True}, 8: {"n_shingles": 1, "component_id": 7, "kept": False}, None: {"component_id": None, "kept": True}},
+    "imatch": {2: {"n_chars": 0, "edited_sha256": EMPTY}, 3: {"n_chars": 0}, 7: {"n_chars": 7, "near_next": 1.0}},
+}
+
+
+@pytest.mark.parametrize("name", ODD_VALUES)
+def test_odd_values(spark, odd_docs, name):
+    seen = set()
+    for r in ODD[name](odd_docs).collect():
+        for column, value in ODD_VALUES[name].get(r.doc_id, {}).items():
+            assert r[column] == value, (r.doc_id, column, r[column])
+            seen.add(r.doc_id)
+    assert seen == ODD_VALUES[name].keys()
+
+
 def test_odd_rows_of_toxicity(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (5, 0), (7, None), (None, 1), (6, 1), (8, 0)], "doc_id long, toxic int")
     model = toxicity.fit(odd_docs, labels)
