@@ -79,7 +79,7 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
-def slices(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], chars: int = 500_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `chars` characters in all (a longer text stands alone), to bound memory."""
     start = total = 0
     for i, t in enumerate(texts):
