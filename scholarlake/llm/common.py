@@ -8,7 +8,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,17 @@ def slices(texts: list[str], chars: int = 500_000) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def batch_slices(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `most` bytes of a text column (a longer text stands alone), without a copy."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(int(np.searchsorted(ends, before + most, "right")), start + 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text as long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarlake.llm import chat, imatch, mixing, near_dup, pieces, pii, quality, secrets, token_counts, toxicity
+from scholarlake.llm import chat, fim, imatch, licenses, mixing, near_dup, pieces, pii, quality, secrets, token_counts, toxicity, variants
 from scholarlake.llm.common import table
 
 
@@ -57,6 +57,18 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.words(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -122,9 +134,18 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id, least(d.doc_id, coalesce(c.least, d.doc_id)) = d.doc_id AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id"""
 
+SQL["op11_fill_in_middle"] = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, list_transform(regexp_extract_all(x, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+'), lambda w: length(w)) AS sizes, [CAST('0x' || h[8 * i + 1 : 8 * i + 8] AS BIGINT) FOR i IN range(4)] AS d FROM t),
+n AS (SELECT *, CAST(len(sizes) AS BIGINT) AS n, x = '' OR d[3] % 100 >= 50 OR regexp_matches(x, '<[PSM]>') AS plain FROM u),
+c AS (SELECT *, coalesce(list_sum(sizes[1 : least(d[1] % (n + 1), d[2] % (n + 1))]), 0) AS a, coalesce(list_sum(sizes[1 : greatest(d[1] % (n + 1), d[2] % (n + 1))]), 0) AS b FROM n),
+p AS (SELECT *, substring(x, 1, CAST(a AS BIGINT)) AS pre, substring(x, CAST(a AS BIGINT) + 1, CAST(b - a AS BIGINT)) AS mid, substring(x, CAST(b AS BIGINT) + 1) AS suf FROM c)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN d[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form, CASE WHEN NOT plain THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN NOT plain THEN CAST(b - a AS BIGINT) END AS middle_chars,
+  sha256(CASE WHEN plain THEN x WHEN d[4] % 100 < 80 THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256, sha256(x) AS restored_sha256 FROM p"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat_formatting, op2_pii, op3_sentencepiece, op4_secrets, op5_mixing, op6_quality, op7_token_counts, op8_near_dup, op9_toxicity, op10_imatch, pipeline)
+    found = (op1_chat_formatting, op2_pii, op3_sentencepiece, op4_secrets, op5_mixing, op6_quality, op7_token_counts, op8_near_dup, op9_toxicity, op10_imatch, op11_fill_in_middle, op12_licenses, op13_spelling_variants, pipeline)
     return {f.__name__: f for f in found}
 
 
