@@ -12,6 +12,13 @@ MARKED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçý", "aaaaaae
 CJK = r"\x{4e00}-\x{9fff}"
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "which", "with")
 
+# What a search question says beside its subject, as words; questions are compared by stems as well.
+QUESTION_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "can", "could", "do", "does", "for", "from", "how", "i", "in", "into", "is", "it", "of", "on", "or", "paper", "please", "should", "summarize", "summarise",
+    "tell", "that", "the", "their", "this", "to", "was", "what", "which", "with", "would", "you",
+    "的", "了", "和", "呢", "请", "这篇", "论文", "本文", "该文", "这个", "那个", "如何", "什么", "总结", "说明", "一个", "一下", "怎样", "是什么", "有哪些",
+)
+
 
 def document_tokens(text: Column) -> Column:
     """Tokens of an indexed text: letters and digits of any script, lower case, marks folded away."""
@@ -57,12 +64,6 @@ def keyword_tokens(text: Column) -> Column:
     return F.array_remove(F.regexp_extract_all(F.lower(text), F.lit(KEYWORD), F.lit(3)), "")
 
 
-def without_stopwords(tokens: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
-    """Tokens that are no stopwords; if none is left, all of over one character."""
-    kept = F.filter(tokens, lambda t: ~t.isin(list(stopwords)))
-    return F.when(F.size(kept) > 0, kept).otherwise(F.filter(tokens, lambda t: F.length(t) > 1))
-
-
 def normal(text: Column) -> Column:
     """Lower case, white space collapsed and trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))

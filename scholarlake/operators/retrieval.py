@@ -8,8 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholarlake.functions.text import keyword_tokens
-
 K1, B = 1.5, 0.75
 RRF_K = 60
 
@@ -32,29 +30,6 @@ def _weighed(tokens: Column, weight: float) -> Column:
     return F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(float(weight)).alias("weight")))
 
 
-def bm25(docs: DataFrame, key: str, text: str, terms: DataFrame, boosted: Sequence[str] = (), boost: float = 0.2) -> DataFrame:
-    """(query_id, key, score): idf = ln(1 + (N - df + .5) / (df + .5)), k1 1.5, b 0.75.
-
-    `terms` is a stated set of query terms (query_id, token). The corpus is tokenised once: of each document go on its
-    length and its asked tokens, and a row with an empty token that stands for the document, so the sizes of the corpus,
-    document frequencies and scores all come from the same shuffled postings. A token of `boosted` in the first 300
-    characters of a document adds `boost`.
-    """
-    asked = terms.select("query_id", F.col("token").alias("_q"))
-    names = sorted({r["_q"] for r in asked.select("_q").distinct().collect() if r["_q"]})
-    head = F.lower(F.substring(text, 1, 300))
-    strong = F.array_compact(F.array(*[F.when(head.contains(t), F.lit(t)) for t in names if t in set(boosted)])).cast("array<string>")
-    rows = docs.select(key, keyword_tokens(F.col(text)).alias("_t"), strong.alias("_s"))
-    rows = rows.select(key, "_s", F.size("_t").cast("long").alias("length"), F.explode(F.concat(F.array(F.lit("")), F.filter("_t", lambda t: t.isin(names)))).alias("token"))
-    posts = rows.groupBy("token", key, "length", F.array_contains("_s", F.col("token")).alias("strong")).agg(F.count("*").alias("tf"))
-    counted = posts.groupBy(F.col("token").alias("_d")).agg(F.count("*").alias("df"), F.avg("length").alias("avg"))
-    stats = counted.filter("_d = ''").select(F.col("df").alias("n_docs"), F.col("avg").alias("avg_length"))
-    found = posts.join(F.broadcast(counted.filter("_d <> ''").join(asked, F.col("_d") == F.col("_q")).crossJoin(stats)), F.col("token") == F.col("_d"))  # a row a query term
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length"))) + F.when(F.col("strong"), boost).otherwise(0.0)
-    return found.groupBy("query_id", key).agg(F.sum(part).alias("score"))
-
-
 def collection_stats(docs: DataFrame, tokens: Column) -> DataFrame:
     """(n_docs, avg_length) of the documents that have tokens or not."""
     return docs.select(F.size(tokens).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_length"))
@@ -143,6 +118,3 @@ def pool(candidates: DataFrame) -> DataFrame:
     relations = F.array_join(F.array_sort(F.array_distinct(F.transform("_s", lambda x: x["relation"]))), ",")
     return g.select("chunk", F.round(F.col("_m") + F.least(F.lit(0.24), 0.08 * (anchors - 1)), 6).alias("score"), anchors.cast("long").alias("n_anchors"), relations.alias("relations"))
 
-
-def keyword_index(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return postings(docs, key, keyword_tokens(F.col(text)))

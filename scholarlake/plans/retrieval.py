@@ -6,43 +6,75 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholarlake.functions import text as T
+from scholarlake.functions.stem import stems
 from scholarlake.operators import chunks as C
 from scholarlake.operators import retrieval as R
 from scholarlake.operators import rules as RL
+from scholarlake.operators import sparse_index as SI
 from scholarlake.plans.registry import query
+from scholarlake.plans.stem_sql import stems_sql
+from scholarlake.sources import published as P
 from scholarlake.sources.tables import VECTORS_SQL, table, vectors
 
 _RUNS = "|".join(f"{c}{{5}}" for c in "abcdefghijklmnopqrstuvwxyz0123456789_-")
 _KEYWORDS = r"list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_-]+|[\x{4e00}-\x{9fff}]{2,}'), lambda t: NOT regexp_matches(t, '^[0-9_-]+$') AND NOT regexp_matches(t, '" + _RUNS + "'))"
-_POSTS = f"tok AS (SELECT doc_id, {_KEYWORDS} AS t FROM documents), st AS (SELECT count(*) AS n_docs, avg(len(t)) AS avg_length FROM tok), po AS (SELECT token, doc_id, length, count(*) AS tf FROM (SELECT doc_id, len(t) AS length, unnest(t) AS token FROM tok) GROUP BY ALL)"
-_ASKED = [(1, "the"), (1, "and"), (2, "der"), (2, "und"), (3, "de"), (3, "que"), (3, "er")]
-_TERMS = "terms AS (SELECT CAST(q AS BIGINT) AS query_id, token FROM (VALUES " + ", ".join(f"({q}, '{t}')" for q, t in _ASKED) + ") v(q, token))"
-_BOOSTED = ("der", "que")
-_BM25 = f"""{_POSTS}, {_TERMS}, dfs AS (SELECT token, count(*) AS df FROM po WHERE token IN (SELECT token FROM terms) GROUP BY token),
-bm AS (SELECT query_id, doc_id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avg_length)) + CASE WHEN token IN {_BOOSTED} AND contains(lower(substring(text, 1, 300)), token) THEN 0.2 ELSE 0 END) AS score FROM po JOIN dfs USING (token) JOIN terms USING (token) JOIN documents USING (doc_id), st GROUP BY 1, 2)"""
+#: Stated questions as words; the second word of question 4 stands twice in it.
+_ASKED = [(1, "the"), (1, "and"), (2, "der"), (2, "und"), (3, "de"), (3, "que"), (3, "er"), (4, "tioned"), (4, "reing"), (4, "tiones"), (5, "inged"), (5, "mente")]
+#: Words whose stems count more early in a text.
+_EARLY_WORDS = ("der", "que", "tioning")
+_POSTS = f"""tok AS (SELECT doc_id, {_KEYWORDS} AS t FROM documents), st AS (SELECT count(*) AS n_docs, avg(len(t)) AS avg_length FROM tok), raw AS (SELECT doc_id, len(t) AS length, unnest(t) AS token FROM tok), asked AS (SELECT CAST(q AS BIGINT) AS query_id, token FROM (VALUES {", ".join(f"({q}, '{t}')" for q, t in _ASKED)}) v(q, token)),
+voc AS (SELECT token FROM raw UNION SELECT token FROM asked UNION SELECT unnest({list(_EARLY_WORDS)})), {stems_sql("voc")}, po AS (SELECT stem AS token, doc_id, length, count(*) AS tf FROM raw JOIN sm USING (token) GROUP BY ALL)"""
+_BM25 = f"""{_POSTS}, terms AS (SELECT query_id, stem AS token, count(*) AS qtf FROM asked JOIN sm USING (token) GROUP BY 1, 2), dfs AS (SELECT token, count(*) AS df FROM po WHERE token IN (SELECT token FROM terms) GROUP BY token),
+bm AS (SELECT query_id, doc_id, sum(qtf * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avg_length)) + CASE WHEN token IN (SELECT stem FROM sm WHERE token IN {_EARLY_WORDS}) AND contains(lower(substring(text, 1, 300)), token) THEN 0.2 ELSE 0 END) AS score FROM po JOIN dfs USING (token) JOIN terms USING (token) JOIN documents USING (doc_id), st GROUP BY 1, 2)"""
 
 
 def _asked(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_ASKED, "query_id long, token string")
 
 
+def keyword_index(spark: SparkSession, sf_dir: str) -> SI.KeywordIndex:
+    """The published index of a table of documents as it is now; built if there is none of just these files."""
+    log = P.Log(spark, f"{P.shared_dir(spark)}/published", f"keywords-{P.fingerprint(spark, f'{sf_dir}/documents.parquet')}")
+    found = SI.opened(spark, log)
+    if found is None:
+        found = SI.build(table(spark, sf_dir, "documents"), log, boosted=stems(spark, _EARLY_WORDS))
+    return found
+
+
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", _asked(spark), _BOOSTED)
+    return keyword_index(spark, sf_dir).scores(_asked(spark)).withColumnRenamed("key", "doc_id")
+
+
+def _best(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    return keyword_index(spark, sf_dir).best(_asked(spark), n).withColumnRenamed("key", "doc_id")
+
+
+_CJK_LAST = r"list_concat(list_filter(t, lambda x: NOT regexp_matches(x, '^[\x{4e00}-\x{9fff}]')), list_filter(t, lambda x: regexp_matches(x, '^[\x{4e00}-\x{9fff}]')))"
 
 
-@query(f"WITH tok AS (SELECT doc_id, {_KEYWORDS} AS t FROM documents) SELECT doc_id, CAST(len(t) AS BIGINT) AS n, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct, array_to_string(list_slice(t, 1, 5), ' ') AS first_five FROM tok")
+@query(f"""WITH tok AS (SELECT doc_id, {_KEYWORDS} AS t FROM documents), o AS (SELECT doc_id, {_CJK_LAST} AS t FROM tok), raw AS (SELECT doc_id, unnest(t) AS token, unnest(range(len(t))) AS i FROM o), {stems_sql("raw")}
+SELECT doc_id, count(stem) AS n, count(DISTINCT stem) AS n_distinct, coalesce(string_agg(stem, ' ' ORDER BY i) FILTER (i < 5), '') AS first_five FROM documents LEFT JOIN (SELECT doc_id, i, stem FROM raw JOIN sm USING (token)) USING (doc_id) GROUP BY doc_id""")
 def f1_keyword_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", T.keyword_tokens(F.col("text")).alias("t"))
-    return d.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.array_join(F.slice("t", 1, 5), " ").alias("first_five"))
+    words = SI.stemmed(d, "t", "doc_id")
+    # a word of a document once with its number; of the places only the first five of a document go on
+    latin = F.filter("t", lambda x: ~x.rlike(f"^[{T.CJK}]"))
+    first = d.select("doc_id", F.slice(F.concat(latin, F.filter("t", lambda x: x.rlike(f"^[{T.CJK}]"))), 1, 5).alias("t"))
+    first = SI.stemmed(first, "t", "doc_id").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "stem"))), lambda x: x["stem"]), " ").alias("first_five"))
+    counts = words.groupBy("doc_id", "stem").agg(F.count("stem").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("stem").alias("n_distinct"))
+    return counts.join(first, "doc_id").select("doc_id", "n", "n_distinct", "first_five")
 
 
-_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+_STOP = ", ".join(f"'{w}'" for w in T.QUESTION_WORDS)
 
 
-@query(f"WITH tok AS (SELECT conv_id, turn, {_KEYWORDS} AS t FROM conversations), k AS (SELECT *, list_filter(t, lambda x: x NOT IN ({_STOP})) AS kept FROM tok) SELECT conv_id, turn, array_to_string(CASE WHEN len(kept) > 0 THEN kept ELSE list_filter(t, lambda x: length(x) > 1) END, ' ') AS keywords FROM k")
+@query(f"""WITH tok AS (SELECT conv_id, turn, {_KEYWORDS} AS t FROM conversations), o AS (SELECT conv_id, turn, {_CJK_LAST} AS t FROM tok), raw AS (SELECT conv_id, turn, unnest(t) AS token, unnest(range(len(t))) AS i FROM o),
+voc AS (SELECT token FROM raw UNION SELECT unnest([{_STOP}])), {stems_sql("voc")}, w AS (SELECT conv_id, turn, stem, min(i) AS i, stem NOT IN ({_STOP}) AND stem NOT IN (SELECT stem FROM sm WHERE token IN ({_STOP})) AS kept FROM raw JOIN sm USING (token) GROUP BY ALL),
+u AS (SELECT * FROM (SELECT *, bool_or(kept) OVER (PARTITION BY conv_id, turn) AS any_kept FROM w) WHERE kept OR NOT any_kept QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) <= 8)
+SELECT conv_id, turn, coalesce(string_agg(stem, ' ' ORDER BY i), '') AS keywords FROM conversations LEFT JOIN u USING (conv_id, turn) GROUP BY conv_id, turn""")
 def f2_query_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.keyword_tokens(F.col("text")).alias("t"))
-    return c.select("conv_id", "turn", F.array_join(T.without_stopwords(F.col("t")), " ").alias("keywords"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return SI.query_keywords(c, "text", ["conv_id", "turn"]).select("conv_id", "turn", F.array_join("keywords", " ").alias("keywords"))
 
 
 @query(r"SELECT conv_id, turn, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS normal, CASE WHEN regexp_matches(text, '[\x{4e00}-\x{9fff}]') AND regexp_matches(text, '[A-Za-z]') THEN 'mixed' WHEN regexp_matches(text, '[\x{4e00}-\x{9fff}]') THEN 'zh' WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' ELSE 'unknown' END AS language FROM conversations")
@@ -121,24 +153,19 @@ def f34_token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_POSTS} SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM po GROUP BY token")
 def a7_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return R.keyword_index(d, "doc_id", "text").groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
+    return keyword_index(spark, sf_dir).dictionary().groupBy(F.col("stem").alias("token")).agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 @query(f"WITH {_POSTS} SELECT n_docs, round(avg_length, 6) AS avg_length, (SELECT count(*) FROM po) AS postings, (SELECT count(DISTINCT token) FROM po) AS vocabulary FROM st")
 def c9_index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # one pass: a row per document with its distinct tokens, then a row per token; the sizes of the corpus come from an empty token
-    d = table(spark, sf_dir, "documents").select(T.keyword_tokens(F.col("text")).alias("t"))
-    rows = d.select(F.size("t").alias("length"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("t"))).alias("token"))
-    tokens = rows.groupBy("token").agg(F.count("*").alias("n"), F.avg("length").alias("avg"))
-    own = F.col("token") == ""
-    return tokens.agg(F.max(F.when(own, F.col("n"))).alias("n_docs"), F.round(F.max(F.when(own, F.col("avg"))), 6).alias("avg_length"), F.sum(F.when(~own, F.col("n"))).cast("long").alias("postings"), F.count(F.when(~own, 1)).alias("vocabulary"))
+    index = keyword_index(spark, sf_dir)
+    words = index.dictionary().groupBy("stem").agg(F.sum("df").alias("df"))
+    return words.agg(F.lit(index.n_docs).cast("long").alias("n_docs"), F.round(F.lit(index.average), 6).alias("avg_length"), F.sum("df").alias("postings"), F.count("*").alias("vocabulary"))
 
 
 @query(f"WITH {_BM25}, r AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm) SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 6) END AS normal FROM r WHERE rank <= 10 WINDOW w AS (PARTITION BY query_id)")
 def r1_keyword_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = R.ranked(_bm25(spark, sf_dir).withColumn("score", F.round("score", 6)), ["query_id"], F.desc("score"), F.asc("doc_id"), n=10)
-    return R.min_max(top, ["query_id"], "score").withColumn("normal", F.round("normal", 6)).select("query_id", "doc_id", "score", "rank", "normal")
+    return R.min_max(_best(spark, sf_dir, 10), ["query_id"], "score").withColumn("normal", F.round("normal", 6)).select("query_id", "doc_id", "score", "rank", "normal")
 
 
 _COS = "greatest(0.0, least(1.0, list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2])) / (q.norm * x.norm)))"
@@ -194,7 +221,7 @@ def r2_vector_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 al AS (SELECT query_id, route, vec_id AS chunk, rank FROM vr WHERE query_id <= 3 UNION ALL SELECT * FROM kr), fu AS (SELECT query_id, chunk, round(sum(CASE route {" ".join(f"WHEN '{r}' THEN {w}" for r, w in _VOTES.items())} END / (60 + rank)), 9) AS score, count(DISTINCT route) AS n_routes FROM al GROUP BY 1, 2)
 SELECT query_id, chunk, CAST(score AS DOUBLE) AS score, n_routes, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS rank FROM fu QUALIFY rank <= 15""")
 def r2_fused_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = R.ranked(_bm25(spark, sf_dir).withColumn("score", F.round("score", 6)), ["query_id"], F.desc("score"), F.asc("doc_id"), n=30)
+    words = _best(spark, sf_dir, 30)
     routes = _vector_routes(spark, sf_dir).filter("query_id <= 3").select("query_id", "route", F.col("vec_id").alias("chunk"), "rank")
     routes = routes.unionByName(words.select("query_id", F.lit("keyword").alias("route"), F.col("doc_id").alias("chunk"), "rank"))
     fused = R.fuse(routes, _VOTES, "chunk").withColumn("score", F.round("score", 9))
@@ -219,12 +246,11 @@ def a10_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit("unknown")).alias("section"), F.coalesce("lang", F.lit("body")).alias("chunk_type")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_BM25}, tk AS (SELECT *, row_number() OVER (ORDER BY n DESC, token) AS k FROM (SELECT query_id, token, (SELECT count(*) FROM po WHERE po.token = terms.token) AS n FROM terms)) SELECT query_id, token, n FROM tk WHERE k <= 5""")
+@query(f"""WITH tok AS (SELECT conv_id, turn, {_KEYWORDS} AS t FROM conversations WHERE role = 'user'), o AS (SELECT conv_id, turn, {_CJK_LAST} AS t FROM tok), raw AS (SELECT conv_id, turn, unnest(t) AS token, unnest(range(len(t))) AS i FROM o), {stems_sql("raw")},
+k AS (SELECT conv_id, stem AS token, count(*) AS n, min({{'turn': turn, 'i': i}}) AS first FROM raw JOIN sm USING (token) GROUP BY 1, 2) SELECT conv_id, token, n, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, first) AS place FROM k QUALIFY place <= 12""")
 def a22_query_keyword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    asked = _asked(spark)
-    counts = R.keyword_index(d, "doc_id", "text").join(F.broadcast(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    return asked.join(counts, "token", "left").select("query_id", "token", F.coalesce("n", F.lit(0)).alias("n")).orderBy(F.desc("n"), "token").limit(5)
+    asked = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
+    return SI.keyword_counts(asked, "text", "conv_id", ["turn"])
 
 
 _FUSED = f"""{_BM25}, kr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank, 'keyword' AS route FROM bm),
@@ -233,9 +259,9 @@ al AS (SELECT * FROM kr WHERE rank <= 30 UNION ALL SELECT * FROM rr WHERE rank <
 
 
 def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bm = _bm25(spark, sf_dir).withColumn("score", F.round("score", 6))
+    bm = _bm25(spark, sf_dir)
     chars = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    a = R.ranked(bm, ["query_id"], F.desc("score"), F.asc("doc_id"), n=30).select("query_id", "doc_id", "rank", F.lit("keyword").alias("route"))
+    a = _best(spark, sf_dir, 30).select("query_id", "doc_id", "rank", F.lit("keyword").alias("route"))
     b = R.ranked(bm.join(chars, "doc_id"), ["query_id"], F.desc("n_chars"), F.asc("doc_id"), n=30).select("query_id", "doc_id", "rank", F.lit("table").alias("route"))
     return a.unionByName(b)
 
