@@ -198,8 +198,8 @@ def _cuts(rows: DataFrame, take: DataFrame) -> DataFrame:
     return upto.unionByName(whole)
 
 
-def _copies(rows: DataFrame, goals: DataFrame, cuts: DataFrame) -> DataFrame:
-    """`rows` with source_size, target and copies. The tables of sources and lengths are joined as Spark sees fit by their sizes."""
+def _copies(rows: DataFrame, goals: DataFrame, cuts: DataFrame, whole: Column) -> DataFrame:
+    """`rows` (of which `whole` tells two apart that have the same key and text) with source_size, target and copies. The tables of sources and lengths are joined as Spark sees fit by their sizes."""
     g = goals.select(F.col("source").alias("_gs"), "source_size", "target", "passes")
     c = cuts.select(F.col("source").alias("_cs"), F.col("size").alias("_cz"), F.lit(True).alias("_cut"), "upto", "ties")
     out = rows.join(g, F.col("source").eqNullSafe(F.col("_gs")), "left").join(c, F.col("source").eqNullSafe(F.col("_cs")) & (F.col("size") == F.col("_cz")), "left").drop("_gs", "_cs", "_cz")
@@ -207,9 +207,13 @@ def _copies(rows: DataFrame, goals: DataFrame, cuts: DataFrame) -> DataFrame:
     out = out.withColumn("_tie", F.coalesce((at == F.col("upto")) & F.col("ties").isNotNull(), F.lit(False)))
     extra = F.when(F.col("_cut") & (F.col("upto").isNull() | (at <= F.col("upto"))), 1).otherwise(0)
     plain = out.filter(~F.col("_tie")).withColumn("_extra", extra)
-    # equal rows of which only some are taken: one row and its repetitions in each group at most
-    nth = F.row_number().over(Window.partitionBy("source", "size").orderBy(F.lit(0)))
-    tied = out.filter("_tie").withColumn("_extra", F.when(nth <= F.col("ties"), 1).otherwise(0))
+    # equal draws of which only some are taken, in order of the whole row; rows that are equal in all count as one row and its number
+    tied = out.filter("_tie").withColumn("_whole", whole)
+    names = [c for c in tied.columns if c not in ("source", "size", "_whole")]
+    tied = tied.groupBy("source", "size", "_whole").agg(F.first(F.struct(*names)).alias("_r"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("source", "size").orderBy("_whole").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tied = tied.withColumn("_before", before).select("source", "size", "_r.*", "_before", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_nth"))
+    tied = tied.withColumn("_extra", F.when(F.col("_before") + F.col("_nth") <= F.col("ties"), 1).otherwise(0)).select(*plain.columns)
     copies = F.when(F.col("size") > 0, F.col("passes") + F.col("_extra")).otherwise(0).cast("long")
     return plain.unionByName(tied).withColumn("copies", copies).drop("passes", "upto", "ties", "_cut", "_tie", "_extra")
 
@@ -224,7 +228,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     which of several equal ones is taken does not show.
     """
     rows = saved(_rows(docs, seed, key, text, source), "mix-rows")
-    return _copies(rows, *limits(rows, weights, share, most)).drop("draw")
+    return _copies(rows, *limits(rows, weights, share, most), F.lit("")).drop("draw")
 
 
 def taken(mixed: DataFrame) -> DataFrame:
@@ -236,7 +240,8 @@ def apply_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: floa
     """`docs` with every row repeated as often as `mix` takes it; rows taken 0 times go, and all columns stay.
 
     Rows are judged where they lie, against their source's goal and their length's limit, so texts are not shuffled
-    unless those tables outgrow Spark's limit for sending them.
+    unless those tables outgrow Spark's limit for sending them. Of rows of the same key, text and source, of which only some are
+    taken, those of the least hashes of the whole row are: how the rows lie does not matter.
     """
     names = docs.columns
     slim = saved(_rows(docs, seed, key, text, source), "mix-rows")
@@ -245,5 +250,5 @@ def apply_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: floa
     at = lambda c: F.col("_row").getField(c)
     rows = whole.select("_row", at(key).alias("key"), at(source).alias("source"), n_words(at(text)).alias("size"), F.xxhash64(F.coalesce(at(text), F.lit(""))).alias("text_key"))
     rows = rows.withColumn("draw", _draw(seed))
-    found = _copies(rows, goals, cuts).filter("copies > 0")
+    found = _copies(rows, goals, cuts, F.sha2(F.to_json("_row"), 256)).filter("copies > 0")
     return found.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")).select(*[at(c).alias(c) for c in names])

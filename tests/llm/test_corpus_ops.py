@@ -293,3 +293,15 @@ def test_pipeline_stages_decide(spark, sf_dir):
     assert copies_of == wanted
     final = corpus_pipeline.run(spark, sf_dir)
     assert final.count() == sum(wanted.values())
+
+
+def test_mixed_rows_do_not_depend_on_where_they_lie(spark):
+    # rows of one id, text and source that differ elsewhere, some of them twice: which ones are taken is told by the rows
+    docs = [(1, "a b c d e f g", f"l{k % 6}", "s", k % 6) for k in range(9)] + [(k, "w " * 3, "en", "t", 6) for k in range(20, 40)]
+    wide = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {tuple(sorted(map(str, mixing.apply_mix(wide.repartition(n)).collect()))) for n in (1, 3, 5)}
+    assert len(found) == 1
+    copies = defaultdict(int)
+    for r in mixing.mix(wide).collect():
+        copies[r.key] += r.copies
+    assert len(next(iter(found))) == sum(copies.values())
