@@ -13,7 +13,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarlake.llm.common import saved
@@ -164,10 +164,11 @@ def near_pairs(grouped: DataFrame) -> DataFrame:
         for w, n, size, before, after in rows:  # groups of one hash apart
             of[size, before, after, w[:before], w[len(w) - after :]][w[before : len(w) - after]] = (w, n)
         out = []
-        for free in of.values():
+        for (size, *_), free in of.items():
             for a, b in one_edit_pairs(list(free)) if len(free) > 1 else ():
                 (x, n), (y, m) = free[a], free[b]
-                out += [(x, y, m), (y, x, n)]
+                if min(len(x), len(y)) == size:  # two longer words meet in the class of their own length
+                    out += [(x, y, m), (y, x, n)]
         return out
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,6 +190,7 @@ def near_pairs(grouped: DataFrame) -> DataFrame:
         out += pairs(rows)
         if out:
             yield batch()
+        pa.default_memory_pool().release_unused()
 
     dealt = grouped.repartition("group").sortWithinPartitions("group").select("group", "word", "n", "size", "before", "after")
     return dealt.mapInArrow(each, "word string, near string, n long")
@@ -203,8 +205,9 @@ def variants(vocabulary: DataFrame, ratio: int = 5, most: int = MOST) -> DataFra
     """
     vocabulary = saved(vocabulary.filter("word is not null and word <> ''"), "variant-words")
     near = near_pairs(groups(vocabulary, most)).distinct()
-    best = F.max_by(F.struct("near", "n"), F.struct(F.col("n"), _reversed(F.col("near"))))
+    best = F.min(F.struct((-F.col("n")).alias("less"), "near"))
     near = saved(near.groupBy(F.col("word").alias("_w")).agg(F.count("*").alias("n_near"), best.alias("best")), "variant-near")
+    near = near.select("_w", "n_near", F.struct(F.col("best.near").alias("near"), (-F.col("best.less")).alias("n")).alias("best"))
     rows = vocabulary.join(near, F.col("word") == F.col("_w"), "left")
     counts = F.col("best.n") >= ratio * F.col("n")
     rows = saved(rows.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(counts, F.col("best.near")).alias("form"), F.when(counts, F.col("best.n")).alias("form_n")), "variant-forms")
@@ -219,7 +222,3 @@ def variants(vocabulary: DataFrame, ratio: int = 5, most: int = MOST) -> DataFra
     steps = steps.select(F.col("word").alias("_w"), "root")
     return rows.join(steps, F.col("word") == F.col("_w"), "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
-
-def _reversed(word: Column) -> Column:
-    """Orders words the other way round: each character's code point from above, and the end of a word above all."""
-    return F.concat(F.transform(F.split(word, ""), lambda c: -F.ascii(c)), F.array(F.lit(1)))
