@@ -138,3 +138,22 @@ def key_filter(keys: DataFrame, key: str, least_bits: int = 12, most_bits: int =
         words[r["word"]] = r["bits"]
     table = constant(words)
     return lambda k: F.getbit(F.get(table, F.shiftright(slot(k), 6).cast("int")), bit(k)) == 1
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is evaluated once, however often the body's own lambdas read it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(numbers: Column, combine: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """Of an array the combination of all elements up to each (a running sum or maximum), in log2(n) passes over it.
+
+    An aggregate that appends to an array copies it each time; here pass k combines each element with the one 2^k before.
+    """
+
+    def step(acc: Column, k: Column) -> Column:
+        by = F.pow(F.lit(2), k).cast("int")
+        return F.zip_with(acc, F.concat(F.array_repeat(zero, by), F.slice(acc, F.lit(1), F.size(acc) - by)), combine)
+
+    passes = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(numbers), F.lit(2)))).cast("int") - 1)
+    return F.when(F.size(numbers) > 1, F.aggregate(passes, numbers, step)).otherwise(numbers)

@@ -14,7 +14,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholarlake.llm.common import key_filter, saved
+from scholarlake.llm.common import key_filter, let, running, saved
 
 try:
     from re import _parser as _regex
@@ -163,17 +163,14 @@ def spans_of(text: Column, number: int, rule: Rule) -> Column:
     found = F.regexp_extract_all(text, whole, F.lit(1))
     counted = found if not rule.group else F.regexp_extract_all(text, whole, F.lit(rule.group + 1))
     pieces = F.split(text, rule.pattern, -1)
-    steps = F.arrays_zip(pieces.alias("piece"), found.alias("hit"), counted.alias("counted"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("spans"))
+    sizes = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), F.transform(found, F.length), lambda piece, hit: F.length(piece) + hit)
+    ends = running(sizes, lambda a, b: a + b, F.lit(0))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        span = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end")))
-        kept = F.when(F.length(x["counted"]) >= rule.least, F.concat(acc["spans"], span)).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), kept.alias("spans"))
+    def spans(x: Column) -> Column:
+        every = F.zip_with(F.zip_with(x["ends"], x["found"], lambda end, hit: F.struct((end - F.length(hit)).alias("start"), F.lit(number).alias("kind"), end.alias("end"))), x["counted"], lambda span, c: F.struct(span.alias("span"), (F.length(c) >= rule.least).alias("counts")))
+        return F.transform(F.filter(every, lambda y: y["counts"]), lambda y: y["span"])
 
-    return F.when(F.size(found) > 0, F.aggregate(steps, zero, step, lambda acc: acc["spans"]))
+    return F.when(F.size(found) > 0, let(F.struct(ends.alias("ends"), found.alias("found"), counted.alias("counted")), spans))
 
 
 def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -227,18 +224,26 @@ def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id
     )
 
 
+#: Characters of a block: a text is cut into blocks once, so that no place in it is counted from its beginning.
+BLOCK = 1000
+
+
 def redact(text: Column, spans: Column, mark: str = "<SECRET>") -> Column:
     """A whole text with its spans, in order, put as `mark`; where spans overlap, a later one counts from its end on."""
-    whole = F.coalesce(text, F.lit(""))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
+    blocks = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    reach = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(0))
+
+    def cut(x: Column) -> Column:
+        def between(low: Column, high: Column) -> Column:
+            first = F.floor(low / BLOCK).cast("int")
+            some = F.array_join(F.slice(x["blocks"], first + 1, F.floor(high / BLOCK).cast("int") - first + 1), "")
+            return F.substring(some, low - first * BLOCK + 1, high - low)
 
-    def step(acc: Column, x: Column) -> Column:
-        put = F.concat(acc["done"], F.substring(whole, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
-        at = F.greatest(acc["at"], x["end"])
-        return F.struct(at.alias("at"), F.when(x["start"] >= acc["at"], put).otherwise(acc["done"]).alias("done"))
+        before = F.concat(F.array(F.lit(0)), F.slice(x["reach"], F.lit(1), F.size(x["reach"]) - 1))
+        put = F.zip_with(spans, before, lambda s, at: F.when(s["start"] >= at, F.concat(between(at, s["start"]), F.lit(mark))))
+        return F.concat(F.array_join(put, ""), between(F.element_at(x["reach"], -1), F.size(x["blocks"]) * BLOCK))
 
-    cut = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["done"], F.substring(whole, acc["at"] + 1, F.length(whole))))
-    return F.when(F.size(spans) > 0, cut).otherwise(text)
+    return F.when(F.size(spans) > 0, let(F.struct(blocks.alias("blocks"), reach.alias("reach")), cut)).otherwise(text)
 
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -505,3 +505,32 @@ def test_next_document_over_many_ranges(spark):
     got = {r.doc_id: r.next_text for r in imatch.with_next(spark.createDataFrame(rows, "doc_id long, text string"), rows_per_part=2).collect()}
     order = sorted(rows)
     assert got == {a[0]: b[1] for a, b in zip(order, [*order[1:], order[0]], strict=True)}
+
+
+def test_many_matches_of_one_text(spark):
+    import time
+
+    texts = [" ".join(f"key{i:05d} = {i:032x}" for i in range(n)) for n in (1, 2, 3000, 16_000)]
+    docs = spark.createDataFrame([*enumerate(texts), (9, "é😀 " + "f" * 32 + "\n" + "AKIA" + "Q" * 12 + " token: 'abcdefgh' end")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.spans for r in secrets.find(docs).collect()}
+    for i, t in enumerate(texts):
+        assert [(s.start, s.end) for s in got[i]] == [m.span() for m in re.finditer("[0-9a-f]{32,}", t)]
+    put = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    for i, t in enumerate(texts):
+        assert put[i] == re.sub("[0-9a-f]{32,}", "<SECRET>", t)
+    assert put[9] == "é😀 <SECRET>\n<SECRET> <SECRET>' end"
+    assert time.time() - began < 60
+
+
+def test_redaction_over_blocks(spark):
+    rnd = random.Random(6)
+    for n in (999, 1000, 1001, 2500):
+        text = "".join(rnd.choice("abé日😀") for _ in range(n))
+        spans = sorted((a, 0, min(n, a + rnd.choice([1, 5, 700, 1500]))) for a in rnd.sample(range(n), 8))
+        want, at = "", 0
+        for a, _, b in spans:
+            want += text[at:a] + "<SECRET>" if a >= at else ""
+            at = max(at, b)
+        row = spark.createDataFrame([(text, spans)], "text string, spans array<struct<start:int,kind:int,end:int>>")
+        assert row.select(secrets.redact(row.text, row.spans)).first()[0] == want + text[at:]
