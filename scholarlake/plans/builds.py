@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from scholarlake.operators import retrieval as R
 from scholarlake.operators import rules as RL
 from scholarlake.plans.registry import query
-from scholarlake.plans.retrieval import _BM25, _bm25
 from scholarlake.sources import harvest as H
 from scholarlake.sources.tables import EVENTS_SQL, PAPERS_SQL, events, papers, table
 
@@ -66,14 +65,6 @@ def c13_build_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("paper", "active", F.greatest(F.col("g") - 1, F.lit(0)).cast("long").alias("retired"), "unfinished")
 
 
-@query("SELECT l_orderkey AS chunk, 'supplier' AS lookup, CAST(l_suppkey AS VARCHAR) AS key FROM lineitem UNION SELECT l_orderkey, 'part', CAST(l_partkey AS VARCHAR) FROM lineitem UNION SELECT l_orderkey, 'flag', l_returnflag FROM lineitem")
-def c10_lookup_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    entry = lambda name, c: F.struct(F.lit(name).alias("lookup"), F.col(c).cast("string").alias("key"))
-    rows = li.select(F.col("l_orderkey").alias("chunk"), F.explode(F.array(entry("supplier", "l_suppkey"), entry("part", "l_partkey"), entry("flag", "l_returnflag"))).alias("e"))
-    return rows.select("chunk", "e.lookup", "e.key").distinct()
-
-
 @query(f"WITH {EVENTS_SQL} SELECT user_id, k, min(event_id) AS event_id, arg_max(event_type, epoch * 10000000 + event_id) AS event_type, bool_or(true) AS profile_dirty FROM ev GROUP BY 1, 2")
 def p7_event_upsert_keeps_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy("user_id", "k").agg(F.min("event_id").alias("event_id"), F.max_by("event_type", F.struct("epoch", "event_id")).alias("event_type")).withColumn("profile_dirty", F.lit(True))
@@ -121,13 +112,6 @@ def w15_best_evidence_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case_id"), F.col("l_suppkey").alias("id")).agg(F.min("l_linenumber").cast("long").alias("rank"))
 
 
-@query(f"WITH {_BM25}, m AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) SELECT query_id, doc_id, rank FROM m WHERE rank <= 6")
-def r7_memory_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    memory = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    hits = _bm25(spark, sf_dir).join(memory, "doc_id", "left_semi").withColumn("score", F.round("score", 6))
-    return R.ranked(hits, ["query_id"], F.desc("score"), F.asc("doc_id"), n=6).select("query_id", "doc_id", "rank")
-
-
 _POLICY_SQL = "pol(policy, anchor_ratio, actions, section_limit, per_anchor_limit, summary_only) AS (VALUES " + ", ".join(f"('{k}', {p[0]}, '{','.join(p[1])}', {p[4]}, {p[7]}, {p[8]})" for k, p in RL.POLICIES.items()) + ")"
 _ASKED_INTENTS = (*RL.POLICIES, "contribution", "other")
 

@@ -79,15 +79,6 @@ def j8_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select(F.col("o_orderkey").alias("run"), "continuation").unionByName(open_)
 
 
-@query("""WITH k AS (SELECT doc_id, 0 AS p, 'id' AS how FROM documents WHERE source = 'src7' UNION ALL SELECT doc_id, 1, 'source' FROM documents WHERE source = 'src5' UNION ALL SELECT doc_id, 2, 'lang' FROM documents WHERE lang = 'es')
-SELECT doc_id, arg_min(how, p) AS matched_by FROM k GROUP BY doc_id""")
-def j13_fallback_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    tries = {"id": F.col("source") == "src7", "source": F.col("source") == "src5", "lang": F.col("lang") == "es"}
-    how = F.coalesce(*[F.when(test, name) for name, test in tries.items()])
-    return d.select("doc_id", how.alias("matched_by")).filter("matched_by is not null")
-
-
 @query("""WITH s AS (SELECT vec_id AS id, 'vector' AS src, 0 AS p FROM embeddings UNION ALL SELECT doc_id, 'recent', 1 FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 'labelled', 2 FROM labels)
 SELECT src, count(*) AS n FROM (SELECT id, arg_min(src, p) AS src FROM s GROUP BY id) GROUP BY src""")
 def j14_source_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
