@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholarlake.operators.budgets import admitted
 from scholarlake.plans.registry import query
-from scholarlake.sources.tables import EVENTS_SQL
+from scholarlake.sources.tables import EVENTS_SQL, events
 from scholarlake.streaming import incremental as I  # noqa: E741
 
 
@@ -27,6 +28,18 @@ def t4_stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.drained(I.rate_limited(I.event_stream(spark, sf_dir), 2, 3600))
 
 
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests against four rules: two of a user, one of an address, one of a kind of request."""
+    rules = [("user", "user_id", 3, 86_400), ("user", "user_id", 2, 3600), ("address", "k", 40, 86_400), ("kind", "event_type", 60, 86_400)]
+    rows = events(spark, sf_dir).select(F.col("event_id").alias("request"), "epoch", F.explode(F.array(*[F.struct(F.lit(a).alias("label"), F.col(c).cast("string").alias("identifier"), F.lit(n).alias("amount"), F.lit(t).alias("seconds")) for a, c, n, t in rules])).alias("b"))
+    return rows.select("request", "epoch", "b.*").filter("identifier is not null")
+
+
+@query()
+def t4_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return admitted(_requests(spark, sf_dir))
+
+
 @query()
 def t3_stream_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.drained(I.leases(I.event_stream(spark, sf_dir), 7200))
