@@ -242,18 +242,6 @@ def p12_profile_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.review(P.topic_scores(_signals(spark, sf_dir)))
 
 
-@query(f"WITH {EVENTS_SQL} SELECT user_id, count(*) FILTER (event_type = 'error') AS disliked, CASE WHEN count(*) FILTER (event_type = 'error') >= 6 THEN 'cluster' WHEN count(*) FILTER (event_type = 'error') >= 1 THEN 'example' ELSE 'none' END AS mode FROM ev GROUP BY user_id")
-def p6_negative_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.count(F.when(F.col("event_type") == "error", 1))
-    return events(spark, sf_dir).groupBy("user_id").agg(n.alias("disliked")).withColumn("mode", F.when(F.col("disliked") >= 6, "cluster").when(F.col("disliked") >= 1, "example").otherwise("none"))
-
-
-@query(f"WITH {EVENTS_SQL} SELECT user_id, max(epoch) AS newest, count(*) AS n, CASE WHEN count(*) FILTER (event_type = 'purchase') >= 3 THEN 'cluster' ELSE 'mean' END AS mode, max(epoch) < 1706745600 - 3 * 86400 AS stale FROM ev GROUP BY user_id")
-def p5_vector_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = events(spark, sf_dir).groupBy("user_id").agg(F.max("epoch").alias("newest"), F.count("*").alias("n"), F.count(F.when(F.col("event_type") == "purchase", 1)).alias("p"))
-    return g.select("user_id", "newest", "n", F.when(F.col("p") >= 3, "cluster").otherwise("mean").alias("mode"), (F.col("newest") < 1706745600 - 3 * 86400).alias("stale"))
-
-
 @query(f"WITH {EVENTS_SQL} SELECT user_id, k AS paper, event_type AS action, max(epoch) AS latest, min(event_id) AS first_event FROM ev GROUP BY 1, 2, 3")
 def p9_paper_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy("user_id", F.col("k").alias("paper"), F.col("event_type").alias("action")).agg(F.max("epoch").alias("latest"), F.min("event_id").alias("first_event"))
