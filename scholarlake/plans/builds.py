@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from scholarlake.operators import retrieval as R
 from scholarlake.operators import rules as RL
 from scholarlake.plans.registry import query
 from scholarlake.sources import harvest as H
+from scholarlake.sources import published as P
+from scholarlake.sources import rebuild as B
 from scholarlake.sources.tables import EVENTS_SQL, PAPERS_SQL, events, papers, table
 
 
@@ -34,8 +38,11 @@ def s2_harvest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(count(*) AS BIGINT) AS n, min(doc_id) AS first, max(doc_id) AS last FROM documents")
 def s9_batched_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = H.rebuilt_in_batches(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 100).groupBy("batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    return b.agg(F.sum("n").cast("long").alias("n"), F.min("a").alias("first"), F.max("b").alias("last"))
+    name = f"rebuild-{uuid.uuid4().hex}"
+    log = P.Log(spark, f"{P.shared_dir(spark)}/published", name)
+    ids = table(spark, sf_dir, "documents").select("doc_id")
+    B.rebuild(ids, "doc_id", log, lambda batch, i: batch.write.mode("overwrite").parquet(f"{log.root}/rows/batch={i}"), "query", size=max(1000, -(-ids.count() // 8)))
+    return spark.read.schema("doc_id long, batch int").parquet(f"{log.root}/rows").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 
 @query("SELECT collection, file, CAST(floor(coalesce(sum(n) OVER (PARTITION BY collection ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 200) AS BIGINT) AS grp FROM (SELECT o_orderstatus AS collection, o_custkey AS file, count(*) AS n FROM orders GROUP BY 1, 2)")

@@ -36,13 +36,6 @@ def normal_id(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(raw), r"^(oai:[^:]+:|https?://[^/]+/(abs|pdf)/)", ""), r"v\d+$", "")
 
 
-def rebuilt_in_batches(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """Rows with the number of their batch of about `size` keys, from the keys' own distribution: a rebuild can stop and go on at a batch."""
-    n = max(1, rows.count() // size)
-    cuts = rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000).alias("c")).first()["c"] if n > 1 else []
-    return rows.withColumn("batch", F.lit(0) if not cuts else F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key))))
-
-
 def compaction_plan(files: DataFrame, most_rows: int) -> DataFrame:
     """(collection, file, grp): small files put together, in order, up to a number of rows each group.
 

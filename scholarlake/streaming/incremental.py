@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from scholarlake.sources.published import shared_dir
+
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
     """The event table as a stream; its timestamps have no zone, so they are read as UTC before a watermark."""
@@ -26,13 +28,7 @@ def event_stream(spark: SparkSession, folder: str, name: str = "events") -> Data
 
 def checkpoints(spark: SparkSession) -> str:
     """A folder for a stream's checkpoint below spark.checkpoint.dir; where that is unset, a local session gets a temporary one and a cluster has to name it."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="scholarlake-stream-")
+    base = shared_dir(spark)
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
