@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scholarlake.operators import assets as A
 from scholarlake.operators import stores as S
 from scholarlake.plans.registry import query
 from scholarlake.sources.tables import EVENTS_SQL, PAPERS_SQL, events, papers, table
@@ -87,28 +88,30 @@ def j14_source_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("id").agg(F.min_by("src", "p").alias("src")).groupBy("src").agg(F.count("*").alias("n"))
 
 
-@query("""WITH a AS (SELECT l_orderkey AS doc, l_linenumber AS asset, CAST(day(l_shipdate) AS BIGINT) AS page, l_linenumber AS ord FROM lineitem),
-s AS (SELECT l_orderkey AS doc, l_linenumber AS section, l_partkey % 28 + 1 AS first_page, l_partkey % 28 + 1 + l_linenumber AS last_page FROM lineitem)
-SELECT doc, asset, section, tier FROM (SELECT a.doc, asset, section, CASE WHEN page BETWEEN first_page AND last_page THEN 0 WHEN last_page < page THEN 1 ELSE 2 END AS tier,
-  row_number() OVER (PARTITION BY a.doc, asset ORDER BY CASE WHEN page BETWEEN first_page AND last_page THEN 0 WHEN last_page < page THEN 1 ELSE 2 END,
-    CASE WHEN page BETWEEN first_page AND last_page THEN 0 WHEN last_page < page THEN page - last_page ELSE first_page - page END, abs(ord - section), section) AS k FROM a JOIN s USING (doc)) WHERE k = 1""")
+#: Documents as sections of papers, twenty each, that mention a label now and then; orders as assets of them.
+_SECTIONS = r"""se AS (SELECT doc_id // 20 AS paper, doc_id % 20 AS section, doc_id % 20 * 3 + doc_id % 3 AS first_page, doc_id % 20 * 3 + doc_id % 3 + least(n_chars // 3000, 4) AS last_page, doc_id % 20 * 10 AS heading_order,
+  text || CASE doc_id % 4 WHEN 0 THEN ' See TABLE ' || (doc_id // 4 % 12) || '.' WHEN 1 THEN ' As fig. ' || (doc_id // 4 % 12) || ' shows' ELSE '' END AS text FROM documents),
+ast AS (SELECT o_orderkey AS asset, o_orderkey % 50 AS paper, o_orderkey % 2 = 0 AS is_table, o_custkey % 75 AS page, o_orderkey % 230 AS ord, CASE WHEN o_custkey % 3 > 0 THEN CAST(o_custkey % 29 AS VARCHAR) END AS label FROM orders),
+me AS (SELECT DISTINCT paper, section, true AS is_table, unnest(regexp_extract_all(lower(text), '(?:^|[^a-z])(?:table|tab\.?)\s*([0-9]+)(?:[^0-9a-z]|$)', 1)) AS label FROM se UNION ALL SELECT DISTINCT paper, section, false, unnest(regexp_extract_all(lower(text), '(?:^|[^a-z])(?:figure|fig\.?)\s*([0-9]+)(?:[^0-9a-z]|$)', 1)) FROM se),
+na AS (SELECT asset, paper, any_value(page) AS page, min(section) AS section, count(DISTINCT section) AS n FROM ast JOIN me USING (paper, is_table, label) GROUP BY 1, 2),
+nr AS (SELECT asset, section, 'caption_reference' AS relation, CASE WHEN page <= 0 OR page BETWEEN first_page AND last_page THEN 0 WHEN last_page < page THEN page - last_page ELSE first_page - page END AS gap, 0 AS far, n FROM na JOIN se USING (paper, section)),
+pr AS (SELECT asset, section, CASE WHEN page BETWEEN first_page AND last_page THEN 'inside' WHEN last_page < page THEN 'before' ELSE 'after' END AS relation, CASE WHEN page BETWEEN first_page AND last_page THEN page - first_page WHEN last_page < page THEN page - last_page ELSE first_page - page END AS gap, abs(ord - heading_order) AS far, 0 AS n
+  FROM ast JOIN se USING (paper) WHERE asset NOT IN (SELECT asset FROM na) QUALIFY row_number() OVER (PARTITION BY asset ORDER BY CASE WHEN page BETWEEN first_page AND last_page THEN 0 WHEN last_page < page THEN 1 ELSE 2 END, gap, far, section) = 1),
+cf AS (SELECT asset, section, relation, gap, round(CASE WHEN relation = 'caption_reference' THEN greatest(0.75, least(0.98, 0.94 - least(0.12, gap * 0.02) - CASE WHEN n > 1 THEN 0.02 ELSE 0 END))
+  ELSE greatest(0, least(0.95, CASE WHEN relation = 'inside' AND gap = 0 THEN 0.76 WHEN relation = 'inside' THEN 0.70 WHEN relation = 'before' THEN CASE WHEN gap <= 1 THEN 0.58 ELSE 0.42 END WHEN gap <= 1 THEN 0.42 ELSE 0.28 END - least(0.18, far * 0.003))) END, 3) AS c FROM (SELECT * FROM nr UNION ALL SELECT * FROM pr))"""
+
+
+@query(f"WITH {_SECTIONS} SELECT asset, CAST(section AS BIGINT) AS section, relation, CAST(gap AS BIGINT) AS page_gap, CAST(c AS DOUBLE) AS confidence, CAST(c AS DOUBLE) >= 0.7 AS embeds FROM cf")
 def j15_asset_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    a = li.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("asset"), F.dayofmonth("l_shipdate").cast("long").alias("page"))
-    s = li.select(F.col("l_orderkey").alias("_d"), F.col("l_linenumber").alias("section"), (F.col("l_partkey") % 28 + 1).alias("first_page"))
-    # the sections of a document as one array beside each asset: no row per pair
-    s = s.groupBy("_d").agg(F.collect_list(F.struct("first_page", (F.col("first_page") + F.col("section")).alias("last_page"), "section")).alias("sections"))
-    page = F.col("page")
-
-    def judged(x):
-        inside, before = page.between(x["first_page"], x["last_page"]), x["last_page"] < page
-        tier = F.when(inside, 0).when(before, 1).otherwise(2)
-        gap = F.when(inside, 0).when(before, page - x["last_page"]).otherwise(x["first_page"] - page)
-        return F.struct(tier.alias("tier"), gap.alias("gap"), F.abs(F.col("asset") - x["section"]).alias("far"), x["section"].alias("section"))
-
-    best = a.join(s, F.col("doc") == F.col("_d")).select("doc", "asset", F.array_min(F.transform("sections", judged)).alias("b"))
-    best = best.groupBy("doc", "asset").agg(F.min("b").alias("b"))  # an asset may have several pages
-    return best.select("doc", "asset", F.col("b.section").alias("section"), F.col("b.tier").alias("tier"))
+    i, n = F.col("doc_id"), F.floor(F.col("doc_id") / 4) % 12
+    first = i % 20 * 3 + i % 3
+    mention = F.when(i % 4 == 0, F.concat(F.lit(" See TABLE "), n.cast("string"), F.lit("."))).when(i % 4 == 1, F.concat(F.lit(" As fig. "), n.cast("string"), F.lit(" shows"))).otherwise("")
+    sections = table(spark, sf_dir, "documents").select(F.floor(i / 20).alias("paper"), (i % 20).alias("section"), first.alias("first_page"), (first + F.least(F.floor(F.col("n_chars") / 3000), F.lit(4))).alias("last_page"), (i % 20 * 10).alias("heading_order"), F.concat("text", mention).alias("text"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    name = F.when(k % 2 == 0, "Table").otherwise("Figure")
+    caption = F.when(c % 3 > 0, F.concat(name, F.lit(" "), (c % 29).cast("string"), F.lit(": what it shows"))).otherwise("without a number")
+    assets = table(spark, sf_dir, "orders").select(k.alias("asset"), (k % 50).alias("paper"), F.when(k % 2 == 0, "table").otherwise("picture").alias("kind"), caption.alias("caption"), (c % 75).alias("page"), (k % 230).alias("order"))
+    return A.sections_of(assets, sections)
 
 
 # aggregates
