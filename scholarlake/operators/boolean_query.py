@@ -7,12 +7,13 @@ tighter than AND: a AND b OR c is a AND (b OR c). Quotes and parentheses protect
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholarlake.functions.stem import let
 from scholarlake.functions.text import folded, has_words, query_tokens
 
 FIELDS = {"ti": "title", "title": "title", "abs": "abstract", "abstract": "abstract", "au": "author", "author": "author", "authors": "author", "cat": "category", "category": "category", "all": "all", "id": "id"}
@@ -133,12 +134,33 @@ class Columns:
     date: Column
 
 
-def columns_of(papers: DataFrame) -> Columns:
-    """How to ask papers; all is title, authors and abstract. A table without authors has none."""
+def asked(n: Node) -> frozenset[str]:
+    """The text fields that a query asks."""
+    if n.parts:
+        return frozenset().union(*map(asked, n.parts))
+    return frozenset({n.field}) if n.kind == "text" else frozenset()
+
+
+def on_papers(papers: DataFrame, fields: frozenset[str], body: Callable[[Columns], Column]) -> Column:
+    """`body` of how to ask papers, in which each of these fields is folded once a row, however many clauses ask it.
+
+    All is title, authors and abstract. A table without authors has none.
+    """
     names = F.array_join("authors", ", ") if "authors" in papers.columns else F.lit("")
-    both = F.concat_ws("\n", "title", names, "abstract")
-    texts = {"title": F.col("title"), "abstract": F.col("abstract"), "author": names, "category": F.array_join("categories", ", "), "all": both}
-    return Columns({k: folded(v) for k, v in texts.items()}, F.col("categories"), F.col("paper_id").cast("string"), F.col("created"))
+    raw = {"title": F.col("title"), "abstract": F.col("abstract"), "author": names, "category": F.array_join("categories", ", ")}
+    parts = ("title", "author", "abstract")
+    single = [f for f in raw if f in fields or ("all" in fields and f in parts)]
+
+    def bound(*texts: Column) -> Column:
+        of = dict(zip(single, texts, strict=True))
+        if "all" not in fields:
+            return body(Columns(of, F.col("categories"), F.col("paper_id").cast("string"), F.col("created")))
+        return let(F.concat_ws("\n", *[of[f] for f in parts]), lambda every: body(Columns(of | {"all": every}, F.col("categories"), F.col("paper_id").cast("string"), F.col("created"))))
+
+    def bind(done: list[Column], left: list[str]) -> Column:
+        return let(folded(raw[left[0]]), lambda x: bind([*done, x], left[1:])) if left else bound(*done)
+
+    return bind([], single)
 
 
 def compile_query(n: Node, c: Columns) -> Column:
@@ -172,7 +194,12 @@ def relevance(n: Node, c: Columns) -> Column:
     hit = lambda f: compile_query(Node("text", field=f, value=n.value, phrase=n.phrase), c)
     if n.field != "all":
         return F.when(hit(n.field), 10).otherwise(0)
-    return sum((F.when(hit(f), w).otherwise(0) for f, w in WEIGHTS.items() if f in c.texts), F.lit(0))
+    return sum((F.when(hit(f), w).otherwise(0) for f, w in WEIGHTS.items()), F.lit(0))
+
+
+def scored_fields(n: Node) -> frozenset[str]:
+    """The text fields that the relevance of a hit asks: a word of no field is scored by all of them."""
+    return frozenset().union(*(WEIGHTS.keys() if f == "all" else (f,) for f in asked(n)))
 
 
 def search(papers: DataFrame, query: str, sort: str = "date", start: int = 0, n: int = 10) -> DataFrame:
@@ -181,29 +208,32 @@ def search(papers: DataFrame, query: str, sort: str = "date", start: int = 0, n:
     By relevance the newest POOL hits are scored, or as many as the page needs.
     """
     ast = checked(query, sort, start, n)
-    c = columns_of(papers)
-    hits = papers.filter(compile_query(ast, c)).select("paper_id", "created", relevance(ast, c).cast("long").alias("score"))
-    # one count beside the page: both come from the same filtered scan
-    total = hits.agg(F.count("*").alias("total"))
+    hits = papers.filter(on_papers(papers, asked(ast), lambda c: compile_query(ast, c)))
+    score = on_papers(papers, scored_fields(ast), lambda c: relevance(ast, c).cast("long")).alias("score")
     newest = [F.desc("created"), F.desc("paper_id")]
+    # texts of the rows of a page only are scored
     if sort == "date":
-        page = hits.orderBy(*newest).offset(start).limit(n)
+        page = hits.orderBy(*newest).offset(start).limit(n).select("paper_id", "created", score)
     else:
-        page = hits.orderBy(*newest).limit(max(POOL, start + n)).orderBy(F.desc("score"), *newest).offset(start).limit(n)
+        page = hits.orderBy(*newest).limit(max(POOL, start + n)).select("paper_id", "created", score).orderBy(F.desc("score"), *newest).offset(start).limit(n)
+    # the total is one row; it is counted by a scan of its own, of the fields that the query asks
+    total = hits.agg(F.count("*").alias("total"))
     return page.withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
 def count_many(papers: DataFrame, queries: dict[str, str]) -> DataFrame:
     """(name, n): hits of many queries in one scan."""
-    c = columns_of(papers)
-    counts = papers.agg(*[F.sum(F.when(compile_query(parse(q), c), 1).otherwise(0)).cast("long").alias(name) for name, q in queries.items()])
+    asts = {name: parse(q) for name, q in queries.items()}
+    hit = on_papers(papers, frozenset().union(*map(asked, asts.values())), lambda c: F.struct(*[F.when(compile_query(a, c), 1).otherwise(0).alias(f"q{i}") for i, a in enumerate(asts.values())]))
+    rows = papers.select(F.explode(F.array(hit)).alias("_h"))
+    counts = rows.agg(*[F.sum(f"_h.q{i}").cast("long").alias(name) for i, name in enumerate(asts)])
     return counts.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, queries)), F.array(*[F.coalesce(F.col(f"`{q}`"), F.lit(0).cast("long")) for q in queries]))).alias("name", "n"))
 
 
 def first_level(papers: DataFrame, levels: list[str]) -> DataFrame:
     """Hits of the first query of a ladder, from strict to loose, that has any: (paper_id, level)."""
-    c = columns_of(papers)
-    level = F.coalesce(*[F.when(compile_query(parse(q), c), F.lit(i)) for i, q in enumerate(levels)])
+    asts = [parse(q) for q in levels]
+    level = on_papers(papers, frozenset().union(*map(asked, asts)), lambda c: F.coalesce(*[F.when(compile_query(a, c), F.lit(i)) for i, a in enumerate(asts)]))
     hits = papers.select("paper_id", level.cast("long").alias("level")).filter("level is not null")
     least = hits.agg(F.min("level").alias("least"))  # one row
     return hits.join(F.broadcast(least), F.col("level") == F.col("least")).select("paper_id", "level")
