@@ -30,27 +30,6 @@ def multi_index(docs: DataFrame, most: int) -> DataFrame:
     return rows.select("doc_id", "kind", (F.col("_p") + 1).cast("long").alias("ordinal"))
 
 
-def relations(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(paper, anchor, ord, kind, a_score, relation, distance): the chunks around each anchor, a row per relation.
-
-    One join by paper serves all relations: which ones hold is an array of each pair, exploded.
-    """
-    both = anchors.join(chunks, "paper")
-    steps, pages = F.abs(F.col("ord") - F.col("anchor")), F.abs(F.col("page") - F.col("a_page"))
-    other = F.col("ord") != F.col("anchor")
-    rule = lambda test, name, d: F.when(test, F.struct(F.lit(name).alias("relation"), d.cast("long").alias("distance")))
-    found = F.array_compact(
-        F.array(
-            rule(~other, "self", F.lit(0)),
-            rule(other & (F.col("parent") == F.col("a_parent")) & (steps <= 2), "sibling", steps),
-            rule(other & (F.col("section") == F.col("a_section")) & (steps <= 3), "section_neighbors", steps),
-            rule(other & (pages <= 1), "page_neighbors", pages),
-            rule(other & (F.col("kind") == "table") & (pages == 0), "asset_related", steps),
-        )
-    )
-    return both.select("paper", "anchor", "ord", "kind", "a_score", F.explode(found).alias("r")).select("paper", "anchor", "ord", "kind", "a_score", "r.relation", "r.distance")
-
-
 def parent_path(section: Column) -> Column:
     """A section path without its last level; empty at the top."""
     return F.trim(F.regexp_extract(section, r"^(.*)[/>\\\\][^/>\\\\]*$", 1))

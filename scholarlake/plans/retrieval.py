@@ -349,30 +349,6 @@ def c11_one_row_per_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # context expansion: lines of an order are chunks of a paper, shipmodes its sections, part keys its pages
 
-_CHUNKS = "ch AS (SELECT l_orderkey AS paper, l_linenumber AS ord, 'm' || CAST(l_partkey % 7 AS VARCHAR) AS section, CAST(l_partkey % 6 AS BIGINT) AS page, CAST(l_suppkey % 3 AS BIGINT) AS parent, CASE WHEN l_returnflag = 'R' THEN 'table' ELSE 'body' END AS kind FROM lineitem), an AS (SELECT paper, ord AS anchor, section AS a_section, page AS a_page, parent AS a_parent, 0.3 + 0.1 * ord AS a_score FROM ch WHERE ord <= 2)"
-_CANDS = f"""{_CHUNKS}, cd AS (SELECT * FROM (
-  SELECT paper, anchor, ord, kind, a_score, 'self' AS relation, 0 AS distance FROM an JOIN ch USING (paper) WHERE ord = anchor
-  UNION ALL SELECT paper, anchor, ord, kind, a_score, 'sibling', abs(ord - anchor) FROM an JOIN ch USING (paper) WHERE parent = a_parent AND ord <> anchor AND abs(ord - anchor) <= 2
-  UNION ALL SELECT paper, anchor, ord, kind, a_score, 'section_neighbors', abs(ord - anchor) FROM an JOIN ch USING (paper) WHERE section = a_section AND ord <> anchor AND abs(ord - anchor) <= 3
-  UNION ALL SELECT paper, anchor, ord, kind, a_score, 'page_neighbors', abs(page - a_page) FROM an JOIN ch USING (paper) WHERE ord <> anchor AND abs(page - a_page) <= 1
-  UNION ALL SELECT paper, anchor, ord, kind, a_score, 'asset_related', abs(ord - anchor) FROM an JOIN ch USING (paper) WHERE kind = 'table' AND ord <> anchor AND page = a_page)),
-sc AS (SELECT *, round(greatest(0, least(1, a_score) * 0.55 + CASE relation WHEN 'self' THEN 0.35 WHEN 'asset_related' THEN 0.26 WHEN 'sibling' THEN 0.21 WHEN 'section_neighbors' THEN 0.18 ELSE 0.13 END - least(distance * 0.05, 0.25) + CASE kind WHEN 'table' THEN 0.12 ELSE 0 END + CASE WHEN ord % 2 = 0 THEN 0.10 ELSE 0 END + CASE relation WHEN 'self' THEN 0.12 ELSE 0 END), 6) AS score FROM cd)"""
-
-
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    ch = li.select(F.col("l_orderkey").alias("paper"), F.col("l_linenumber").alias("ord"), F.concat(F.lit("m"), (F.col("l_partkey") % 7).cast("string")).alias("section"), (F.col("l_partkey") % 6).alias("page"), (F.col("l_suppkey") % 3).alias("parent"), F.when(F.col("l_returnflag") == "R", "table").otherwise("body").alias("kind"))
-    an = ch.filter("ord <= 2").select("paper", F.col("ord").alias("anchor"), F.col("section").alias("a_section"), F.col("page").alias("a_page"), F.col("parent").alias("a_parent"), (0.3 + 0.1 * F.col("ord")).alias("a_score"))
-    rows = C.relations(an, ch)
-    bonus = F.when(F.col("kind") == "table", 0.12).otherwise(0.0)
-    return rows.withColumn("score", R.expansion_score(F.col("a_score"), F.col("relation"), F.col("distance"), bonus, F.col("ord") % 2 == 0))
-
-
-@query(f"WITH {_CANDS} SELECT paper, anchor, ord, relation, CAST(distance AS BIGINT) AS distance, CAST(score AS DOUBLE) AS score FROM sc")
-def x1_x9_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir).select("paper", "anchor", "ord", "relation", F.col("distance").cast("long").alias("distance"), "score")
-
-
 _AROUND = {"sibling_window": 1, "section_window": 2, "section_limit": 3, "page_window": 1, "page_limit": 4, "asset_limit": 2}
 _PATHS = """pc AS (SELECT l_orderkey AS paper, l_linenumber AS ord, 'S' || CAST(l_partkey % 3 AS VARCHAR) || CASE WHEN l_suppkey % 2 = 0 THEN ' > T' || CAST(l_partkey % 2 AS VARCHAR) ELSE '' END AS section, CAST(l_partkey % 6 AS BIGINT) AS page, CAST(l_suppkey % 3 AS BIGINT) AS parent,
   CASE WHEN l_returnflag = 'R' THEN 'table' ELSE 'body' END AS kind, 'table ' || CAST(l_partkey % 4 AS VARCHAR) AS label, l_partkey % 3 = 0 AS is_anchor, CASE WHEN l_linenumber % 2 = 1 THEN 'table ' || CAST(l_suppkey % 4 AS VARCHAR) END AS cites FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_returnflag) = 1)),
@@ -387,15 +363,36 @@ pr AS (SELECT paper, anchor, ord, 'self' AS relation, 0 AS distance, 1 AS n FROM
   UNION ALL SELECT paper, anchor, ord, 'cited_asset_context', far, row_number() OVER (PARTITION BY paper, anchor ORDER BY ord) + 1 FROM pp WHERE kind = 'table' AND label = cites)"""
 
 
-@query(f"WITH {_PATHS} SELECT paper, anchor, ord, relation, CAST(distance AS BIGINT) AS distance FROM pr WHERE n <= 3")
-def x2_x8_policy_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _around(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(chunks, relations): what the policy adds to each anchor."""
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag")).alias("r"))
     part, supp = F.col("r.l_partkey"), F.col("r.l_suppkey")
     section = F.concat(F.lit("S"), (part % 3).cast("string"), F.when(supp % 2 == 0, F.concat(F.lit(" > T"), (part % 2).cast("string"))).otherwise(""))
     table_of = lambda n: F.concat(F.lit("table "), (n % 4).cast("string"))
     chunks = li.select(F.col("l_orderkey").alias("paper"), F.col("l_linenumber").alias("ord"), section.alias("section"), (part % 6).alias("page"), (supp % 3).alias("parent"), F.when(F.col("r.l_returnflag") == "R", "table").otherwise("body").alias("kind"), table_of(part).alias("label"))
     anchors = li.filter(part % 3 == 0).select(F.col("l_orderkey").alias("paper"), F.col("l_linenumber").alias("anchor"), F.array_compact(F.array(F.when(F.col("l_linenumber") % 2 == 1, table_of(supp)))).alias("cites"))
-    return C.around(anchors, chunks, _AROUND)
+    return chunks, C.around(anchors, chunks, _AROUND)
+
+
+@query(f"WITH {_PATHS} SELECT paper, anchor, ord, relation, CAST(distance AS BIGINT) AS distance FROM pr WHERE n <= 3")
+def x2_x8_policy_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _around(spark, sf_dir)[1]
+
+
+_CANDS = f"""{_PATHS}, sc AS (SELECT paper, anchor, ord, kind, relation, distance, round(greatest(0, least(1, 0.3 + 0.1 * anchor) * 0.55 + CASE relation {" ".join(f"WHEN '{k}' THEN {v}" for k, v in R.RELATION.items())} ELSE 0.10 END
+  - least(distance * 0.05, 0.25) + CASE kind WHEN 'table' THEN 0.12 ELSE 0 END + CASE WHEN ord % 2 = 0 THEN 0.10 ELSE 0 END + CASE relation WHEN 'self' THEN 0.12 ELSE 0 END), 6) AS score FROM pr JOIN (SELECT paper, ord, kind FROM pc) USING (paper, ord) WHERE n <= 3)"""
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks, found = _around(spark, sf_dir)
+    rows = found.join(chunks.select("paper", "ord", "kind"), ["paper", "ord"])
+    bonus = F.when(F.col("kind") == "table", 0.12).otherwise(0.0)
+    return rows.withColumn("score", R.expansion_score(0.3 + 0.1 * F.col("anchor"), F.col("relation"), F.col("distance"), bonus, F.col("ord") % 2 == 0))
+
+
+@query(f"WITH {_CANDS} SELECT paper, anchor, ord, relation, CAST(distance AS BIGINT) AS distance, CAST(score AS DOUBLE) AS score FROM sc")
+def x1_x9_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir).select("paper", "anchor", "ord", "relation", F.col("distance").cast("long").alias("distance"), "score")
 
 
 @query(f"WITH {_CANDS} SELECT paper, ord, CAST(round(max(score) + least(0.24, 0.08 * (count(DISTINCT anchor) - 1)), 6) AS DOUBLE) AS score, count(DISTINCT anchor) AS n_anchors, string_agg(DISTINCT relation, ',' ORDER BY relation) AS relations FROM sc GROUP BY 1, 2")
