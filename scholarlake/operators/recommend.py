@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,26 +32,31 @@ def normalised(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
 
 
-def best_match(candidates: DataFrame, centroids: DataFrame, key: str, vector: str, name: str) -> DataFrame:
-    """(key, name_cluster, name_similarity): the centroid most like each candidate.
+#: Centroids that are sent to all tasks at once; more are dealt in parts.
+MOST_CENTROIDS = 4096
 
-    `centroids` (cluster, mean) are a user's clusters: few, and checked to be few before they are sent to all.
-    """
-    n = centroids.count()
-    if n > 4096:
-        raise ValueError(f"{n} centroids are too many to send to all tasks")
+
+def _against(vectors: DataFrame, centroids: DataFrame, pick: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `pick` keeps of vectors beside centroids (cluster, mean, _cn), one part of the counted centroids after the other."""
     sent = centroids.select("cluster", "mean", norm(F.col("mean")).alias("_cn"), F.lit(1).alias("_one"))
-    rows = candidates.withColumn("_one", F.lit(1)).join(F.broadcast(sent), "_one")
+    parts = max(1, -(-sent.count() // MOST_CENTROIDS))
+    rows = vectors.withColumn("_one", F.lit(1))
+    place = F.pmod(F.xxhash64("cluster"), F.lit(parts))
+    return reduce(DataFrame.unionByName, [pick(rows.join(F.broadcast(sent if parts == 1 else sent.filter(place == i)), "_one")) for i in range(parts)])
+
+
+def best_match(candidates: DataFrame, centroids: DataFrame, key: str, vector: str, name: str) -> DataFrame:
+    """(key, name_cluster, name_similarity): the centroid most like each candidate, of (cluster, mean)."""
     s = F.round(cosine(F.col(vector), F.col("mean"), norm(F.col(vector)) * F.col("_cn")), 6)
-    best = rows.select(key, s.alias("s"), "cluster").groupBy(key).agg(F.max(F.struct("s", (-F.col("cluster")).alias("c"))).alias("b"))
+    best = _against(candidates, centroids, lambda rows: rows.select(key, s.alias("s"), "cluster").groupBy(key).agg(F.max(F.struct("s", (-F.col("cluster")).alias("c"))).alias("b")))
+    best = best.groupBy(key).agg(F.max("b").alias("b"))
     return best.select(key, (-F.col("b.c")).alias(f"{name}_cluster"), F.col("b.s").alias(f"{name}_similarity"))
 
 
 def nearest_of(vectors: DataFrame, centroids: DataFrame, per_cluster: int) -> DataFrame:
     """(cluster, vec_id, s): the vectors nearest to every cluster, of all vectors."""
-    sent = centroids.select("cluster", "mean", norm(F.col("mean")).alias("_cn"), F.lit(1).alias("_one"))
-    rows = vectors.withColumn("_one", F.lit(1)).join(F.broadcast(sent), "_one")
-    rows = rows.select("vec_id", "cluster", F.round(cosine(F.col("v"), F.col("mean"), F.col("norm") * F.col("_cn")), 6).alias("s"))
+    s = F.round(cosine(F.col("v"), F.col("mean"), F.col("norm") * F.col("_cn")), 6)
+    rows = _against(vectors, centroids, lambda rows: rows.select("vec_id", "cluster", s.alias("s")))  # a cluster is in one part
     return ranked(rows, ["cluster"], F.desc("s"), F.asc("vec_id"), n=per_cluster).select("cluster", "vec_id", "s")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scholarlake.operators import retrieval as R
 from scholarlake.operators import rules as RL
+from scholarlake.operators.ranges import ranked_whole
 from scholarlake.plans.registry import query
 from scholarlake.sources import harvest as H
 from scholarlake.sources import published as P
@@ -111,7 +112,7 @@ SELECT doc_id, CAST(round(base + CASE WHEN pos THEN 0.05 ELSE 0 END - CASE WHEN
 def p3_adjusted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.round((F.col("doc_id") * 13 % 89) / 89.0, 6).alias("base"), F.col("text").contains("the").alias("pos"), F.col("text").contains("und").alias("neg"))
     d = d.filter(~(F.col("neg") & ~F.col("pos"))).withColumn("final", F.round(F.col("base") + F.when(F.col("pos"), 0.05).otherwise(0.0) - F.when(F.col("neg"), 0.15).otherwise(0.0), 6))
-    return R.ranked(d, ["source"], F.desc("final"), F.asc("doc_id")).select("doc_id", "final", "rank")
+    return ranked_whole(d, ["source"], [F.desc("final"), F.asc("doc_id")]).select("doc_id", "final", "rank")
 
 
 @query("SELECT l_orderkey AS case_id, l_suppkey AS id, CAST(min(l_linenumber) AS BIGINT) AS rank FROM lineitem GROUP BY 1, 2")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scholarlake.functions import text as T
 from scholarlake.functions.stem import stems
 from scholarlake.operators import chunks as C
+from scholarlake.operators import ranges as G
 from scholarlake.operators import retrieval as R
 from scholarlake.operators import rules as RL
 from scholarlake.operators import sparse_index as SI
@@ -301,10 +302,12 @@ def w14_raw_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS fused FROM documents), r AS (SELECT s.*, CASE WHEN doc_id % 3 <> 0 THEN (doc_id * 7 % 100) / 100.0 END AS given FROM s)
 SELECT source, doc_id, CASE WHEN fused <= 5 THEN CAST(coalesce(given, 0) AS DOUBLE) END AS score, row_number() OVER (PARTITION BY source ORDER BY (fused <= 5) DESC, CASE WHEN fused <= 5 THEN coalesce(given, 0) END DESC NULLS LAST, fused) AS rank FROM r""")
 def r8_rerank_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = R.ranked(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), ["source"], F.desc("n_chars"), F.asc("doc_id"), name="fused")
+    s = G.ranked_whole(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), ["source"], [F.desc("n_chars"), F.asc("doc_id")], "fused")
     given = F.when(F.col("doc_id") % 3 != 0, (F.col("doc_id") * 7 % 100) / 100.0)
     score = F.when(F.col("fused") <= 5, F.coalesce(given, F.lit(0.0)))
-    return R.ranked(s.withColumn("score", score), ["source"], (F.col("fused") <= 5).desc(), F.desc_nulls_last("score"), F.asc("fused")).select("source", "doc_id", "score", "rank")
+    # only the scored window changes its order: what comes after keeps its place
+    top = R.ranked(s.filter("fused <= 5").withColumn("score", score), ["source"], F.desc("score"), F.asc("fused")).select("source", "doc_id", "score", "rank")
+    return top.unionByName(s.filter("fused > 5").select("source", "doc_id", F.lit(None).cast("double").alias("score"), F.col("fused").alias("rank")))
 
 
 # chunks

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholarlake.operators.ranges import running_before
+
 RECORD = "struct<header:struct<identifier:string,datestamp:string>,metadata:struct<title:string,abstract:string,categories:string,created:string,updated:string>>"
 #: One page of an OAI-PMH answer, element by element.
 PAGE = f"error struct<_code:string,_VALUE:string>, ListRecords struct<record:array<{RECORD}>,resumptionToken:string>"
@@ -39,12 +41,10 @@ def normal_id(raw: Column) -> Column:
 def compaction_plan(files: DataFrame, most_rows: int) -> DataFrame:
     """(collection, file, grp): small files put together, in order, up to a number of rows each group.
 
-    A prefix sum per collection decides: a group is what falls into the same multiple of `most_rows`.
+    A running sum per collection decides: a group is what falls into the same multiple of `most_rows`.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("collection").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("grp", F.floor(F.coalesce(F.sum("n").over(w), F.lit(0)) / most_rows).cast("long")).select("collection", "file", "grp")
+    before = running_before(files, ["collection"], [F.col("file")], F.col("n"), "_before")
+    return before.select("collection", "file", F.floor(F.col("_before") / most_rows).cast("long").alias("grp"))
 
 
 def write_records(rows: DataFrame, path: str, day: str) -> None:
