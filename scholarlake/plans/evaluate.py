@@ -154,22 +154,6 @@ def f32_normal_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.regexp_replace(F.regexp_replace(F.lower(F.trim("url")), r"^https?://(www\.)?", ""), r"v\d+$", "").alias("id"), F.length(F.trim(F.regexp_replace("html", r"\s+", " "))).cast("long").alias("chars"))
 
 
-@query(r"SELECT conv_id, turn, regexp_matches(lower(text), '^\d{4}\.\d{4,5}') AS is_id, regexp_matches(split_part(text, ' ', 1), '^[a-z]+\.[A-Z]{2}$') AS is_category, length(text) > 60 AND len(string_split(text, ' ')) >= 8 AND NOT contains(text, chr(10)) AS is_title FROM conversations")
-def f24_label_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower(t).rlike(r"^\d{4}\.\d{4,5}").alias("is_id"), F.split(t, " ")[0].rlike(r"^[a-z]+\.[A-Z]{2}$").alias("is_category"), ((F.length(t) > 60) & (F.size(F.split(t, " ")) >= 8) & ~t.contains("\n")).alias("is_title"))
-
-
-_RULES = {"articles": ("the", "der", "le"), "conjunctions": ("and", "und", "et"), "prepositions": ("of", "von", "de")}
-
-
-@query("SELECT conv_id, turn, CASE WHEN " + " WHEN ".join(f"regexp_matches(lower(text), '(^|[^a-z0-9])({'|'.join(ws)})s?([^a-z0-9]|$)') THEN '{k}'" for k, ws in _RULES.items()) + " ELSE 'none' END AS topic FROM conversations")
-def f25_rule_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = F.lower("text")
-    topic = F.coalesce(*[F.when(low.rlike(rf"(^|[^a-z0-9])({'|'.join(ws)})s?([^a-z0-9]|$)"), k) for k, ws in _RULES.items()], F.lit("none"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", topic.alias("topic"))
-
-
 @query(r"""WITH n AS (SELECT conv_id, ' ' || trim(regexp_replace(lower(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'assistant')), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS t FROM conversations GROUP BY conv_id)
 SELECT conv_id, CAST(round((CAST(contains(t, ' the ') AS INT) + CAST(contains(t, ' of the ') AS INT) + CAST(contains(t, ' der ') AS INT)) / 3.0, 6) AS DOUBLE) AS coverage FROM n WHERE t IS NOT NULL""")
 def f29_key_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,16 +174,6 @@ def f33_vote_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(m, 6).alias("multiplier"))
 
 
-@query("""WITH i AS (SELECT conv_id, turn, CASE WHEN contains(lower(text), 'result') OR contains(lower(text), 'ung') THEN 'result_analysis' WHEN contains(lower(text), 'que') THEN 'method_flow' ELSE 'default' END AS intent FROM conversations)
-SELECT conv_id, turn, intent, CAST(round(CASE intent WHEN 'result_analysis' THEN 1.1 WHEN 'method_flow' THEN 0.85 ELSE 0.8 END * CASE WHEN turn % 2 = 0 THEN 1.2 ELSE 1 END, 3) AS DOUBLE) AS keyword_weight FROM i""")
-def f35_intent_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = F.lower("text")
-    intent = F.when(low.contains("result") | low.contains("ung"), "result_analysis").when(low.contains("que"), "method_flow").otherwise("default")
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", intent.alias("intent"))
-    weight = F.when(F.col("intent") == "result_analysis", 1.1).when(F.col("intent") == "method_flow", 0.85).otherwise(0.8)
-    return c.withColumn("keyword_weight", F.round(weight * F.when(F.col("turn") % 2 == 0, 1.2).otherwise(1.0), 3))
-
-
 @query("""WITH t AS (SELECT doc_id, text AS t FROM documents), n AS (SELECT doc_id, t, (SELECT max(k) FROM range(0, 201) r(k) WHERE k <= length(t) AND strlen(substring(t, 1, k)) <= 200) AS k FROM t) SELECT doc_id, substring(t, 1, k) AS cut FROM n""")
 def f36_utf8_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.utf8_cut(F.col("text"), 200).alias("cut"))
@@ -224,12 +198,3 @@ def f12_view_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.substring_index("a", "\n", 1)
     views = F.array(first, F.concat(F.lit("The: "), first, F.lit("!")), F.concat(first, F.lit(" again")), F.array_join(F.concat(F.array(F.lit("x")), F.slice(F.split("a", " "), 1, 12)), " "), F.lit("--"))
     return c.select("conv_id", F.array_join(RL.deduped_views(views), "|").alias("kept"))
-
-
-@query("""WITH f AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'result_analysis' WHEN 'de' THEN 'method_flow' ELSE 'default' END AS intent, contains(text, '|') AS tab FROM documents)
-SELECT doc_id, intent, CAST(round(least(2.6, 2.0 * CASE WHEN intent = 'result_analysis' AND tab THEN 1.4 WHEN intent = 'method_flow' THEN 1.2 ELSE 1.0 END), 6) AS DOUBLE) AS title_weight FROM f""")
-def f9_field_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    intent = F.when(F.col("lang") == "en", "result_analysis").when(F.col("lang") == "de", "method_flow").otherwise("default")
-    f = table(spark, sf_dir, "documents").select("doc_id", intent.alias("intent"), F.col("text").contains("|").alias("tab"))
-    by = F.when((F.col("intent") == "result_analysis") & F.col("tab"), 1.4).when(F.col("intent") == "method_flow", 1.2).otherwise(1.0)
-    return f.select("doc_id", "intent", F.round(F.least(F.lit(2.6), 2.0 * by), 6).alias("title_weight"))
