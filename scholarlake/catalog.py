@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholarlake.plans import builds, evaluate, greedy, interest, lookups, phrases, recommend, registry, retrieval, search, stores, streams  # noqa: F401
+from scholarlake.plans import adjust, builds, evaluate, greedy, interest, lookups, phrases, recommend, registry, retrieval, search, stores, streams  # noqa: F401
 
 FLAGSHIP = "q1_boolean_search"
 

@@ -115,33 +115,6 @@ def f14_query_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("paper_id", F.round(match, 6).alias("match"))
 
 
-@query("""WITH a AS (SELECT doc_id, contains(text, 'the') AS pos, contains(text, 'und') AS neg, source IN ('src1', 'src2') AS cat, doc_id % 7 = 0 AS seen FROM documents)
-SELECT doc_id, CAST(round(least(0.24, CAST(pos AS INT) * 0.7 * 0.05 + CAST(cat AS INT) * 0.03 - CAST(seen AS INT) * 0.03) - least(0.24, CAST(neg AS INT) * 0.9 * 0.07), 6) AS DOUBLE) AS adjustment FROM a""")
-def f19_profile_adjustment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    one = lambda test: F.when(test, 1.0).otherwise(0.0)
-    plus = F.least(F.lit(0.24), one(F.col("text").contains("the")) * 0.7 * 0.05 + one(F.col("source").isin("src1", "src2")) * 0.03 - one(F.col("doc_id") % 7 == 0) * 0.03)
-    return d.select("doc_id", F.round(plus - F.least(F.lit(0.24), one(F.col("text").contains("und")) * 0.9 * 0.07), 6).alias("adjustment"))
-
-
-@query("""WITH a AS (SELECT doc_id, CAST(contains(text, 'the') AS INT) + CAST(contains(text, 'of') AS INT) AS pos, CAST(contains(text, 'und') AS INT) + CAST(contains(text, 'der') AS INT) AS neg, CAST(contains(text, 'que') AS INT) AS rec, source IN ('src1', 'src2', 'src3') AS cat FROM documents)
-SELECT doc_id, CAST(round(least(0.38, pos * 0.05 + least(0.18, rec * 0.03) + CAST(cat AS INT) * 0.03), 6) AS DOUBLE) AS request_score, CAST(round(least(0.45, neg * 0.15 + CASE WHEN cat THEN 0 ELSE 0.12 END), 6) AS DOUBLE) AS request_penalty FROM a WHERE NOT (neg > 0 AND pos = 0)""")
-def f20_context_adjustment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = lambda *ws: sum((F.when(F.col("text").contains(w), 1).otherwise(0) for w in ws), F.lit(0))
-    d = table(spark, sf_dir, "documents").select("doc_id", hits("the", "of").alias("pos"), hits("und", "der").alias("neg"), hits("que").alias("rec"), F.col("source").isin("src1", "src2", "src3").alias("cat"))
-    d = d.filter(~((F.col("neg") > 0) & (F.col("pos") == 0)))
-    plus = F.least(F.lit(0.38), F.col("pos") * 0.05 + F.least(F.lit(0.18), F.col("rec") * 0.03) + F.when(F.col("cat"), 0.03).otherwise(0.0))
-    return d.select("doc_id", F.round(plus, 6).alias("request_score"), F.round(F.least(F.lit(0.45), F.col("neg") * 0.15 + F.when(F.col("cat"), 0.0).otherwise(0.12)), 6).alias("request_penalty"))
-
-
-@query(f"WITH {_BASE}, m AS (SELECT vec_id, score, CASE WHEN contains(lower(text), 'the') THEN 1.0 ELSE 0.25 END AS q FROM sc JOIN documents ON doc_id = vec_id) SELECT vec_id, CAST(round(0.6 * q + 0.3 * score, 5) AS DOUBLE) AS final, row_number() OVER (ORDER BY round(0.6 * q + 0.3 * score, 5) DESC, vec_id) AS rank FROM m QUALIFY rank <= 50")
-def f21_search_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.when(F.lower("text").contains("the"), 1.0).otherwise(0.25).alias("q"))
-    m = _base(spark, sf_dir).join(text, "vec_id").select("vec_id", F.round(0.6 * F.col("q") + 0.3 * F.col("score"), 5).alias("final"))
-    top = m.orderBy(F.desc("final"), "vec_id").limit(50)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("final"), "vec_id")).cast("long"))
-
-
 #: Papers recalled for each of a user's interest clusters (the reference's recall limit), and the newest for a user without one (P1).
 _RECALLED, _NEWEST = 30, 5
 
