@@ -22,14 +22,6 @@ def deduped_units(docs: DataFrame, key: str, units: Column) -> DataFrame:
     return first.select(key, F.col("u.pos").cast("long").alias("pos"), F.col("u.line").alias("line"))
 
 
-def multi_index(docs: DataFrame, most: int) -> DataFrame:
-    """(doc_id, kind, ordinal): the entry points of a text: body, anchor, table, summary and questions, `most` at most."""
-    n, text = F.col("n_chars"), F.col("text")
-    kinds = [F.lit("body"), F.when(n > 300, "section_anchor"), F.when(text.contains("|"), "table_or_figure"), F.when(n > 600, "summary"), *[F.when(n > 900 + 300 * q, "question") for q in range(3)]]
-    rows = docs.select("doc_id", F.posexplode(F.slice(F.array_compact(F.array(*kinds)), 1, most)).alias("_p", "kind"))
-    return rows.select("doc_id", "kind", (F.col("_p") + 1).cast("long").alias("ordinal"))
-
-
 def parent_path(section: Column) -> Column:
     """A section path without its last level; empty at the top."""
     return F.trim(F.regexp_extract(section, r"^(.*)[/>\\\\][^/>\\\\]*$", 1))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scholarlake.functions import text as T
 from scholarlake.functions.stem import stems
 from scholarlake.operators import chunks as C
+from scholarlake.operators import index_rows as IR
 from scholarlake.operators import ranges as G
 from scholarlake.operators import retrieval as R
 from scholarlake.operators import rules as RL
@@ -332,11 +333,39 @@ def c6_unit_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.deduped_units(table(spark, sf_dir, "documents"), "doc_id", F.split("text", "\n"))
 
 
-@query("""WITH i AS (SELECT doc_id, 'body' AS kind, 0 AS o FROM documents UNION ALL SELECT doc_id, 'section_anchor', 1 FROM documents WHERE n_chars > 300 UNION ALL SELECT doc_id, 'table_or_figure', 2 FROM documents WHERE contains(text, '|')
-UNION ALL SELECT doc_id, 'summary', 3 FROM documents WHERE n_chars > 600 UNION ALL SELECT doc_id, 'question', 4 + q FROM documents, (VALUES (0), (1), (2)) t(q) WHERE n_chars > 900 + 300 * q)
-SELECT doc_id, kind, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) AS BIGINT) AS ordinal FROM i QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY o) <= 6""")
+_ENTRIES = r"""ch AS (SELECT 'c' || doc_id AS chunk_id, coalesce(text, '') AS content, doc_id % 3 = 0 AS asset, CASE WHEN doc_id % 3 = 0 THEN 'Table ' || doc_id % 9 ELSE '' END AS caption, CASE WHEN doc_id % 6 = 0 THEN ' TABLE  ' || doc_id % 9 ELSE '' END AS summary0, CASE WHEN doc_id % 4 > 0 THEN lang || ' > ' || source ELSE '' END AS path,
+  CASE WHEN doc_id % 5 > 0 THEN CAST(doc_id % 50 AS VARCHAR) ELSE '' END AS page, CASE WHEN doc_id % 7 = 0 THEN 'About ' || source WHEN doc_id % 7 = 1 THEN coalesce(text, '') ELSE '' END AS summary, CASE WHEN doc_id % 2 = 0 THEN ['Why ' || source || '?', ' why  ' || source || '? ', '', 'How?', 'When?', 'Who?'] ELSE [] END AS questions FROM documents),
+fo AS (SELECT *, trim(content, ' ') AS body0, trim(CASE WHEN asset THEN CASE WHEN summary0 <> '' OR caption <> '' THEN caption || CASE WHEN trim(content, ' ') <> '' AND lower(trim(regexp_replace(content, '\s+', ' ', 'g'))) <> lower(caption) THEN chr(10) || trim(content, ' ') ELSE '' END ELSE trim(content, ' ') END ELSE trim(content, ' ') END, '') AS body FROM ch),
+ln AS (SELECT *, trim(regexp_replace(body, '\s+', ' ', 'g')) AS flat FROM fo),
+sh AS (SELECT *, CASE WHEN trim(summary0) <> '' THEN trim(summary0) WHEN length(flat) <= 180 THEN flat WHEN trim(regexp_replace(left(flat, 180), ' [^ ]*$', '')) <> '' THEN trim(regexp_replace(left(flat, 180), ' [^ ]*$', '')) ELSE trim(left(flat, 180)) END AS line FROM ln),
+an AS (SELECT *, concat_ws(chr(10), CASE WHEN path <> '' THEN 'Section: ' || path END, CASE WHEN page <> '' THEN 'Page: ' || page END, CASE WHEN line <> '' THEN 'Summary: ' || line END, CASE WHEN line = '' AND path = '' THEN 'Chunk: ' || chunk_id END) AS anchor, list_distinct(list_filter(list_transform(questions, lambda q: trim(regexp_replace(q, '\s+', ' ', 'g'))), lambda q: q <> '')) AS qs FROM sh),
+qn AS (SELECT chunk_id, q, row_number() OVER (PARTITION BY chunk_id ORDER BY i) AS n FROM (SELECT chunk_id, trim(q) AS q, i FROM (SELECT chunk_id, unnest(questions) AS q, generate_subscripts(questions, 1) AS i FROM an) WHERE trim(q) <> '' QUALIFY row_number() OVER (PARTITION BY chunk_id, lower(trim(regexp_replace(q, '\s+', ' ', 'g'))) ORDER BY i) = 1)),
+al AS (SELECT chunk_id, 0 AS o, 'body' AS kind, 1 AS ordinal, body AS text FROM an UNION ALL SELECT chunk_id, 1, 'section_anchor', 1, anchor FROM an UNION ALL SELECT chunk_id, 2, 'table_or_figure', 1, body FROM an WHERE asset AND body <> ''
+  UNION ALL SELECT chunk_id, 3, 'summary', 1, trim(summary) FROM an WHERE trim(summary) <> '' AND lower(trim(regexp_replace(summary, '\s+', ' ', 'g'))) <> lower(flat) UNION ALL SELECT chunk_id, 3 + n, 'question', n, q FROM qn WHERE n <= 3)"""
+
+
+@query(f"""WITH {_ENTRIES} SELECT chunk_id || ':' || kind || ':' || ordinal AS index_id, chunk_id, kind, CAST(ordinal AS INTEGER) AS ordinal, md5(text) AS text_md5, CAST(CASE kind {" ".join(f"WHEN '{k}' THEN {v}" for k, v in IR.WEIGHTS.items())} END AS DOUBLE) AS weight,
+CASE kind {" ".join(f"WHEN '{k}' THEN '{','.join(r)}'" for k, r in IR.ROUTES.items())} END AS routes FROM al QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY o) <= 6""")
 def c7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.multi_index(table(spark, sf_dir, "documents"), 6)
+    i, text, none = F.col("doc_id"), lambda c: c.cast("string"), F.lit("")
+    questions = F.array(F.concat(F.lit("Why "), "source", F.lit("?")), F.concat(F.lit(" why  "), "source", F.lit("? ")), none, F.lit("How?"), F.lit("When?"), F.lit("Who?"))
+    chunks = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("c"), text(i)).alias("chunk_id"),
+        F.col("text").alias("content"),
+        F.when(i % 3 == 0, "Table").alias("chunk_type"),
+        F.when(i % 4 > 0, F.concat("lang", F.lit(" > "), "source")).alias("section_path"),
+        none.alias("section_title"),
+        F.when(i % 5 > 0, text(i % 50)).alias("page_number"),
+        F.when(i % 3 == 0, F.concat(F.lit("Table "), text(i % 9))).alias("asset_caption"),
+        F.when(i % 6 == 0, F.concat(F.lit(" TABLE  "), text(i % 9))).alias("asset_summary"),
+        none.alias("preview"),
+        none.alias("table_text"),
+        none.alias("card"),
+        F.when(i % 7 == 0, F.concat(F.lit("About "), "source")).when(i % 7 == 1, F.col("text")).alias("summary"),
+        F.when(i % 2 == 0, questions).alias("questions"),
+    )
+    rows = IR.index_rows(chunks)
+    return rows.select("index_id", "chunk_id", "kind", "ordinal", F.md5("text").alias("text_md5"), "weight", F.array_join("routes", ",").alias("routes"))
 
 
 @query("""WITH r AS (SELECT doc_id, CASE WHEN n_chars > 900 THEN ['keyword', 'vector', 'table'] WHEN n_chars > 300 THEN ['keyword', 'vector'] ELSE ['vector'] END AS routes FROM documents) SELECT doc_id FROM r WHERE list_has_any(routes, ['keyword', 'table'])""")
