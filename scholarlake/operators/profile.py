@@ -46,7 +46,7 @@ def topic_scores(signals: DataFrame) -> DataFrame:
 
 
 def zones(scores: DataFrame) -> DataFrame:
-    """(user_id, topic, zone, place): lasting focus, exclusions and recent interest, each up to its limit."""
+    """(user_id, topic, zone, place, kept): lasting focus, exclusions and recent interest; those beyond a zone's limit are marked as not kept."""
     sure = F.col("consistency") >= MIN_CONSISTENCY
     zone = F.when((F.col("net") > 0) & sure & (F.col("liked") >= 1) & (F.col("span_days") >= MIN_SPAN), "focus").when((F.col("net") < 0) & sure & (F.col("disliked") >= 1), "exclude")
     evidence = F.col("long_pos") + F.col("long_neg")
@@ -57,7 +57,7 @@ def zones(scores: DataFrame) -> DataFrame:
     placed = rows.select("user_id", "topic", F.explode(F.array_compact(F.array(in_zone, is_recent))).alias("z")).select("user_id", "topic", "z.zone", "z.by")
     placed = placed.withColumn("place", F.row_number().over(Window.partitionBy("user_id", "zone").orderBy(F.desc("by"), "topic")).cast("long"))
     limit = reduce(lambda out, kv: F.when(F.col("zone") == kv[0], kv[1]).otherwise(out), LIMITS.items(), F.lit(0))
-    return placed.filter(F.col("place") <= limit).select("user_id", "topic", "zone", "place")
+    return placed.select("user_id", "topic", "zone", "place", (F.col("place") <= limit).alias("kept"))
 
 
 def review(scores: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholarlake.operators import compact as K
 from scholarlake.operators import retrieval as R
 from scholarlake.operators import rules as RL
 from scholarlake.operators.ranges import ranked_whole
@@ -132,11 +133,25 @@ def x13_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(F.broadcast(RL.policies(spark)), "policy").select("doc_id", "policy", "anchor_ratio", F.array_join("actions", ",").alias("actions"), "section_limit", "per_anchor_limit", "summary_only")
 
 
-@query("SELECT conv_id, turn, left(text, 120) || CASE WHEN length(text) > 200 THEN ' ... ' || right(text, 80) ELSE substring(text, 121) END AS compact FROM conversations")
+_BLOCK_ROLES = ("anchor_evidence", "sibling_context", "section_context", "memory_context", "parent_context", "other")
+_MOST = "CASE " + " ".join(f"WHEN kind = '{k}' THEN {r[0]}" for k, r in K.KINDS.items()) + " " + " ".join(f"WHEN role = '{k}' THEN {r[0]}" for k, r in K.ROLES.items()) + f" ELSE {K.OTHER[0]} END"
+_HOW = _MOST.replace(f"ELSE {K.OTHER[0]}", f"ELSE '{K.OTHER[1]}'")
+for _rules in (K.KINDS, K.ROLES):
+    for _name, _rule in _rules.items():
+        _HOW = _HOW.replace(f"= '{_name}' THEN {_rule[0]}", f"= '{_name}' THEN '{_rule[1]}'")
+
+
+@query(rf"""WITH b AS (SELECT doc_id, ({list(_BLOCK_ROLES)})[CAST(doc_id % 6 AS INT) + 1] AS role, CASE doc_id % 11 WHEN 0 THEN 'table' WHEN 1 THEN 'figure_evidence' ELSE 'text' END AS kind, regexp_replace(regexp_replace(coalesce(text, ''), '\s+
+', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents),
+m AS (SELECT *, {_MOST} AS most, {_HOW} AS how, ceil(length(t) / 3.0) AS n FROM b), f AS (SELECT *, CAST(floor(most * 0.65) AS BIGINT) AS first FROM m),
+k AS (SELECT doc_id, CASE WHEN n > most THEN how END AS strategy, CASE WHEN n <= most THEN t WHEN how = 'anchor_head_tail' THEN regexp_replace(left(t, first * 3), '\s+$', '') || chr(10) || '...[middle omitted by rule compaction]...' || chr(10) || regexp_replace(right(t, (most - first - 8) * 3), '^\s+', '')
+  ELSE regexp_replace(left(t, most * 3), '\s+$', '') END AS kept FROM f) SELECT doc_id, strategy, md5(kept) AS text_md5, CAST(ceil(length(kept) / 3.0) AS BIGINT) AS tokens FROM k""")
 def x15_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    cut = F.concat(F.substring(t, 1, 120), F.lit(" ... "), F.substring(t, -80, 80))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.length(t) > 200, cut).otherwise(t).alias("compact"))
+    i = F.col("doc_id")
+    role = F.get(F.array(*map(F.lit, _BLOCK_ROLES)), (i % 6).cast("int"))
+    kind = F.when(i % 11 == 0, "table").when(i % 11 == 1, "figure_evidence").otherwise("text")
+    d = table(spark, sf_dir, "documents").select("doc_id", K.compacted(F.col("text"), role, kind).alias("c"))
+    return d.select("doc_id", "c.strategy", F.md5("c.text").alias("text_md5"), "c.tokens")
 
 
 @query("SELECT conv_id, count(*) AS n_sources, string_agg('S' || CAST(turn + 1 AS VARCHAR) || ':' || role, '|' ORDER BY turn) AS pack, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id")

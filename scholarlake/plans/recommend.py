@@ -182,7 +182,7 @@ def a15_topic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_SCORED}, z AS (SELECT *, CASE WHEN net > 0 AND consistency >= 0.5 AND liked >= 1 AND span_days >= 7 THEN 'focus' WHEN net < 0 AND consistency >= 0.5 AND disliked >= 1 THEN 'exclude' END AS zone,
   recent_net >= 0.6 AND NOT only_read AND NOT (long_pos + long_neg > 0 AND consistency < 0.5) AND recent >= 2 AS is_recent FROM ts),
 p AS (SELECT user_id, topic, zone, row_number() OVER (PARTITION BY user_id, zone ORDER BY rank_score DESC, topic) AS place FROM z WHERE zone IS NOT NULL UNION ALL SELECT user_id, topic, 'recent', row_number() OVER (PARTITION BY user_id ORDER BY recent_net DESC, topic) FROM z WHERE is_recent AND zone IS DISTINCT FROM 'exclude')
-SELECT user_id, topic, zone, place FROM p WHERE place <= CASE zone WHEN 'focus' THEN 12 ELSE 10 END""")
+SELECT user_id, topic, zone, place, place <= CASE zone WHEN 'focus' THEN 12 ELSE 10 END AS kept FROM p""")
 def w9_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.zones(P.topic_scores(_signals(spark, sf_dir)))
 
