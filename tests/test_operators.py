@@ -178,3 +178,12 @@ def test_published_build(spark, tmp_path):
     harvest.publish(spark.range(3), root, "idx", 1, [("ids", F.col("id") >= 0)])
     harvest.publish(spark.range(5), root, "idx", 2)
     assert harvest.active(spark, root, "idx").count() == 5
+
+
+def test_records_come_back_by_day(spark, tmp_path):
+    schema = "case_id string, score double, day string"
+    harvest.write_records(spark.createDataFrame([("a", 0.5, "2024-01-01"), ("b", None, "2024-01-02")], schema), str(tmp_path), "day")
+    harvest.write_records(spark.createDataFrame([("c", 1.0, "2024-01-02")], schema), str(tmp_path), "day")
+    got = {(r.case_id, r.score, str(r.day)) for r in harvest.read_records(spark, str(tmp_path), schema).collect()}
+    assert got == {("a", 0.5, "2024-01-01"), ("b", None, "2024-01-02"), ("c", 1.0, "2024-01-02")}
+    assert (tmp_path / "day=2024-01-02").exists()
