@@ -201,10 +201,11 @@ vq AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM
 vr AS (SELECT query_id, ({list(_ROUTES)})[i + 1] AS route, vec_id, similarity, row_number() OVER (PARTITION BY query_id, i ORDER BY similarity DESC, vec_id) AS rank FROM vs QUALIFY rank <= 30)"""
 
 
-def _vector_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, route, vec_id, similarity, rank): the 30 nearest vectors of the three views of each question, in one scan."""
+def _vector_routes(spark: SparkSession, sf_dir: str, last: int | None = None) -> DataFrame:
+    """(query_id, route, vec_id, similarity, rank): the 30 nearest vectors of the three views of each question, in one scan; with `last` of the questions up to that number."""
     v = vectors(spark, sf_dir)
-    q = v.filter("vec_id % 100 = 0 and vec_id > 0").select((F.col("vec_id") / 100).cast("long").alias("question"), "vec_id", "v")
+    asked = v.filter("vec_id % 100 = 0 and vec_id > 0")
+    q = (asked if last is None else asked.filter(F.col("vec_id") <= last * 100)).select((F.col("vec_id") / 100).cast("long").alias("question"), "vec_id", "v")
     q = q.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("n")), "vec_id")
     views = [F.col("v"), F.zip_with("v", F.reverse("v"), lambda a, b: a * 0.9 + b * 0.1), F.zip_with("v", "n", lambda a, b: (a + b) * 0.5)]
     q = q.select("question", F.posexplode(F.array(*views)).alias("i", "q"))
@@ -224,7 +225,7 @@ al AS (SELECT query_id, route, vec_id AS chunk, rank FROM vr WHERE query_id <= 3
 SELECT query_id, chunk, CAST(score AS DOUBLE) AS score, n_routes, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS rank FROM fu QUALIFY rank <= 15""")
 def r2_fused_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _best(spark, sf_dir, 30)
-    routes = _vector_routes(spark, sf_dir).filter("query_id <= 3").select("query_id", "route", F.col("vec_id").alias("chunk"), "rank")
+    routes = _vector_routes(spark, sf_dir, 3).select("query_id", "route", F.col("vec_id").alias("chunk"), "rank")
     routes = routes.unionByName(words.select("query_id", F.lit("keyword").alias("route"), F.col("doc_id").alias("chunk"), "rank"))
     fused = R.fuse(routes, _VOTES, "chunk").withColumn("score", F.round("score", 9))
     return R.ranked(fused, ["query_id"], F.desc("score"), F.asc("chunk"), n=15).select("query_id", "chunk", "score", "n_routes", "rank")

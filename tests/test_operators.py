@@ -187,3 +187,20 @@ def test_records_come_back_by_day(spark, tmp_path):
     got = {(r.case_id, r.score, str(r.day)) for r in harvest.read_records(spark, str(tmp_path), schema).collect()}
     assert got == {("a", 0.5, "2024-01-01"), ("b", None, "2024-01-02"), ("c", 1.0, "2024-01-02")}
     assert (tmp_path / "day=2024-01-02").exists()
+
+
+def test_nearest_of_ragged_equal_and_empty_vectors(spark):
+    """Blocks against all pairs, one after the other: copies tie by id, other lengths and norms of 0 are like nothing; nothing but the best of a task is dealt."""
+    import random
+
+    from scholarlake.operators import retrieval as R
+
+    r = random.Random(7)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(8)] if i % 5 else [0.5] * 8) for i in range(3000)] + [(3000, [0.0] * 8), (3001, [1.0]), (3002, []), (3003, None)]
+    v = spark.createDataFrame(rows, "vec_id long, v array<double>").coalesce(1).selectExpr("*", "sqrt(aggregate(v, 0D, (a, x) -> a + x * x)) as norm")
+    q = v.filter("vec_id in (0, 1, 2, 3000, 3001, 3002, 3003)").selectExpr("vec_id as query_id", "v as q", "norm as q_norm")
+    got = R.nearest(q, v, 4)
+    pairs = v.crossJoin(q).filter("query_id <> vec_id").select("query_id", "vec_id", F.round(R.cosine(F.col("q"), F.col("v"), F.col("q_norm") * F.col("norm")), 6).alias("similarity"))
+    want = R.ranked(pairs, ["query_id"], F.desc("similarity"), F.asc("vec_id"), n=4)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "NestedLoopJoin" not in got._jdf.queryExecution().executedPlan().toString()
