@@ -204,3 +204,15 @@ def test_nearest_of_ragged_equal_and_empty_vectors(spark):
     want = R.ranked(pairs, ["query_id"], F.desc("similarity"), F.asc("vec_id"), n=4)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "NestedLoopJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_topics_like_many_copies(spark):
+    """Copies of a title meet once: what joins titles has a row a different one, and the first other copy counts."""
+    from scholarlake.operators import profile as P
+
+    c = spark.range(400).selectExpr("id as doc_id", "if(id % 2 = 0, 'Graph models', concat('models of ', id)) as text")
+    t = c.filter("doc_id in (0, 2, 4)").selectExpr("doc_id as item_id", "text")
+    df = P.similar_topics(t, c)
+    assert sorted(map(tuple, df.collect())) == [(0, 2, 1.0), (2, 0, 1.0), (4, 0, 1.0)]
+    # of the copies of a title two are left before titles meet
+    assert "WindowGroupLimit [b#" in df._jdf.queryExecution().optimizedPlan().toString()
