@@ -124,35 +124,41 @@ def find(docs: DataFrame, doubt: float = 0.5, generalise: float = 0.9, remove: f
     kind_of_id = dict(docs.dtypes)["doc_id"]
 
     def first(batch: pa.RecordBatch) -> pa.RecordBatch:
-        base, who, near, keys = [], [], [], []
+        base, who, near, starts, ends, keys = [], [], [], [], [], []
         for t in texts_of(batch):
             spans = base_spans(t)
             base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
             who.append(sorted({x for s, k, e in spans for x in entities(k, t[s:e])}))
-            near.append([{"term": x, "start": s, "end": e} for x, s, e in words_around(t, spans)])
+            around = words_around(t, spans)
+            near.append(" ".join(x for x, _, _ in around))
+            starts.append([s for _, s, _ in around])
+            ends.append([e for _, _, e in around])
             keys.append(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest())
         one = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-        word = pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(base, pa.list_(one)), pa.array(who, pa.list_(pa.string())), pa.array(near, pa.list_(word))], names=["doc_id", "text_key", "base", "entities", "near"])
+        places = [pa.array(x, pa.list_(pa.int32())) for x in (starts, ends)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(base, pa.list_(one)), pa.array(who, pa.list_(pa.string())), pa.array(near, pa.string()), *places], names=["doc_id", "text_key", "base", "entities", "near", "starts", "ends"])
 
     texts = docs.select("doc_id", "text")
-    seen = saved(map_arrow(texts, first, f"doc_id {kind_of_id}, text_key binary, base array<struct<start:int,kind:int,end:int>>, entities array<string>, near array<struct<term:string,start:int,end:int>>"), "pii-seen")
+    seen = saved(map_arrow(texts, first, f"doc_id {kind_of_id}, text_key binary, base array<struct<start:int,kind:int,end:int>>, entities array<string>, near string, starts array<int>, ends array<int>"), "pii-seen")
     told_in = F.size("entities") > 0
     total = float(max(seen.select("text_key").distinct().count(), 1))
-    # which entities and which words the different texts hold
-    held = seen.filter(told_in).select("text_key", F.explode("entities").alias("entity")).distinct()
-    of_entity = held.groupBy("entity").agg(F.count("*").alias("n_entity"), F.min("text_key").alias("_only"))
-    of_entity = saved(of_entity, "pii-entities")
+    # one row for each different text with entities: its words are one string without repeats, and a number stands for it from here on
+    each = seen.filter(told_in).select("text_key", "entities", F.array_join(F.array_distinct(F.split("near", " ")), " ").alias("words"))
+    each = each.groupBy("text_key").agg(F.first("entities").alias("entities"), F.first("words").alias("words"))
+    each = saved(each.withColumn("text", F.monotonically_increasing_id()), "pii-texts")
+    held = each.select("text", F.explode("entities").alias("entity"))
+    of_entity = saved(held.groupBy("entity").agg(F.count("*").alias("n_entity"), F.min("text").alias("_only")), "pii-entities")
     # entities of one and the same text are equal in all that follows: one stands for them, so a list of many is not multiplied
-    alone = of_entity.filter("n_entity = 1").groupBy(F.col("_only").alias("text_key")).agg(F.min("entity").alias("entity")).select("text_key", "entity", F.lit(1).cast("long").alias("n_entity"))
-    shared = held.join(of_entity.filter("n_entity > 1").select("entity", "n_entity"), "entity").select("text_key", "entity", "n_entity")
+    alone = of_entity.filter("n_entity = 1").groupBy(F.col("_only").alias("text")).agg(F.min("entity").alias("entity")).select("text", "entity", F.lit(1).cast("long").alias("n_entity"))
+    shared = held.join(of_entity.filter("n_entity > 1").select("entity", "n_entity"), "entity").select("text", "entity", "n_entity")
     held = saved(alone.unionByName(shared), "pii-held")
     information = F.log(F.lit(total) / F.col("n_entity"))
     disclosure = lambda n_both, n_term: F.when(information >= min_information, F.log(n_both * total / ((n_term + doubt) * F.col("n_entity"))) / information)
-    words = saved(seen.filter(told_in).select("text_key", F.explode("near.term").alias("term")).distinct(), "pii-words")
+    words = each.filter("words <> ''").select("text", F.explode(F.split("words", " ")).alias("term"))
     around = words.groupBy("term").agg(F.count("*").alias("n_around"))
     # a word is in as many texts as it is in beside entities, or in more, and beside e in as many as e is or in fewer: what already falls short of the threshold goes
-    pairs = words.join(around, "term").join(held, "text_key").filter(disclosure(F.least("n_around", "n_entity"), F.col("n_around")) >= generalise)
+    pairs = words.join(around, "term").join(held, "text").filter(disclosure(F.least("n_around", "n_entity"), F.col("n_around")) >= generalise)
+    pairs = saved(pairs.select("text", "entity", "term", "n_entity", "n_around"), "pii-pairs")
     together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n_around").alias("n_around"))
     together = saved(together.filter(disclosure(F.col("n_both"), F.col("n_around")) >= generalise).drop("n_around"), "pii-together")
     # how often the words of these pairs occur at all: one more pass over the texts
@@ -171,19 +177,22 @@ def find(docs: DataFrame, doubt: float = 0.5, generalise: float = 0.9, remove: f
                 if x:
                     found.add(x)
             if found:
-                key = hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest()
-                terms.extend(found)
-                keys.extend([key] * len(found))
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(terms, pa.string())], names=["text_key", "term"]) if keys else None
+                keys.append(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest())
+                terms.append(" ".join(sorted(found)))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(terms, pa.string())], names=["text_key", "terms"]) if keys else None
 
-    of_term = map_arrow(texts, second, "text_key binary, term string").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    # a row a text, its words as one string: a key beside every word would be most of what is shuffled
+    different = map_arrow(texts, second, "text_key binary, terms string").groupBy("text_key").agg(F.first("terms").alias("terms"))
+    of_term = different.select(F.explode(F.split("terms", " ")).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     told = together.join(of_term, "term").withColumn("disclosure", disclosure(F.col("n_both"), F.col("n_term"))).filter(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
-    # back to the words: of each text those that its entities are told by, the strongest once
-    of_text = words.join(held.join(told, "entity").groupBy("text_key", "term").agg(F.max("disclosure").alias("d")), ["text_key", "term"])
-    of_text = of_text.groupBy(F.col("text_key").alias("_key")).agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("_told"))
+    # back to the words: of each text those that its entities are told by, the strongest once. The pairs hold all of them, so no entity's words meet all of its texts
+    of_text = pairs.select("text", "entity", "term").join(told, ["entity", "term"]).groupBy("text", "term").agg(F.max("disclosure").alias("d"))
+    of_text = of_text.groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("_told"))
+    of_text = of_text.join(each.select("text", F.col("text_key").alias("_key")), "text").select("_key", "_told")
     none = F.array().cast("array<struct<start:int,end:int,term:string,disclosure:double>>")
     some = seen.filter(told_in).join(of_text, F.col("text_key") == F.col("_key"), "left")
-    places = F.transform(F.filter("near", lambda w: F.map_contains_key("_told", w["term"])), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["term"].alias("term"), F.element_at("_told", w["term"]).alias("disclosure")))
+    near = F.arrays_zip(F.split("near", " ").alias("term"), F.col("starts").alias("start"), F.col("ends").alias("end"))
+    places = F.transform(F.filter(near, lambda w: F.map_contains_key("_told", w["term"])), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["term"].alias("term"), F.element_at("_told", w["term"]).alias("disclosure")))
     some = some.select("doc_id", "text_key", "base", F.coalesce(F.array_sort(places), none).alias("terms"))
     return some.unionByName(seen.filter(~told_in).select("doc_id", "text_key", "base", none.alias("terms")))
 
