@@ -148,6 +148,39 @@ def with_stem(rows: DataFrame, token: str = "token", stem: str = "stem") -> Data
     return rows.join(known, F.col(token) == F.col("_v"), "left").select(*names, F.col("_s").alias(stem))
 
 
+#: Words that are sent to all tasks with their stems, and the longest of them.
+MOST_SENT, LONGEST_SENT = 65536, 64
+
+
+def vocabulary(rows: DataFrame, token: str = "token") -> DataFrame:
+    """(token, stem, n): each different token, its stem, and how many rows have it. To be saved before `stem_known` reads it."""
+    return rows.filter(F.col(token).isNotNull()).groupBy(F.col(token).alias("token")).agg(F.count("*").alias("n")).select("token", stem_of(F.col("token")).alias("stem"), "n")
+
+
+def stem_known(rows: DataFrame, words: DataFrame, token: str = "token", most: int = MOST_SENT) -> DataFrame:
+    """`rows` without tokens but with their stems, of a saved vocabulary of all their tokens. Null tokens have no stem.
+
+    The most frequent words, `most` at most, are sent to all tasks, so most rows stay where they are; the others meet their
+    stems by equality. How frequent a word must be is read off a histogram of the vocabulary.
+    """
+    bin_of = F.when(F.length("token") <= LONGEST_SENT, F.floor(F.log2("n") * 4).cast("int")).otherwise(-1)
+    binned = words.select(F.col("token").alias("_v"), F.col("stem").alias("_s"), bin_of.alias("_b"))
+    least, held, total = 1 << 20, 0, 0
+    for b, n in binned.groupBy("_b").agg(F.count("*").alias("n")).orderBy(F.desc("_b")).collect():
+        total += n
+        if b >= 0 and total == held + n and held + n <= most:
+            least, held = b, held + n
+    names = [c for c in rows.columns if c != token]
+    sent = binned.filter(F.col("_b") >= least).select("_v", "_s")
+    beside = rows.join(F.broadcast(sent), F.col(token) == F.col("_v"), "left")
+    if held == total:
+        return beside.select(*names, F.col("_s").alias("stem"))
+    near = beside.filter(F.col("_v").isNotNull() | F.col(token).isNull()).select(*names, F.col("_s").alias("stem"))
+    far = beside.filter(F.col("_v").isNull() & F.col(token).isNotNull()).select(*names, token)
+    far = far.join(binned.filter(F.col("_b") < least).select("_v", "_s"), F.col(token) == F.col("_v")).select(*names, F.col("_s").alias("stem"))
+    return near.unionByName(far)
+
+
 #: Stems of words that this driver was asked for.
 _KNOWN: dict[str, str] = {}
 

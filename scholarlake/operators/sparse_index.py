@@ -10,17 +10,22 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from scholarlake.functions.stem import stems, with_stem
+from scholarlake.functions.stem import stem_known, stems, vocabulary, with_stem
 from scholarlake.functions.text import CJK, QUESTION_WORDS, keyword_tokens
 from scholarlake.operators.retrieval import K1, B, ranked
 from scholarlake.sources.published import Log
 
 LAYOUT, BUCKETS, BANDS = 1, 32, 64
+#: Postings of a bucket that one task writes, about.
+ROWS = 1_000_000
 #: Fixed value: stems that count more if they stand in the first characters of a text.
 BOOSTED = ("method", "dataset", "baselin", "ablat", "limit")
 BOOST, HEAD = 0.2, 300
@@ -63,7 +68,7 @@ def stemmed(rows: DataFrame, tokens: str, *keep: str) -> DataFrame:
 
 
 def counted(docs: DataFrame, key: str, text: str, boosted: Sequence[str] = BOOSTED) -> DataFrame:
-    """(token, key, length, marks, tf): a row per document and token, and one with an empty token for each document.
+    """(token, key, length, marks, tf): a row or two per document and token, whose tf add up, and one with an empty token for each document.
 
     The length is the number of tokens; `marks` has a bit for each boosted stem that stands in the first characters. Null texts are empty.
     """
@@ -72,17 +77,38 @@ def counted(docs: DataFrame, key: str, text: str, boosted: Sequence[str] = BOOST
     for i, t in enumerate(boosted):
         marks = marks + F.when(head.contains(t), 1 << i).otherwise(0)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(keyword_tokens(F.col(text)), F.array().cast("array<string>")).alias("_t"), F.coalesce(marks, F.lit(0)).alias("marks"))
-    rows = rows.select("key", "marks", F.size("_t").cast("long").alias("length"), F.explode(F.concat(F.array(F.lit("")), F.col("_t"))).alias("token"))
-    return rows.groupBy("token", "key", "length", "marks").agg(F.count("*").alias("tf"))
+    rows = rows.select("key", F.size("_t").cast("long").alias("length"), "marks", F.explode(F.concat(F.array(F.lit("")), F.col("_t"))).alias("token"))
+    return batch_counts(rows, "key", "token").select("token", "key", "length", "marks", "tf")
 
 
-def postings(counts: DataFrame, boosted: Sequence[str] = BOOSTED) -> DataFrame:
-    """(stem, key, length, early, tf) of what `counted` gives: tokens of one stem put together."""
+def batch_counts(rows: DataFrame, key: str, token: str) -> DataFrame:
+    """`rows` with `tf`: those of a batch that have the same key and token as one, with their number. Nothing is shuffled.
+
+    A key's rows lie together, so they are in one batch or two, and sums over a key and token are right; the other columns follow from these two.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            who, what = (batch.column(c).dictionary_encode(null_encoding="encode") for c in (key, token))
+            pair = who.indices.to_numpy().astype(np.int64) * len(what.dictionary) + what.indices.to_numpy()
+            _, first, n = np.unique(pair, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(first)).columns, pa.array(n)], names=[*batch.schema.names, "tf"])
+
+    return rows.mapInArrow(each, StructType([*rows.schema, StructField("tf", LongType())]))
+
+
+def postings(counts: DataFrame, words: DataFrame, boosted: Sequence[str] = BOOSTED, parts: int = 1, tasks: int | None = None) -> DataFrame:
+    """(bucket, part, stem, key, length, early, tf) of what `counted` gives and its saved vocabulary: tokens of one stem put together.
+
+    Rows are dealt once, by bucket and a part of the keys, so that a stem that every document has lies in `parts` tasks.
+    """
     bits = {t: 1 << i for i, t in enumerate(boosted)}
     early = F.lit(False)
     for t, bit in bits.items():
         early = early | ((F.col("stem") == t) & (F.col("marks").bitwiseAND(F.lit(bit)) > 0))
-    return with_stem(counts).withColumn("early", early).groupBy("stem", "key", "length", "early").agg(F.sum("tf").alias("tf"))
+    rows = stem_known(counts, words).withColumn("early", early).withColumn("bucket", bucket(F.col("stem"))).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).drop("marks")
+    dealt = rows.repartition("bucket", "part") if tasks is None else rows.repartition(tasks, "bucket", "part")
+    return dealt.groupBy("bucket", "part", "stem", "key", "length", "early").agg(F.sum("tf").alias("tf"))
 
 
 def impact(tf: Column, length: Column, average: Column | float) -> Column:
@@ -174,13 +200,19 @@ def build(docs: DataFrame, log: Log, key: str = "doc_id", text: str = "text", bo
         sizes = counts.filter("token = ''").agg(F.count("*").alias("n"), F.avg("length").alias("average"), F.sum("length").alias("tokens")).first()
         n_docs, average = sizes["n"], float(sizes["average"] or 0.0)
         strength = impact(F.col("tf"), F.greatest(F.col("length"), F.lit(1)), max(average, 1.0))
-        postings(counts.filter("token <> ''"), boosted).write.parquet(f"{folder}/stemmed")
-        rows = spark.read.parquet(f"{folder}/stemmed").withColumn("_impact", strength).withColumn("band", F.least(F.floor(F.col("_impact") / ((K1 + 1) / BANDS)), F.lit(BANDS - 1)).cast("int")).withColumn("bucket", bucket(F.col("stem")))
-        words = rows.groupBy("bucket", "stem", "band").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("_impact").alias("best"), F.max("early").alias("early"))
-        words.repartition("bucket").sortWithinPartitions("bucket", "stem", F.desc("band")).write.partitionBy("bucket").parquet(f"{folder}/dictionary")
-        # by ranges, so that a stem that every document has is written by several tasks
-        rows.drop("_impact").repartitionByRange("bucket", "stem", F.desc("band"), "key").sortWithinPartitions("bucket", "stem", F.desc("band"), "key").write.partitionBy("bucket").parquet(f"{folder}/postings")
-        for part in ("counted", "stemmed"):
+        counts = counts.filter("token <> ''")
+        vocabulary(counts).write.parquet(f"{folder}/words")
+        words = spark.read.parquet(f"{folder}/words")
+        pairs = words.agg(F.sum("n")).first()[0] or 0
+        parts = max(1, -(-pairs // (BUCKETS * ROWS)))
+        rows = postings(counts, words, boosted, parts, 4 * BUCKETS * parts if pairs > ROWS else None)
+        banded = rows.withColumn("band", F.least(F.floor(strength / ((K1 + 1) / BANDS)), F.lit(BANDS - 1)).cast("int")).drop("part")
+        banded.sortWithinPartitions("bucket", "stem", F.desc("band"), "key").write.partitionBy("bucket").parquet(f"{folder}/postings")
+        # what was written is sorted, so a file has few rows for each stem and band
+        held = KeywordIndex(spark, {"folder": folder, "key_type": kind, "n_docs": n_docs, "average": average}).postings()
+        known = held.groupBy("bucket", "stem", "band").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max(strength).alias("best"), F.max("early").alias("early"))
+        known.repartition("bucket").sortWithinPartitions("bucket", "stem", F.desc("band")).write.partitionBy("bucket").parquet(f"{folder}/dictionary")
+        for part in ("counted", "words"):
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}")
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         return {"n_docs": n_docs, "average": average, "tokens": int(sizes["tokens"] or 0), "boosted": list(boosted), "key_type": kind}

@@ -7,9 +7,11 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from scholarlake.functions.stem import stem_known, vocabulary
 from scholarlake.operators import sparse_index as SI
 from scholarlake.sources import published as P
 from tests.plain_stem import stem
+from tests.shuffles import shuffled_rows
 
 
 @pytest.fixture(scope="module")
@@ -101,3 +103,34 @@ def test_keywords_of_questions(spark):
     assert got == {1: ["say", "dataset", "tabl", "日本語"], 2: ["what", "is", "the"], 3: [], 4: ["总结"]}
     counts = SI.keyword_counts(rows.withColumn("g", F.lit(7)), "text", "g", ["id"], most=3).collect()
     assert [(r.token, r.n) for r in sorted(counts, key=lambda r: r.place)] == [("what", 2), ("the", 2), ("dataset", 2)]
+
+
+def test_a_build_shuffles_postings_once(spark, tmp_path):
+    rnd = random.Random(5)
+    texts = [" ".join(f"{c}{rnd.randrange(40)}" for c in rnd.choices(["word", "plan", "note", "rate"], k=60)) for _ in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    index, rows = shuffled_rows(spark, lambda: SI.build(docs, P.Log(spark, str(tmp_path), "once")))
+    n = sum(len(set(t.split())) for t in texts)
+    assert index.postings().count() == n
+    # beside them only the words and the dictionary; each of four shuffles of all postings came to n rows before
+    assert rows < 2 * n
+
+
+def test_stems_of_frequent_words_and_the_rest(spark, tmp_path):
+    words = ["plans"] * 40 + ["planned"] * 30 + ["notes"] * 3 + ["rated", "x" * 80, None]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id long, token string")
+    vocabulary(rows).write.parquet(str(tmp_path / "v"))
+    for most in (0, 1, 2, 100):
+        got = {r.id: r.stem for r in stem_known(rows, spark.read.parquet(str(tmp_path / "v")), most=most).collect()}
+        assert got == {i: w and stem(w) for i, w in enumerate(words)}
+
+
+def test_counts_of_a_document_cut_by_batches(spark, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        docs = spark.createDataFrame([(1, "plan plans note " * 9), (2, None), (3, "note")], "doc_id long, text string")
+        index = SI.build(docs, P.Log(spark, str(tmp_path), "cut"))
+        assert {(r.stem, r.key): (r.tf, r.length) for r in index.postings().collect()} == {("plan", 1): (18, 27), ("note", 1): (9, 27), ("note", 3): (1, 1)}
+        assert (index.n_docs, index.state["tokens"]) == (3, 28)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
