@@ -1,9 +1,9 @@
 """The section that a figure or table belongs to: where its label is first mentioned, else where its page lies.
 
 Mentions are an inverted index of labels, so an asset meets the sections that name it by equality. Pages are an interval join:
-a section is entered under the blocks of pages that it covers, an asset looks in the block of its page. What no section
-covers takes the last section that ends before it, or the first that begins after it, by a running maximum of a paper's
-bounds. No asset meets all sections of its paper.
+a section is entered under the blocks of pages that it covers, a page looks in its block. What no section covers takes the
+last section that ends before it, or the first that begins after it, by running values of a paper's bounds. Each page of a
+paper is placed once, for all assets on it, and no asset meets all sections of its paper.
 """
 
 from __future__ import annotations
@@ -54,27 +54,41 @@ def by_mention(assets: DataFrame, sections: DataFrame) -> DataFrame:
     return first.join(bounds, ["paper", "section"]).select("asset", "section", F.lit("caption_reference").alias("relation"), gap.cast("long").alias("page_gap"), F.lit(0).cast("long").alias("order_gap"), "n")
 
 
+def places(pages: DataFrame, sections: DataFrame) -> DataFrame:
+    """(paper, page, relation, gap, section, heading_order): the sections around each (paper, page) that begin last, else those nearest before, else after."""
+    s = sections.select(F.col("paper").alias("_p"), "section", F.col("first_page").cast("long").alias("first_page"), F.col("last_page").cast("long").alias("last_page"), "heading_order")
+    pages = pages.select("paper", "page").distinct()
+    block = lambda c: F.floor(c / BLOCK)
+    covered = s.withColumn("_b", F.explode(F.sequence(block(F.col("first_page")), block(F.greatest("first_page", "last_page")))))
+    inside = pages.join(covered, (F.col("paper") == F.col("_p")) & (block(F.col("page")) == F.col("_b")) & F.col("page").between(F.col("first_page"), F.col("last_page")))
+    begins = inside.groupBy("paper", "page").agg(F.max("first_page").alias("inside"))
+    # the nearest bound on each side of a page, from bounds and pages of a paper in one order; each side by a running value, which costs a row once
+    none = F.lit(None).cast("long")
+    at = lambda c: F.col(c).cast("long").alias("at")
+    rows = s.select(F.col("_p").alias("paper"), none.alias("page"), at("last_page"), F.col("last_page").alias("last"), none.alias("first")).distinct()
+    rows = rows.unionByName(s.select(F.col("_p").alias("paper"), none.alias("page"), at("first_page"), none.alias("last"), F.col("first_page").alias("first")).distinct())
+    rows = rows.unionByName(pages.select("paper", "page", at("page"), none.alias("last"), none.alias("first")))
+    up, down = (Window.partitionBy("paper").orderBy(o).rangeBetween(Window.unboundedPreceding, -1) for o in (F.col("at").asc(), F.col("at").desc()))
+    around = rows.withColumn("before", F.max("last").over(up)).withColumn("after", F.min("first").over(down)).filter("page is not null").select("paper", "page", "before", "after")
+    near = around.join(begins, ["paper", "page"], "left")
+    which = F.when(F.col("inside").isNotNull(), "inside").when(F.col("before").isNotNull(), "before").when(F.col("after").isNotNull(), "after")
+    near = near.select("paper", F.col("page").alias("_page"), which.alias("relation"), F.coalesce("inside", "before", "after").alias("bound"))
+    # a section is entered under its first page, for pages inside and after, and under its last
+    ends = s.select("_p", F.explode(F.array(*[F.struct(F.lit(r).alias("_r"), F.col(c).alias("_at")) for r, c in (("inside", "first_page"), ("before", "last_page"), ("after", "first_page"))])).alias("_e"), "section", "heading_order", "last_page")
+    found = near.join(ends, (F.col("paper") == F.col("_p")) & (F.col("relation") == F.col("_e._r")) & (F.col("bound") == F.col("_e._at")) & ((F.col("relation") != "inside") | (F.col("last_page") >= F.col("_page"))))
+    return found.select("paper", F.col("_page").alias("page"), "relation", F.abs(F.col("_page") - F.col("bound")).alias("gap"), "section", "heading_order")
+
+
 def by_page(assets: DataFrame, sections: DataFrame) -> DataFrame:
-    """(asset, section, relation, page_gap, order_gap, n): the section around an asset's page that begins last, else the nearest before, else after; equal ones by how far the heading's order is, then the first."""
+    """(asset, section, relation, page_gap, order_gap, n): the section around an asset's page that begins last, else the nearest before, else after; equal ones by how far the heading's order is, then the first.
+
+    Pages are placed once, however many assets lie on them; an asset then meets the sections that are equally near.
+    """
     a = assets.select("paper", "asset", "page", "order")
-    s = sections.select(F.col("paper").alias("_p"), "section", "first_page", "last_page", "heading_order")
+    near = a.join(places(a.filter("paper is not null and page is not null"), sections), ["paper", "page"])
     far = F.abs(F.col("order") - F.col("heading_order"))
-    best = lambda rows, relation, gap: rows.groupBy("asset").agg(F.min(F.struct(gap.alias("gap"), far.alias("far"), "section")).alias("b")).select("asset", "b.section", F.lit(relation).alias("relation"), F.col("b.gap").cast("long").alias("page_gap"), F.col("b.far").cast("long").alias("order_gap"), F.lit(0).cast("long").alias("n"))
-    block = lambda c: F.floor(c / BLOCK)
-    covered = s.withColumn("_b", F.explode(F.sequence(block(F.col("first_page")), block(F.greatest("first_page", "last_page")))))
-    inside = a.join(covered, (F.col("paper") == F.col("_p")) & (block(F.col("page")) == F.col("_b")) & F.col("page").between(F.col("first_page"), F.col("last_page")))
-    inside = best(inside, "inside", F.col("page") - F.col("first_page"))
-    loose = a.join(inside.select("asset"), "asset", "left_anti")
-    # the nearest bound on each side of a page, from bounds and pages of a paper in one order
-    ends = s.select(F.col("_p").alias("paper"), F.lit(None).cast(dict(a.dtypes)["asset"]).alias("asset"), F.col("last_page").cast("long").alias("at"), F.col("last_page").cast("long").alias("last"), F.lit(None).cast("long").alias("first"))
-    starts = s.select(F.col("_p").alias("paper"), F.lit(None).cast(dict(a.dtypes)["asset"]).alias("asset"), F.col("first_page").cast("long").alias("at"), F.lit(None).cast("long").alias("last"), F.col("first_page").cast("long").alias("first"))
-    asked = loose.select("paper", "asset", F.col("page").cast("long").alias("at"), F.lit(None).cast("long").alias("last"), F.lit(None).cast("long").alias("first"))
-    w = Window.partitionBy("paper").orderBy("at")
-    around = ends.unionByName(starts).unionByName(asked).select("asset", F.max("last").over(w.rangeBetween(Window.unboundedPreceding, -1)).alias("before"), F.min("first").over(w.rangeBetween(1, Window.unboundedFollowing)).alias("after")).filter("asset is not null")
-    near = loose.join(around, "asset")
-    before = near.filter("before is not null").join(s, (F.col("paper") == F.col("_p")) & (F.col("before") == F.col("last_page")))
-    after = near.filter("before is null").join(s, (F.col("paper") == F.col("_p")) & (F.col("after") == F.col("first_page")))
-    return inside.unionByName(best(before, "before", F.col("page") - F.col("last_page"))).unionByName(best(after, "after", F.col("first_page") - F.col("page")))
+    best = near.groupBy("asset").agg(F.min(F.struct("gap", far.alias("far"), "section", "relation")).alias("b"))
+    return best.select("asset", "b.section", "b.relation", F.col("b.gap").cast("long").alias("page_gap"), F.col("b.far").cast("long").alias("order_gap"), F.lit(0).cast("long").alias("n"))
 
 
 def confidence(relation: Column, page_gap: Column, order_gap: Column, n: Column) -> Column:

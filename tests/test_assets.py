@@ -3,6 +3,7 @@
 import random
 
 from scholarlake.operators import assets as A
+from tests.shuffles import shuffled_rows
 
 SECTION = "paper long, section long, first_page long, last_page long, heading_order long, text string"
 ASSET = "asset long, paper long, kind string, caption string, page long, order long"
@@ -42,3 +43,14 @@ def test_places_are_those_of_all_pairs(spark):
     found = A.by_page(spark.createDataFrame(assets, ASSET), spark.createDataFrame(sections, SECTION)).collect()
     got = {r.asset: (("inside", "before", "after").index(r.relation), r.page_gap, r.order_gap, r.section) for r in found}
     assert got == {a[0]: p for a in assets if (p := place(a))} and len(found) == len(got)
+
+
+def test_pages_are_placed_once_for_all_assets(spark):
+    sections = spark.createDataFrame([(p, k, 5 * k + 3, 5 * k + 4, 10 * k, "") for p in range(3) for k in range(4)], SECTION)
+    assets = spark.range(30_000).selectExpr("id asset", "id % 3 paper", "'table' kind", "'' caption", "id % 30 page", "id % 50 order").select("asset", "paper", "kind", "caption", "page", "order")
+    near = A.places(assets, sections)
+    assert near.select("paper", "page").distinct().count() == 30 == near.count()
+    assert {(r.page, r.relation, r.gap, r.section) for r in near.filter("paper = 0").collect()} == {(0, "after", 3, 0), (3, "inside", 0, 0), (6, "before", 2, 0), (9, "inside", 1, 1), (12, "before", 3, 1), (15, "before", 1, 2), (18, "inside", 0, 3), (21, "before", 2, 3), (24, "before", 5, 3), (27, "before", 8, 3)}
+    got, rows = shuffled_rows(spark, lambda: A.by_page(assets, sections).count())
+    # assets and their best sections, not assets among the bounds of their papers
+    assert got == 30_000 and rows < 75_000
