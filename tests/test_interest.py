@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholarlake.operators import interest as N
+from tests.shuffles import shuffled_rows
 
 
 def unit(*v):
@@ -47,3 +48,16 @@ def test_chain_of_similarity(spark):
     got = {r.id: (r.s, r.w) for r in df.select("id", like.alias("s"), source.alias("w")).collect()}
     half = round(math.sqrt(0.5), 6)
     assert got == {1: (1.0, "negative_cluster"), 2: (half, "negative_example"), 3: (0.0, "none"), 4: (half, "legacy_disliked_vector"), 5: (0.0, "none")}
+
+
+def test_means_of_streamed_groups(spark):
+    rows = [(k % 3, k % 2, [1.0 * k, None, 2.0]) for k in range(3000)] + [(7, 0, [1.0, 2.0]), (7, 0, [3.0]), (7, 0, None), (8, 0, []), (None, 0, [2.0]), (None, 0, [2.0])]
+    df = spark.createDataFrame(rows, "user_id long, number int, u array<double>")
+    got, shuffled = shuffled_rows(spark, lambda: N.unit_means(df, "user_id", "number").collect())
+    want = {(a, b): [k for k in range(3000) if k % 3 == a and k % 2 == b] for a in range(3) for b in range(2)}
+    means = {g: [sum(ks) / len(ks), None, 2.0] for g, ks in want.items()} | {(7, 0): [2.0, 2.0], (None, 0): [2.0]}
+    plain = spark.createDataFrame([(*g, v) for g, v in means.items()], "user_id long, number int, v array<double>").select("user_id", "number", N.normalised(F.col("v")).alias("v")).collect()
+    assert {(r.user_id, r.number): r.vector and pytest.approx(r.vector) for r in got} == {(r.user_id, r.number): r.v for r in plain}
+    assert {(r.user_id, r.number): r.n for r in got} == {g: len(ks) for g, ks in want.items()} | {(7, 0): 2, (None, 0): 2}
+    # a row a vector, not a row an element
+    assert shuffled <= len(rows)
