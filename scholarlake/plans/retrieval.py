@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholarlake.functions import text as T
-from scholarlake.functions.stem import stems
+from scholarlake.functions.stem import stem_known, stems, vocabulary
 from scholarlake.operators import chunks as C
 from scholarlake.operators import index_rows as IR
 from scholarlake.operators import ranges as G
@@ -57,14 +57,19 @@ _CJK_LAST = r"list_concat(list_filter(t, lambda x: NOT regexp_matches(x, '^[\x{4
 @query(f"""WITH tok AS (SELECT doc_id, {_KEYWORDS} AS t FROM documents), o AS (SELECT doc_id, {_CJK_LAST} AS t FROM tok), raw AS (SELECT doc_id, unnest(t) AS token, unnest(range(len(t))) AS i FROM o), {stems_sql("raw")}
 SELECT doc_id, count(stem) AS n, count(DISTINCT stem) AS n_distinct, coalesce(string_agg(stem, ' ' ORDER BY i) FILTER (i < 5), '') AS first_five FROM documents LEFT JOIN (SELECT doc_id, i, stem FROM raw JOIN sm USING (token)) USING (doc_id) GROUP BY doc_id""")
 def f1_keyword_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", T.keyword_tokens(F.col("text")).alias("t"))
-    words = SI.stemmed(d, "t", "doc_id")
-    # a word of a document once with its number; of the places only the first five of a document go on
+    d = table(spark, sf_dir, "documents").select("doc_id", T.keyword_tokens(F.col("text")).alias("t"), F.col("text").rlike(f"[{T.CJK}]").alias("cjk"))
+    # a word of a document once or twice with its number, and its first five words with their places, which no word has before it
     latin = F.filter("t", lambda x: ~x.rlike(f"^[{T.CJK}]"))
-    first = d.select("doc_id", F.slice(F.concat(latin, F.filter("t", lambda x: x.rlike(f"^[{T.CJK}]"))), 1, 5).alias("t"))
-    first = SI.stemmed(first, "t", "doc_id").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "stem"))), lambda x: x["stem"]), " ").alias("first_five"))
-    counts = words.groupBy("doc_id", "stem").agg(F.count("stem").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("stem").alias("n_distinct"))
-    return counts.join(first, "doc_id").select("doc_id", "n", "n_distinct", "first_five")
+    latin_first = F.concat(latin, F.filter("t", lambda x: x.rlike(f"^[{T.CJK}]")))
+    first = F.when(F.col("cjk"), F.slice(latin_first, 1, 5)).otherwise(F.slice("t", 1, 5))
+    placed = F.transform(first, lambda x, i: F.concat(i.cast("string"), F.lit(" "), x))
+    rows = SI.batch_counts(d.select("doc_id", F.explode_outer(F.concat("t", placed)).alias("w")), "doc_id", "w")
+    rows = P.saved(rows.select("doc_id", F.substring_index("w", " ", -1).alias("token"), F.when(F.col("w").contains(" "), F.substring_index("w", " ", 1).cast("int")).alias("pos"), "tf"), "words")
+    words = P.saved(vocabulary(rows), "vocabulary")
+    stemmed = stem_known(rows.filter("pos is null").drop("pos"), words).repartition("doc_id")
+    counts = stemmed.groupBy("doc_id", "stem").agg(F.sum(F.when(F.col("stem").isNotNull(), F.col("tf")).otherwise(0)).alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("stem").alias("n_distinct"))
+    first = stem_known(rows.filter("pos is not null"), words).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "stem"))), lambda x: x["stem"]), " ").alias("first_five"))
+    return counts.join(first, "doc_id", "left").select("doc_id", "n", "n_distinct", F.coalesce("first_five", F.lit("")).alias("first_five"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in T.QUESTION_WORDS)
