@@ -138,7 +138,9 @@ def stem_of(token: Column) -> Column:
 
     known = F.create_map(*[F.lit(x) for pair in WHOLE.items() for x in pair])
     ruled = let(_marked(token), lambda w: let(_plural(w), lambda s: F.when(s.isin(list(WHOLE_AFTER_PLURAL)), s).otherwise(regions(w, s))))
-    return F.when(F.length(token) <= 2, token).when(token.isin(list(WHOLE)), known[token]).otherwise(ruled)
+    # no rule changes a word without a vowel, or with another last letter than these
+    same = (F.length(token) <= 2) | ~token.rlike(r"[aeiouy]") | ~token.rlike(r"[cdegilmnrsty]$")
+    return F.when(same, token).when(token.isin(list(WHOLE)), known[token]).otherwise(ruled)
 
 
 def with_stem(rows: DataFrame, token: str = "token", stem: str = "stem") -> DataFrame:

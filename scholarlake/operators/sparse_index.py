@@ -1,31 +1,36 @@
 """A published keyword index: postings by stem, and BM25 that reads only what it needs of them.
 
-Postings lie in partitions by a hash of their stem, sorted by stem and impact. The impact of a posting is what BM25
-gives it before the inverse document frequency, in one of BANDS bands; the dictionary says for each stem and band how many
-postings there are. So the best n of a query have a lower bound that follows from the dictionary alone, and bands that
+Postings lie in partitions by a hash of their stem, sorted by stem and impact, and a row holds those of a stem and band as
+lists. The impact of a posting is what BM25 gives it before the inverse document frequency, in one of BANDS bands; the
+dictionary says for each stem and band how many postings there are. So the best n of a query have a lower bound that follows from the dictionary alone, and bands that
 cannot reach it together with all other terms' best are not read.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from scholarlake.functions.stem import stem_known, stems, vocabulary, with_stem
+from scholarlake.functions.keywords import keyword_places
+from scholarlake.functions.stem import stem_of, stems, with_stem
 from scholarlake.functions.text import CJK, QUESTION_WORDS, keyword_tokens
 from scholarlake.operators.retrieval import K1, B, ranked
 from scholarlake.sources.published import Log
 
-LAYOUT, BUCKETS, BANDS = 1, 32, 64
-#: Postings of a bucket that one task writes, about.
-ROWS = 1_000_000
+LAYOUT, BUCKETS, BANDS = 2, 32, 64
+#: Postings of a bucket that one task writes, about, and most in one row.
+ROWS, LONGEST = 1_000_000, 65536
+#: Bytes of texts whose tokens are counted together, about.
+SEGMENT = 16_000_000
 #: Fixed value: stems that count more if they stand in the first characters of a text.
 BOOSTED = ("method", "dataset", "baselin", "ablat", "limit")
 BOOST, HEAD = 0.2, 300
@@ -68,17 +73,60 @@ def stemmed(rows: DataFrame, tokens: str, *keep: str) -> DataFrame:
 
 
 def counted(docs: DataFrame, key: str, text: str, boosted: Sequence[str] = BOOSTED) -> DataFrame:
-    """(token, key, length, marks, tf): a row or two per document and token, whose tf add up, and one with an empty token for each document.
+    """(token, stem, segment, n_docs, n_tokens, keys, numbers): a row per token and some documents that lie together, a segment, with those that have it.
 
-    The length is the number of tokens; `marks` has a bit for each boosted stem that stands in the first characters. Null texts are empty.
+    `numbers` packs (length, marks, tf) of each key: the length is the number of tokens; marks has a bit for each boosted stem that
+    stands in the first characters. A row with an empty token has the numbers of documents and tokens of a segment instead. Null
+    texts are empty. Nothing is shuffled.
     """
     head = F.lower(F.substring(text, 1, HEAD))
     marks = F.lit(0)
     for i, t in enumerate(boosted):
         marks = marks + F.when(head.contains(t), 1 << i).otherwise(0)
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(keyword_tokens(F.col(text)), F.array().cast("array<string>")).alias("_t"), F.coalesce(marks, F.lit(0)).alias("marks"))
-    rows = rows.select("key", F.size("_t").cast("long").alias("length"), "marks", F.explode(F.concat(F.array(F.lit("")), F.col("_t"))).alias("token"))
-    return batch_counts(rows, "key", "token").select("token", "key", "length", "marks", "tf")
+    rows = docs.select(F.col(key).alias("key"), F.concat(F.coalesce(F.lower(text), F.lit("")), F.lit("\n")).alias("text"), F.coalesce(marks, F.lit(0)).alias("marks"))
+    kind = dict(rows.dtypes)["key"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _segments(batch):
+                yield _counted(part)
+
+    found = rows.mapInArrow(each, f"token string, segment long, n_docs long, n_tokens long, keys array<{kind}>, numbers binary")
+    return found.withColumn("stem", stem_of(F.col("token")))
+
+
+def _segments(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about SEGMENT bytes of text, a longer text alone."""
+    ends, at = np.cumsum(pc.binary_length(batch.column("text")).to_numpy()), 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SEGMENT, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _counted(part: pa.RecordBatch) -> pa.RecordBatch:
+    words, word, text = keyword_places(part.column("text"))
+    docs = part.num_rows
+    pair, tf = np.unique(word * docs + text, return_counts=True)
+    word, place = pair // docs, pair % docs
+    length = np.bincount(text, minlength=docs)
+    cut = np.append(np.flatnonzero(np.diff(word, prepend=-1)), len(word))
+    numbers = np.stack([length[place], part.column("marks").to_numpy()[place], tf], axis=1).astype(np.int32)
+    cut = np.append(0, cut)  # the first row has no documents of its own
+    token = pa.concat_arrays([pa.array([""]), words.take(pa.array(word[cut[1:-1]]))])
+    n = len(token)
+    of_first = np.arange(n) == 0
+    return pa.RecordBatch.from_arrays(
+        [
+            token,
+            pa.array(np.full(n, zlib.crc32(str(part.column("key")[0]).encode()))),
+            pa.array(np.where(of_first, docs, 0)),
+            pa.array(np.where(of_first, len(text), 0)),
+            pa.ListArray.from_arrays(pa.array(cut, pa.int32()), part.column("key").take(pa.array(place))),
+            pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((cut * 12).astype(np.int32)), pa.py_buffer(numbers)]),
+        ],
+        names=["token", "segment", "n_docs", "n_tokens", "keys", "numbers"],
+    )
 
 
 def batch_counts(rows: DataFrame, key: str, token: str) -> DataFrame:
@@ -97,21 +145,76 @@ def batch_counts(rows: DataFrame, key: str, token: str) -> DataFrame:
     return rows.mapInArrow(each, StructType([*rows.schema, StructField("tf", LongType())]))
 
 
-def postings(counts: DataFrame, words: DataFrame, boosted: Sequence[str] = BOOSTED, parts: int = 1, tasks: int | None = None) -> DataFrame:
-    """(bucket, part, stem, key, length, early, tf) of what `counted` gives and its saved vocabulary: tokens of one stem put together.
+def postings(counts: DataFrame, average: float, boosted: Sequence[str] = BOOSTED, parts: int = 1, tasks: int | None = None) -> DataFrame:
+    """(bucket, stem, band, df, cf, best, early, keys, lengths, earlies, tfs) of what `counted` gives: tokens of one stem put together.
 
-    Rows are dealt once, by bucket and a part of the keys, so that a stem that every document has lies in `parts` tasks.
+    Rows are dealt once, by bucket and a part of the segments, so that a stem that every document has lies in `parts` tasks. There they are
+    sorted by stem and put together as they pass.
     """
-    bits = {t: 1 << i for i, t in enumerate(boosted)}
-    early = F.lit(False)
-    for t, bit in bits.items():
-        early = early | ((F.col("stem") == t) & (F.col("marks").bitwiseAND(F.lit(bit)) > 0))
-    rows = stem_known(counts, words).withColumn("early", early).withColumn("bucket", bucket(F.col("stem"))).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).drop("marks")
+    bit = F.coalesce(*[F.when(F.col("stem") == t, F.lit(1 << i)) for i, t in enumerate(boosted)], F.lit(0))
+    rows = counts.select("stem", bucket(F.col("stem")).alias("bucket"), F.pmod(F.xxhash64("segment"), F.lit(parts)).cast("int").alias("part"), bit.alias("bit"), "keys", "numbers")
     dealt = rows.repartition("bucket", "part") if tasks is None else rows.repartition(tasks, "bucket", "part")
-    return dealt.groupBy("bucket", "part", "stem", "key", "length", "early").agg(F.sum("tf").alias("tf"))
-
+    kind = dict(rows.dtypes)["keys"]
 
-def impact(tf: Column, length: Column, average: Column | float) -> Column:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            stem, part = batch.column("stem").dictionary_encode().indices.to_numpy(), batch.column("part").to_numpy()
+            news = np.flatnonzero((np.diff(stem) != 0) | (np.diff(part) != 0)) + 1
+            if held and (held[-1].column("stem")[-1], held[-1].column("part")[-1]) != (batch.column("stem")[0], batch.column("part")[0]):
+                news = np.append(0, news)
+            if len(news):  # what is before the last stem of a batch is whole
+                held.append(batch.slice(0, news[-1]))
+                yield _together(held, average)
+                held = []
+            held.append(batch.slice(news[-1] if len(news) else 0))
+        if held:
+            yield _together(held, average)
+
+    return dealt.sortWithinPartitions("bucket", "part", "stem").mapInArrow(each, f"bucket int, stem string, band int, df long, cf long, best double, early boolean, keys {kind}, lengths array<int>, earlies array<boolean>, tfs array<int>")
+
+
+def _together(batches: list[pa.RecordBatch], average: float) -> pa.RecordBatch:
+    """Sorted rows of whole stems as a row per stem and band, LONGEST postings at most."""
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    column = {c: rows.column(c).chunk(0) for c in rows.column_names}
+    stem, part, bit = column["stem"].dictionary_encode().indices.to_numpy(), column["part"].to_numpy(), column["bit"].to_numpy()
+    first = (np.diff(stem, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0)
+    sizes = pc.list_value_length(column["keys"]).to_numpy()
+    of, at = np.repeat(np.cumsum(first) - 1, sizes), np.flatnonzero(first)
+    keys, length, marks, tf = pc.list_flatten(column["keys"]), *_unpacked(column["numbers"]).T
+    key, early = pc.rank(keys, tiebreaker="dense").to_numpy().astype(np.int64), (marks & np.repeat(bit, sizes)) > 0
+    # tokens of one stem in a document become one posting
+    order = np.lexsort((length, key, of))
+    of, key, length, early = of[order], key[order], length[order], early[order]
+    one = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(key, prepend=-1) != 0) | (np.diff(length, prepend=-1) != 0))
+    tf, early = np.add.reduceat(tf[order].astype(np.int64), one), np.logical_or.reduceat(early, one)
+    of, length, place = of[one], length[one], order[one]
+    strength = impact(tf, np.maximum(length, 1), max(average, 1.0))
+    band = np.minimum(np.floor(strength / ((K1 + 1) / BANDS)), BANDS - 1).astype(np.int64)
+    block = of * BANDS + (BANDS - 1 - band)
+    order = np.argsort(block, kind="stable")
+    block, length, early, tf, strength, place = block[order], length[order], early[order], tf[order], strength[order], place[order]
+    cut = np.flatnonzero(np.diff(block, prepend=-1))
+    nth = np.arange(len(block)) - np.repeat(cut, np.diff(np.append(cut, len(block))))
+    cut = np.flatnonzero(nth % LONGEST == 0)
+    of, ends = block[cut] // BANDS, pa.array(np.append(cut, len(block)), pa.int32())
+    listed = (keys.take(pa.array(place)), pa.array(length, pa.int32()), pa.array(early), pa.array(tf, pa.int32()))
+    summed = (np.diff(np.append(cut, len(block))), np.add.reduceat(tf, cut), np.maximum.reduceat(strength, cut), np.logical_or.reduceat(early, cut))
+    whose = pa.array(at[of])
+    return pa.RecordBatch.from_arrays(
+        [column["bucket"].take(whose), column["stem"].take(whose), pa.array(BANDS - 1 - block[cut] % BANDS, pa.int32()), *map(pa.array, summed), *(pa.ListArray.from_arrays(ends, x) for x in listed)],
+        names=["bucket", "stem", "band", "df", "cf", "best", "early", "keys", "lengths", "earlies", "tfs"],
+    )
+
+
+def _unpacked(numbers: pa.BinaryArray) -> np.ndarray:
+    """Triples of packed numbers, a row each."""
+    at = np.frombuffer(numbers.buffers()[1], np.int32)[numbers.offset : numbers.offset + len(numbers) + 1]
+    return np.frombuffer(numbers.buffers()[2] or b"", np.int32)[at[0] // 4 : at[-1] // 4].reshape(-1, 3)
+
+
+def impact(tf: Column | np.ndarray, length: Column | np.ndarray, average: Column | float) -> Column | np.ndarray:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
@@ -126,9 +229,15 @@ class KeywordIndex:
         """(stem, band, df, cf, best, early): postings of a stem in a band, its occurrences there, the greatest impact, whether any is early."""
         return self.spark.read.schema("stem string, band int, df long, cf long, best double, early boolean, bucket int").parquet(f"{self.state['folder']}/dictionary")
 
+    def blocks(self) -> DataFrame:
+        """(stem, band, df, cf, best, early, keys, lengths, earlies, tfs, bucket): postings of a stem and band as lists, in one row or more."""
+        lists = f"keys array<{self.state['key_type']}>, lengths array<int>, earlies array<boolean>, tfs array<int>"
+        return self.spark.read.schema(f"stem string, band int, df long, cf long, best double, early boolean, {lists}, bucket int").parquet(f"{self.state['folder']}/postings")
+
     def postings(self) -> DataFrame:
         """(stem, key, length, early, tf, band, bucket), sorted by stem and band from above within a bucket."""
-        return self.spark.read.schema(f"stem string, key {self.state['key_type']}, length long, early boolean, tf long, band int, bucket int").parquet(f"{self.state['folder']}/postings")
+        rows = self.blocks().select("stem", "band", "bucket", F.inline(F.arrays_zip("keys", "lengths", "earlies", "tfs")).alias("key", "length", "early", "tf"))
+        return rows.select("stem", "key", F.col("length").cast("long").alias("length"), "early", F.col("tf").cast("long").alias("tf"), "band", "bucket")
 
     def _asked(self, terms: DataFrame, n: int | None = None) -> list[tuple]:
         """(query_id, stem, bucket, qtf, idf, least_band) of the terms of a stated set of queries that any document has.
@@ -197,29 +306,21 @@ def build(docs: DataFrame, log: Log, key: str = "doc_id", text: str = "text", bo
     def write(folder: str) -> dict:
         counted(docs, key, text, boosted).write.parquet(f"{folder}/counted")
         counts = spark.read.parquet(f"{folder}/counted")
-        sizes = counts.filter("token = ''").agg(F.count("*").alias("n"), F.avg("length").alias("average"), F.sum("length").alias("tokens")).first()
-        n_docs, average = sizes["n"], float(sizes["average"] or 0.0)
-        strength = impact(F.col("tf"), F.greatest(F.col("length"), F.lit(1)), max(average, 1.0))
-        counts = counts.filter("token <> ''")
-        vocabulary(counts).write.parquet(f"{folder}/words")
-        words = spark.read.parquet(f"{folder}/words")
-        pairs = words.agg(F.sum("n")).first()[0] or 0
+        sizes = counts.agg(F.sum("n_docs"), F.sum("n_tokens"), F.sum(F.size("keys").cast("long"))).first()
+        n_docs, tokens, pairs = (int(n or 0) for n in sizes)
+        average = tokens / n_docs if n_docs else 0.0
         parts = max(1, -(-pairs // (BUCKETS * ROWS)))
-        rows = postings(counts, words, boosted, parts, 4 * BUCKETS * parts if pairs > ROWS else None)
-        banded = rows.withColumn("band", F.least(F.floor(strength / ((K1 + 1) / BANDS)), F.lit(BANDS - 1)).cast("int")).drop("part")
-        banded.sortWithinPartitions("bucket", "stem", F.desc("band"), "key").write.partitionBy("bucket").parquet(f"{folder}/postings")
-        # what was written is sorted, so a file has few rows for each stem and band
-        held = KeywordIndex(spark, {"folder": folder, "key_type": kind, "n_docs": n_docs, "average": average}).postings()
-        known = held.groupBy("bucket", "stem", "band").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max(strength).alias("best"), F.max("early").alias("early"))
-        known.repartition("bucket").sortWithinPartitions("bucket", "stem", F.desc("band")).write.partitionBy("bucket").parquet(f"{folder}/dictionary")
-        for part in ("counted", "words"):
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}")
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        return {"n_docs": n_docs, "average": average, "tokens": int(sizes["tokens"] or 0), "boosted": list(boosted), "key_type": kind}
+        postings(counts.filter("token <> ''"), average, boosted, parts, 4 * BUCKETS * parts if pairs > ROWS else None).write.partitionBy("bucket").parquet(f"{folder}/postings")
+        known = KeywordIndex(spark, {"folder": folder, "key_type": kind, "n_docs": n_docs, "average": average}).blocks().repartition("bucket")
+        known = known.groupBy("bucket", "stem", "band").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.max("best").alias("best"), F.max("early").alias("early"))
+        known.sortWithinPartitions("bucket", "stem", F.desc("band")).write.partitionBy("bucket").parquet(f"{folder}/dictionary")
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/counted")
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        return {"n_docs": n_docs, "average": average, "tokens": tokens, "boosted": list(boosted), "key_type": kind}
 
     def check(folder: str, state: dict) -> str | None:
         known = spark.read.parquet(f"{folder}/dictionary").agg(F.sum("df").alias("n"), F.sum("cf").alias("tokens")).first() if state["n_docs"] else None
-        held = spark.read.parquet(f"{folder}/postings").count() if known and known["n"] else 0
+        held = spark.read.parquet(f"{folder}/postings").agg(F.sum(F.size("tfs").cast("long"))).first()[0] if known and known["n"] else 0
         if known and known["n"] and (known["n"] != held or known["tokens"] != state["tokens"]):
             return f"{held} postings and {known['tokens']} tokens, not {known['n']} and {state['tokens']}"
         return None

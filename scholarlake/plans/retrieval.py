@@ -36,7 +36,7 @@ def _asked(spark: SparkSession) -> DataFrame:
 
 def keyword_index(spark: SparkSession, sf_dir: str) -> SI.KeywordIndex:
     """The published index of a table of documents as it is now; built if there is none of just these files."""
-    log = P.Log(spark, f"{P.shared_dir(spark)}/published", f"keywords-{P.fingerprint(spark, f'{sf_dir}/documents.parquet')}")
+    log = P.Log(spark, f"{P.shared_dir(spark)}/published", f"keywords{SI.LAYOUT}-{P.fingerprint(spark, f'{sf_dir}/documents.parquet')}")
     found = SI.opened(spark, log)
     if found is None:
         found = SI.build(table(spark, sf_dir, "documents"), log, boosted=stems(spark, _EARLY_WORDS))

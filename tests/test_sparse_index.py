@@ -4,10 +4,14 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from scholarlake.functions.keywords import keyword_places
 from scholarlake.functions.stem import stem_known, vocabulary
+from scholarlake.functions.text import keyword_tokens
 from scholarlake.operators import sparse_index as SI
 from scholarlake.sources import published as P
 from tests.plain_stem import stem
@@ -134,3 +138,45 @@ def test_counts_of_a_document_cut_by_batches(spark, tmp_path):
         assert (index.n_docs, index.state["tokens"]) == (3, 28)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_build_moves_words_of_many_documents_as_one_row(spark, tmp_path):
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choices([f"{c}{c}word{i}" for c in "abcd" for i in range(10)], k=60)) for _ in range(400)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(2)
+    index, rows = shuffled_rows(spark, lambda: SI.build(docs, P.Log(spark, str(tmp_path), "lists")))
+    n = sum(len(set(t.split())) for t in texts)
+    assert index.postings().count() == n and index.blocks().count() < n / 4
+    assert rows < n / 4  # a row for each posting before
+
+
+def test_words_of_bytes_are_those_of_the_expression(spark):
+    rnd = random.Random(7)
+    odd = ["ab", "a", "-", "_", "9", "42", "x1", "1-2_3", "aaaaa", "baaaaac", "-----ab", "日本語", "日", "語語語語語", "一", "龥龥", "é", "ê", "İ", "K", " ", "\n", "\ufffd", "𝄞", "䷿䷿", "ꀀꀀ", "--a-b--", "AbC", "\x00", "ß"]
+    texts = ["".join(rnd.choices(odd, k=rnd.randrange(30))) for _ in range(500)] + [None, "", "日本", "ab" * 3000, "_" * 3000 + "ab"]
+    rows = spark.createDataFrame([*enumerate(texts)], "i int, text string").select("i", keyword_tokens(F.col("text")).alias("t"), F.concat(F.coalesce(F.lower("text"), F.lit("")), F.lit("\n")).alias("low")).orderBy("i").collect()
+    for k in (0, 17):  # of a slice as well
+        words, word, text = keyword_places(pa.array([r.low for r in rows]).slice(k))
+        got = Counter((int(j) + k, words[int(w)].as_py()) for w, j in zip(word, text))
+        assert got == Counter((r.i, t) for r in rows[k:] for t in r.t or ())
+    assert len(got) > 1000
+
+
+def test_postings_put_together_across_batches_and_rows(spark, monkeypatch):
+    monkeypatch.setattr(SI, "LONGEST", 3)
+    table = pa.table({"key": [f"k{i}" for i in range(40)], "text": ["plan plans " + "note " * (i % 5) + "\n" for i in range(40)], "marks": pa.array([i % 2 for i in range(40)], pa.int32())})
+    counts = [SI._counted(b) for b in table.to_batches(max_chunksize=7)]
+    rows = []
+    for c in counts:
+        of = [(stem(t), n, k, b) for t, n, k, b in zip(*(c.column(x).to_pylist() for x in ("token", "n_docs", "keys", "numbers"))) if t]
+        rows += [(s, k, b) for s, _, k, b in of]
+        assert c.column("n_docs")[0].as_py() == c.column("n_docs").to_numpy().sum() and c.column("token")[0].as_py() == ""
+    rows.sort(key=lambda r: r[0])
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([0] * len(rows), pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([int(r[0] == "note") for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], names=["stem", "bucket", "part", "bit", "keys", "numbers"])
+    out = SI._together([batch.slice(0, 9), batch.slice(9)], 4.0).to_pylist()
+    got = {(r["stem"], k): (n, e, t) for r in out for k, n, e, t in zip(r["keys"], r["lengths"], r["earlies"], r["tfs"])}
+    want = {("plan", f"k{i}"): (2 + i % 5, False, 2) for i in range(40)} | {("note", f"k{i}"): (2 + i % 5, i % 2 == 1, i % 5) for i in range(40) if i % 5}
+    assert got == want and sum(r["df"] for r in out) == len(want) and max(r["df"] for r in out) == 3
+    for r in out:
+        strength = SI.impact(np.array(r["tfs"]), np.array(r["lengths"]), 4.0)
+        assert r["best"] == strength.max() and set((strength * SI.BANDS / 2.5).astype(int)) == {r["band"]} and r["cf"] == sum(r["tfs"]) and r["early"] == any(r["earlies"])
