@@ -401,20 +401,22 @@ pr AS (SELECT paper, anchor, ord, 'self' AS relation, 0 AS distance, 1 AS n FROM
   UNION ALL SELECT paper, anchor, ord, 'cited_asset_context', far, row_number() OVER (PARTITION BY paper, anchor ORDER BY ord) + 1 FROM pp WHERE kind = 'table' AND label = cites)"""
 
 
-def _around(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(chunks, relations): what the policy adds to each anchor."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag")).alias("r"))
+def _around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the policy adds to each anchor."""
+    # papers are dealt before their repeated lines are put together, so they are shuffled once
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").repartition("l_orderkey")
+    li = li.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag")).alias("r"))
     part, supp = F.col("r.l_partkey"), F.col("r.l_suppkey")
     section = F.concat(F.lit("S"), (part % 3).cast("string"), F.when(supp % 2 == 0, F.concat(F.lit(" > T"), (part % 2).cast("string"))).otherwise(""))
     table_of = lambda n: F.concat(F.lit("table "), (n % 4).cast("string"))
-    chunks = li.select(F.col("l_orderkey").alias("paper"), F.col("l_linenumber").alias("ord"), section.alias("section"), (part % 6).alias("page"), (supp % 3).alias("parent"), F.when(F.col("r.l_returnflag") == "R", "table").otherwise("body").alias("kind"), table_of(part).alias("label"))
-    anchors = li.filter(part % 3 == 0).select(F.col("l_orderkey").alias("paper"), F.col("l_linenumber").alias("anchor"), F.array_compact(F.array(F.when(F.col("l_linenumber") % 2 == 1, table_of(supp)))).alias("cites"))
-    return chunks, C.around(anchors, chunks, _AROUND)
+    cites = F.when(part % 3 == 0, F.array_compact(F.array(F.when(F.col("l_linenumber") % 2 == 1, table_of(supp)))))
+    chunks = li.select(F.col("l_orderkey").alias("paper"), F.col("l_linenumber").alias("ord"), section.alias("section"), (part % 6).alias("page"), (supp % 3).alias("parent"), F.when(F.col("r.l_returnflag") == "R", "table").otherwise("body").alias("kind"), table_of(part).alias("label"), cites.alias("cites"))
+    return C.around(chunks, _AROUND, dealt=True)
 
 
 @query(f"WITH {_PATHS} SELECT paper, anchor, ord, relation, CAST(distance AS BIGINT) AS distance FROM pr WHERE n <= 3")
 def x2_x8_policy_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _around(spark, sf_dir)[1]
+    return _around(spark, sf_dir).drop("kind")
 
 
 _CANDS = f"""{_PATHS}, sc AS (SELECT paper, anchor, ord, kind, relation, distance, round(greatest(0, least(1, 0.3 + 0.1 * anchor) * 0.55 + CASE relation {" ".join(f"WHEN '{k}' THEN {v}" for k, v in R.RELATION.items())} ELSE 0.10 END
@@ -422,10 +424,8 @@ _CANDS = f"""{_PATHS}, sc AS (SELECT paper, anchor, ord, kind, relation, distanc
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks, found = _around(spark, sf_dir)
-    rows = found.join(chunks.select("paper", "ord", "kind"), ["paper", "ord"])
     bonus = F.when(F.col("kind") == "table", 0.12).otherwise(0.0)
-    return rows.withColumn("score", R.expansion_score(0.3 + 0.1 * F.col("anchor"), F.col("relation"), F.col("distance"), bonus, F.col("ord") % 2 == 0))
+    return _around(spark, sf_dir).withColumn("score", R.expansion_score(0.3 + 0.1 * F.col("anchor"), F.col("relation"), F.col("distance"), bonus, F.col("ord") % 2 == 0))
 
 
 @query(f"WITH {_CANDS} SELECT paper, anchor, ord, relation, CAST(distance AS BIGINT) AS distance, CAST(score AS DOUBLE) AS score FROM sc")
