@@ -24,6 +24,7 @@ from scholarlake.functions.keywords import keyword_places
 from scholarlake.functions.stem import stem_of, stems, with_stem
 from scholarlake.functions.text import CJK, QUESTION_WORDS, keyword_tokens
 from scholarlake.operators.retrieval import K1, B, ranked
+from scholarlake.operators.streamed import starts, whole
 from scholarlake.sources.published import Log
 
 LAYOUT, BUCKETS, BANDS = 2, 32, 64
@@ -157,29 +158,16 @@ def postings(counts: DataFrame, average: float, boosted: Sequence[str] = BOOSTED
     kind = dict(rows.dtypes)["keys"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            stem, part = batch.column("stem").dictionary_encode().indices.to_numpy(), batch.column("part").to_numpy()
-            news = np.flatnonzero((np.diff(stem) != 0) | (np.diff(part) != 0)) + 1
-            if held and (held[-1].column("stem")[-1], held[-1].column("part")[-1]) != (batch.column("stem")[0], batch.column("part")[0]):
-                news = np.append(0, news)
-            if len(news):  # what is before the last stem of a batch is whole
-                held.append(batch.slice(0, news[-1]))
-                yield _together(held, average)
-                held = []
-            held.append(batch.slice(news[-1] if len(news) else 0))
-        if held:
-            yield _together(held, average)
+        for batch in whole(batches, "part", "stem"):
+            yield _together(batch, average)
 
     return dealt.sortWithinPartitions("bucket", "part", "stem").mapInArrow(each, f"bucket int, stem string, band int, df long, cf long, best double, early boolean, keys {kind}, lengths array<int>, earlies array<boolean>, tfs array<int>")
 
 
-def _together(batches: list[pa.RecordBatch], average: float) -> pa.RecordBatch:
+def _together(rows: pa.RecordBatch, average: float) -> pa.RecordBatch:
     """Sorted rows of whole stems as a row per stem and band, LONGEST postings at most."""
-    rows = pa.Table.from_batches(batches).combine_chunks()
-    column = {c: rows.column(c).chunk(0) for c in rows.column_names}
-    stem, part, bit = column["stem"].dictionary_encode().indices.to_numpy(), column["part"].to_numpy(), column["bit"].to_numpy()
-    first = (np.diff(stem, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0)
+    column = dict(zip(rows.schema.names, rows.columns, strict=True))
+    first, bit = starts(rows, "part", "stem"), column["bit"].to_numpy()
     sizes = pc.list_value_length(column["keys"]).to_numpy()
     of, at = np.repeat(np.cumsum(first) - 1, sizes), np.flatnonzero(first)
     keys, length, marks, tf = pc.list_flatten(column["keys"]), *_unpacked(column["numbers"]).T

@@ -13,6 +13,7 @@ from scholarlake.functions.keywords import keyword_places
 from scholarlake.functions.stem import stem_known, vocabulary
 from scholarlake.functions.text import keyword_tokens
 from scholarlake.operators import sparse_index as SI
+from scholarlake.operators.streamed import whole
 from scholarlake.sources import published as P
 from tests.plain_stem import stem
 from tests.shuffles import shuffled_rows
@@ -173,7 +174,7 @@ def test_postings_put_together_across_batches_and_rows(spark, monkeypatch):
         assert c.column("n_docs")[0].as_py() == c.column("n_docs").to_numpy().sum() and c.column("token")[0].as_py() == ""
     rows.sort(key=lambda r: r[0])
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([0] * len(rows), pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([int(r[0] == "note") for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], names=["stem", "bucket", "part", "bit", "keys", "numbers"])
-    out = SI._together([batch.slice(0, 9), batch.slice(9)], 4.0).to_pylist()
+    out = [r for b in whole(iter([batch.slice(0, 9), batch.slice(9)]), "part", "stem") for r in SI._together(b, 4.0).to_pylist()]
     got = {(r["stem"], k): (n, e, t) for r in out for k, n, e, t in zip(r["keys"], r["lengths"], r["earlies"], r["tfs"])}
     want = {("plan", f"k{i}"): (2 + i % 5, False, 2) for i in range(40)} | {("note", f"k{i}"): (2 + i % 5, i % 2 == 1, i % 5) for i in range(40) if i % 5}
     assert got == want and sum(r["df"] for r in out) == len(want) and max(r["df"] for r in out) == 3
