@@ -34,6 +34,8 @@ def test_pairs_are_what_expressions_say(spark, monkeypatch):
         monkeypatch.setattr(A, "PAIRS", 60)
         columns = "profile_score", "profile_penalty"
         assert _of(A.profile_pairs(users, papers), *columns) == _of(plain, *columns)
+        columns = "request_score", "request_penalty", "excluded"
+        assert _of(A.request_pairs(users, papers), *columns) == _of(plain, *columns)
         final = F.round(F.coalesce("query_match", F.lit(0.0)) * 0.6 + F.col("personal") * 0.3 + F.col("profile_score") - F.col("profile_penalty") + F.col("request_score") - F.col("request_penalty"), 5)
         first = lambda rows: {tuple(r) for r in R.ranked(rows, ["user_id"], F.desc("final"), F.asc("paper_id"), n=5).select("user_id", "paper_id", "final", "rank").collect()}
         known = papers.withColumn("query_match", F.coalesce("query_match", F.lit(0.0)))
@@ -42,11 +44,11 @@ def test_pairs_are_what_expressions_say(spark, monkeypatch):
 
 def test_no_papers_and_no_users(spark):
     users, papers = _sides(spark)
-    assert A.profile_pairs(users, papers.limit(0)).count() == 0 and A.best_pairs(users.limit(0), papers, 5).count() == 0
+    assert A.profile_pairs(users, papers.limit(0)).count() == 0 and A.request_pairs(users.limit(0), papers).count() == 0
 
 
 def test_no_pair_is_joined(spark, sf_dir):
-    for query in (plans.f19_profile_adjustment, plans.f21_search_rerank):
+    for query in (plans.f19_profile_adjustment, plans.f20_context_adjustment, plans.f21_search_rerank):
         plan = query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan, query.__name__
 
