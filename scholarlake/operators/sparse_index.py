@@ -89,14 +89,14 @@ def counted(docs: DataFrame, key: str, text: str, boosted: Sequence[str] = BOOST
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _segments(batch):
+            for part in segments(batch):
                 yield _counted(part)
 
     found = rows.mapInArrow(each, f"token string, segment long, n_docs long, n_tokens long, keys array<{kind}>, numbers binary")
     return found.withColumn("stem", stem_of(F.col("token")))
 
 
-def _segments(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def segments(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch in parts of about SEGMENT bytes of text, a longer text alone."""
     ends, at = np.cumsum(pc.binary_length(batch.column("text")).to_numpy()), 0
     while at < len(ends):
