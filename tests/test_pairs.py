@@ -5,8 +5,10 @@ import random
 from pyspark.sql import functions as F
 
 from scholarlake.operators import adjust as A
+from scholarlake.operators import recommend as N
 from scholarlake.operators import retrieval as R
 from scholarlake.plans import adjust as plans
+from scholarlake.plans.recommend import _recall
 
 
 def _sides(spark):
@@ -60,3 +62,32 @@ def test_rounded_as_decimals(spark):
     x = [rnd.choice((-1, 1)) * (rnd.randint(0, 10**7) + rnd.choice((0.5, 0.25, rnd.random()))) / 1e5 for _ in range(4000)]
     want = [r.x for r in spark.createDataFrame([(k, v) for k, v in enumerate(x)], "k int, x double").select("k", F.round("x", 5).alias("x")).orderBy("k").collect()]
     assert R.rounded(np.array(x), 5).tolist() == want
+
+
+def test_groups_are_the_candidates(spark, sf_dir):
+    recall = _recall(spark, sf_dir)
+    users, found = N.candidate_groups(*recall)
+    got = users.select("user_id", F.explode("groups").alias("g")).join(found.select("vec_id", F.explode("groups").alias("g")), "g").select("user_id", "vec_id").distinct()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, N.candidates(*recall).collect())) != []
+
+
+def test_choices_beside_the_papers(spark, monkeypatch):
+    users, papers = _sides(spark)
+    rnd = random.Random(5)
+    groups = {p: rnd.sample(["1", "2", "newest"], rnd.randint(1, 2)) for p in range(40)}
+    more = spark.createDataFrame([(p, g, rnd.random(), p % 4, [rnd.uniform(-1, 1) for _ in range(6)]) for p, g in groups.items()], "paper_id long, groups array<string>, score double, cluster long, v array<double>")
+    users = users.filter("user_id is not null").withColumn("groups", F.when(F.col("user_id") % 3 == 0, F.array(F.lit("newest"))).when(F.col("user_id") % 3 == 1, F.array(F.lit("1"), F.lit("2"))).otherwise(F.array(F.lit("4"))))
+    papers = papers.join(more, "paper_id").cache()
+    both = users.withColumnRenamed("groups", "asked_groups").crossJoin(papers).filter(F.arrays_overlap("groups", "asked_groups"))
+    both = A.with_request(A.with_profile(both)).filter("not excluded")
+    plain = both.select("user_id", F.col("paper_id").alias("vec_id"), "cluster", F.round(F.col("score") + (F.col("profile_score") - F.col("profile_penalty") + F.col("request_score") - F.col("request_penalty")), 5).alias("score"))
+    want = sorted(map(tuple, N.diversify(plain, papers.select(F.col("paper_id").alias("vec_id"), "v"), 6).collect()))
+    assert len(want) > 100
+    for most in (4096, 15):
+        monkeypatch.setattr(A, "MOST_PAPERS", most)
+        assert sorted(map(tuple, A.recommended(users, papers, 6).select("user_id", "vec_id", "cluster", "score", "selection_rank").collect())) == want
+
+
+def test_candidates_are_not_dealt(spark, sf_dir):
+    plan = plans.p4_contextual_recommendation(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "Join" not in plan  # all that is joined is a row a user or a row a paper, and written
