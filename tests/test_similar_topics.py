@@ -2,6 +2,7 @@
 
 import random
 
+from scholarlake.operators import likeness
 from scholarlake.operators import profile as P
 from scholarlake.plans import recommend as plans
 
@@ -23,7 +24,7 @@ def test_most_similar_of_all(spark, monkeypatch):
                 want |= {i: (-like[1], like[0])} if like else {}
         for most, pairs in ((1 << 16, 1 << 20), (40, 300)):
             monkeypatch.setattr(P, "MOST_TOPICS", most)
-            monkeypatch.setattr(P, "PAIRS", pairs)
+            monkeypatch.setattr(likeness, "PAIRS", pairs)
             assert {r.item_id: (r.doc_id, r.similarity) for r in P.similar_topics(topics, concepts, least).collect()} == want
 
 
